@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundfield import config as C
+from soundfield.functions.numbers import rounded
 from soundfield.models import kernel as K
 
 MORPHOLOGY = ["built_area_ratio", "road_density_km_km2", "intersection_count", "dist_road_m"]
@@ -143,6 +144,6 @@ def predict_grid(cells: DataFrame, artefact: Delivered, digits: int = 2) -> Data
     """Level of every grid row (features and hour columns present), kernel plus residual if flagged."""
     level = K.predict(artefact.kernel, F.col("dist_highway_m"), F.col("dist_residential_m"))
     if not artefact.apply_residual or artefact.residual is None:
-        return cells.withColumn("level_db", F.bround(level, digits))
+        return cells.withColumn("level_db", rounded(level, digits))
     fixed = predict_trees(artefact.residual, cells, artefact.features, "__fix")
-    return fixed.withColumn("level_db", F.bround(level + F.col("__fix"), digits)).drop("__fix")
+    return fixed.withColumn("level_db", rounded(level + F.col("__fix"), digits)).drop("__fix")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield import config as C
+from soundfield.functions.numbers import rounded
 from soundfield.functions import levels, survey
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles, summarise
 from soundfield.operators.scans import attach
@@ -164,7 +165,7 @@ def daily_means(df: DataFrame, break_day: str) -> DataFrame:
 
 def heat_cells(df: DataFrame, step: float = 0.001) -> DataFrame:
     """Mean level on a degree lattice, half-even rounding like numpy."""
-    lat, lon = F.bround(F.col("latitude") / step).cast("bigint"), F.bround(F.col("longitude") / step).cast("bigint")
+    lat, lon = rounded(F.col("latitude") / step).cast("bigint"), rounded(F.col("longitude") / step).cast("bigint")
     return df.groupBy(lat.alias("lat_i"), lon.alias("lon_i")).agg(_n().alias("n"), F.avg("noise_db").alias("mean_db")).select(
         (F.col("lat_i") * step).alias("lat"), (F.col("lon_i") * step).alias("lon"), "n", "mean_db"
     )
@@ -174,8 +175,8 @@ def rasterise(df: DataFrame, step: float = C.GRID_STEP_M, value: str = "noise_db
     """Mean value per lattice node of each site, counted from the site's lowest corner."""
     corner = df.groupBy("site").agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"))
     placed = attach(df, corner, ["site"])
-    ix = F.bround((F.col("x") - F.col("__x0")) / step).cast("bigint")
-    iy = F.bround((F.col("y") - F.col("__y0")) / step).cast("bigint")
+    ix = rounded((F.col("x") - F.col("__x0")) / step).cast("bigint")
+    iy = rounded((F.col("y") - F.col("__y0")) / step).cast("bigint")
     return placed.groupBy("site", ix.alias("ix"), iy.alias("iy")).agg(_n().alias("n"), F.avg(value).alias("mean_value"))
 
 
@@ -188,7 +189,7 @@ def rasterise_degrees(df: DataFrame, step: float = C.GRID_STEP_M, value: str = "
     x = (F.col("longitude") - F.col("__o")) * 111320.0 * F.cos(F.radians("__m"))
     y = (F.col("latitude") - F.col("__a")) * 110540.0
     return placed.groupBy(
-        "site", F.bround(x / step).cast("bigint").alias("ix"), F.bround(y / step).cast("bigint").alias("iy")
+        "site", rounded(x / step).cast("bigint").alias("ix"), rounded(y / step).cast("bigint").alias("iy")
     ).agg(_n().alias("n"), F.avg(value).alias("mean_value"))
 
 
@@ -247,8 +248,8 @@ def anchor_gaps(anchors: DataFrame, strata: DataFrame) -> DataFrame:
     own = strata.select(F.col("stratum").alias("comparable"), F.col("n").alias("our_n"), F.col("median_db").alias("our_median_db"))
     joined = anchors.join(own, "comparable", "left").withColumn("our_n", F.coalesce("our_n", F.lit(0)))
     raw = F.col("value") - F.col("our_median_db")
-    return joined.withColumn("gap_raw_db", F.bround(raw, 1)).withColumn(
-        "gap_corrected_db", F.bround(raw - F.col("metric_gap_db"), 1)
+    return joined.withColumn("gap_raw_db", rounded(raw, 1)).withColumn(
+        "gap_corrected_db", rounded(raw - F.col("metric_gap_db"), 1)
     )
 
 

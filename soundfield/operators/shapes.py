@@ -113,8 +113,12 @@ def _cut_half_plane(ring: Column, axis: str, bound: Column, keep_above: bool) ->
             .otherwise(F.slice(F.array(q), 1, 0))
         )
 
-    closing = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
-    return F.flatten(F.zip_with(ring, closing, emit))
+    def cut(r: Column) -> Column:
+        closing = F.concat(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), F.slice(r, 1, 1))
+        return F.flatten(F.zip_with(r, closing, emit))
+
+    # bound once as a lambda variable: four nested cuts must not copy each other's text
+    return F.get(F.transform(F.array(ring), cut), F.lit(0))
 
 
 def clip_rings(polygons: DataFrame, zones: DataFrame, ring: str = "ring", size: float = 2000.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield import config as C
+from soundfield.functions.numbers import rounded
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles
 from soundfield.operators.scans import keep_first, previous_value
 from soundfield.operators.scenario import Scenario, with_scenarios
@@ -109,12 +110,12 @@ def video_counts(detections: DataFrame, videos: DataFrame, width: float, height:
         .join(dominant_axis(detections, width, height).select("video_id", F.col("axis").alias("line_axis")), "video_id", "left")
         .withColumn("vehicles_flow", total)
         .withColumn("n_tracks", F.coalesce("n_tracks", F.lit(0)))
-        .withColumn("dwell_s", F.bround(F.coalesce("dwell_s", F.lit(0.0)), 2))
+        .withColumn("dwell_s", rounded(F.coalesce("dwell_s", F.lit(0.0)), 2))
         .withColumn("line_axis", F.coalesce("line_axis", F.lit("y")))
     )
     for c in [*classes, "vehicles"]:
-        out = out.withColumn(f"{c}_mean", F.bround(f"{c}_mean", 2))
-        out = out.withColumn(f"{c}_flow", F.bround(F.coalesce(f"{c}_flow", F.lit(0.0)), 2))
+        out = out.withColumn(f"{c}_mean", rounded(f"{c}_mean", 2))
+        out = out.withColumn(f"{c}_flow", rounded(F.coalesce(f"{c}_flow", F.lit(0.0)), 2))
     return out
 
 
@@ -195,10 +196,10 @@ def fleet_by_hour(counts: DataFrame, classes: Sequence[str] = C.MOTOR_CLASSES) -
     filled = fill_hours(fleet_observed(counts, classes), columns)
     total = F.col("total")
     return filled.select(
-        F.col("site").alias("site_name"), "hour", F.bround("total", 3).alias("total"), "measured", "n_videos",
-        *[F.when(total > 0, F.bround(F.col(c) / total, 4)).otherwise(0.0).alias(f"{c}_share") for c in classes],
-        F.bround("total_fl", 3).alias("total_flow_per_min"),
-        *[F.bround(f"{c}_fl", 3).alias(f"{c}_flow_per_min") for c in classes],
+        F.col("site").alias("site_name"), "hour", rounded("total", 3).alias("total"), "measured", "n_videos",
+        *[F.when(total > 0, rounded(F.col(c) / total, 4)).otherwise(0.0).alias(f"{c}_share") for c in classes],
+        rounded("total_fl", 3).alias("total_flow_per_min"),
+        *[rounded(f"{c}_fl", 3).alias(f"{c}_flow_per_min") for c in classes],
     )
 
 

@@ -271,7 +271,9 @@ def site_grid(t: Tables):
     return grid.grid_cells(t.layout)
 
 
-@query("grid_guard", oracle("select cast(0 as bigint) as violations"))
+@query("grid_guard", oracle(
+    """select count(*) as violations from grid g left join box b on b.site = g.site
+       where b.site is null or x < x_lo or x > x_hi or y < y_lo or y > y_hi or not (level_db > 30 and level_db < 100)""", box=_BOX))
 def grid_guard(t: Tables):
     """No cell outside its site's envelope, none of an unmeasured site, no implausible level."""
     return grid.extent_violations(t.grid, t.meas).agg(F.count(F.lit(1)).alias("violations"))

@@ -182,7 +182,7 @@ def oracle(body: str, doubles: str = "", **ctes: str) -> str:
         ("located", "select *, 21 + (y - 2323000e0) / 110540e0 as latitude, 105.85e0 + (x - 596000e0) / 104000e0 as longitude from meas"),
     ]
     parts += list(ctes.items())
-    text = "with " + ",\n".join(f"{n} as ({t.strip()})" for n, t in parts)
+    text = "with recursive " + ",\n".join(f"{n} as ({t.strip()})" for n, t in parts)
     names = doubles.split()
     if not names:
         return f"{text}\n{body}"
