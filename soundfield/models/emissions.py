@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundfield.functions import levels
+from soundfield.functions.numbers import correlation
 
 CLASSES = ("moto", "car", "heavy")
 
@@ -83,7 +84,7 @@ def fit_emissions(counts: DataFrame, suffix: str = "_flow") -> tuple[DataFrame,
     p = levels.to_level_floored(predicted)
     fit = rows.withColumn("__p", p).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("__p") - F.col("matched_db"))).alias("mae_db"),
-        F.avg(F.col("__p") - F.col("matched_db")).alias("bias_db"), F.corr("__p", "matched_db").alias("r"),
+        F.avg(F.col("__p") - F.col("matched_db")).alias("bias_db"), correlation("__p", "matched_db").alias("r"),
     )
     coefficients = spark.createDataFrame(
         [(n, float(v), bool(v > 0)) for n, v in zip(names, x)], "category string, energy double, identifiable boolean"

@@ -67,8 +67,8 @@ def time_features(df: DataFrame, hour: str = "hour") -> DataFrame:
 
 def with_block(df: DataFrame, size: float = C.BLOCK_M) -> DataFrame:
     """Adds the integer block coordinates and their text id."""
-    bx, by = F.floor(F.col("x") / size).cast("bigint"), F.floor(F.col("y") / size).cast("bigint")
-    return df.withColumn("bx", bx).withColumn("by", by).withColumn("block", F.concat_ws("_", bx.cast("string"), by.cast("string")))
+    block_x, block_y = F.floor(F.col("x") / size).cast("bigint"), F.floor(F.col("y") / size).cast("bigint")
+    return df.withColumn("block_x", block_x).withColumn("block_y", block_y).withColumn("block", F.concat_ws("_", block_x.cast("string"), block_y.cast("string")))
 
 
 def log_distance(d: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.operators.scans import dense_index, running_totals
+from soundfield.session import cut_lineage
 
 
 def _lightest_first(histogram: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
@@ -42,25 +43,25 @@ def _lightest_first(histogram: list[tuple[int, int]], k: int) -> list[tuple[int,
 
 
 def block_folds(df: DataFrame, n_folds: int = C.N_FOLDS) -> DataFrame:
-    """Fold of every block (bx, by): blocks by falling size, each to the lightest fold.
+    """Fold of every block (block_x, block_y): blocks by falling size, each to the lightest fold.
 
     The driver sees the histogram of block sizes only (distinct sizes, at most
-    about sqrt(2 x rows)); blocks of one size are numbered in (bx, by) order.
+    about sqrt(2 x rows)); blocks of one size are numbered in (block_x, block_y) order.
     """
     spark = df.sparkSession
-    blocks = df.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("size"))
+    blocks = cut_lineage(df.groupBy("block_x", "block_y").agg(F.count(F.lit(1)).alias("size")))
     histogram = [(r["size"], r["blocks"]) for r in blocks.groupBy("size").agg(F.count(F.lit(1)).alias("blocks")).collect()]
     total = sum(c for _, c in histogram)
     runs = _lightest_first(histogram, max(min(n_folds, total), 1))
     table = spark.createDataFrame(runs, "size bigint, first bigint, length bigint, cycle array<int>")
-    numbered = running_totals(blocks, ["size"], F.col("bx"), [F.col("bx"), F.col("by")], {"i": F.lit(1).cast("bigint")})
+    numbered = running_totals(blocks, ["size"], F.col("block_x"), [F.col("block_x"), F.col("block_y")], {"i": F.lit(1).cast("bigint")})
     inside = (F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + F.col("length"))
     turn = ((F.col("i") - F.col("first")) % F.size("cycle")).cast("int")
-    return numbered.join(table, "size").where(inside).select("bx", "by", F.get("cycle", turn).alias("fold"))
+    return numbered.join(table, "size").where(inside).select("block_x", "block_y", F.get("cycle", turn).alias("fold"))
 
 
 def with_block_folds(df: DataFrame, n_folds: int = C.N_FOLDS) -> DataFrame:
-    return df.join(block_folds(df, n_folds), ["bx", "by"])
+    return df.join(block_folds(df, n_folds), ["block_x", "block_y"])
 
 
 def _key(seed: int, key: Column) -> Column:

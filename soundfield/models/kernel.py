@@ -55,10 +55,12 @@ def start_point(df: DataFrame) -> np.ndarray:
     return np.array([0.25 * e * med["hw"], 0.25 * e * med["res"], 0.5 * e])
 
 
-def _sums(p: np.ndarray, train: Column) -> list[Column]:
+def _sums(at: int, train: Column) -> list[Column]:
+    """Normal-equation sums of one fold; its parameters are entries at, at+1, at+2 of column `params`."""
     floor = F.lit(C.KERNEL_FLOOR_M)
+    p = [F.get("params", F.lit(at + i)) for i in range(3)]
     base = (1.0 / F.greatest("dist_highway_m", floor), 1.0 / F.greatest("dist_residential_m", floor), F.lit(1.0))
-    e = F.greatest(base[0] * float(p[0]) + base[1] * float(p[1]) + float(p[2]), F.lit(1e-9))
+    e = F.greatest(base[0] * p[0] + base[1] * p[1] + p[2], F.lit(1e-9))
     r = 10.0 * F.log10(e) - F.col("noise_db")
     g = [b * _TEN_OVER_LN10 / e for b in base]
     terms = [g[i] * g[j] for i in range(3) for j in range(i, 3)] + [x * r for x in g] + [r * r]
@@ -73,21 +75,22 @@ def fit_kernels(
     Damped Gauss-Newton in parameters scaled by the start point.  A parameter at
     zero whose gradient points down stays there.  All folds share each pass.
     """
-    data = df.select("noise_db", "dist_highway_m", "dist_residential_m", *([fold] if fold else [])).dropna().persist()
+    data = df.select("noise_db", "dist_highway_m", "dist_residential_m", *([fold] if fold else [])).dropna().withColumn("one", F.lit(1)).persist()
     names = list(folds) if fold else [None]
     train = {f: (F.col(fold) != F.lit(f)) if fold else F.lit(True) for f in names}
     p0 = start_point(data)
 
+    columns = [c.alias(f"c{i}") for i, c in enumerate(c for k, f in enumerate(names) for c in _sums(3 * k, train[f]))]
+
     def evaluate(points: Mapping) -> dict:
-        columns, spans = [], {}
-        for f, p in points.items():
-            spans[f] = len(columns)
-            columns += _sums(p, train[f])
-        row = data.agg(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        # parameters come in as a one-row table: the compiled plan is the same at every step
+        flat = [float(v) for f in names for v in points.get(f, p0)]
+        given = df.sparkSession.createDataFrame([(1, flat)], "one int, params array<double>")
+        row = data.join(F.broadcast(given), "one").agg(*columns).first()
         out = {}
-        for f, at in spans.items():
-            v = [row[at + i] for i in range(10)]
-            if any(x is None for x in v):
+        for k, f in enumerate(names):
+            v = [row[10 * k + i] for i in range(10)]
+            if f not in points or any(x is None for x in v):
                 continue
             jtj = np.array([[v[0], v[1], v[2]], [v[1], v[3], v[4]], [v[2], v[4], v[5]]])
             out[f] = (jtj * np.outer(p0, p0), np.array(v[6:9]) * p0, v[9])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield import config as C
-from soundfield.functions.numbers import rounded
+from soundfield.functions.numbers import correlation, rounded
 from soundfield.functions import levels, survey
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles, summarise
 from soundfield.operators.scans import attach
@@ -301,7 +301,7 @@ def partial_correlations(df: DataFrame, columns: Sequence[str], level: str = "no
     )
     h, u, v = F.col("h"), F.col("u"), F.col("v")
     s = long.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("u", "v").alias("r_raw"),
+        F.count(F.lit(1)).alias("n"), correlation("u", "v").alias("r_raw"),
         *[F.sum(F.pow(h, k)).alias(f"h{k}") for k in (1, 2, 3, 4)],
         *[F.sum(F.pow(h, k) * u).alias(f"u{k}") for k in (0, 1, 2)],
         *[F.sum(F.pow(h, k) * v).alias(f"v{k}") for k in (0, 1, 2)],
@@ -329,7 +329,7 @@ def partial_correlations(df: DataFrame, columns: Sequence[str], level: str = "no
 
 def correlations(df: DataFrame, level: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Correlation of the level with each column, per key and over all (key null)."""
-    aggs = [F.corr(level, c).alias(f"r_{c}") for c in columns]
+    aggs = [correlation(level, c).alias(f"r_{c}") for c in columns]
     if not keys:
         return df.agg(_n().alias("n"), *aggs)
     return df.rollup(*keys).agg(_n().alias("n"), *aggs)

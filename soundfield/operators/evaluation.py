@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield import config as C
+from soundfield.functions.numbers import correlation
 from soundfield.operators.quantiles import grouped_quantiles, summarise
 from soundfield.operators.scans import attach, running_totals
+from soundfield.session import cut_lineage
 
 
 def _r2() -> Column:
@@ -22,7 +24,7 @@ def _r2() -> Column:
 
 
 def _r() -> Column:
-    return F.when(F.stddev_pop("p") > 1e-9, F.corr("y", "p"))
+    return F.when(F.stddev_pop("p") > 1e-9, correlation("y", "p"))
 
 
 def scores(predictions: DataFrame, keys: Sequence[str] = ("protocol", "model")) -> DataFrame:
@@ -42,7 +44,7 @@ def validation_stats(joined: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         rows, keys,
         [
             F.count(F.lit(1)).alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"),
-            F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("y", "p").alias("r"), _r2().alias("r2"),
+            F.sqrt(F.avg(e * e)).alias("rmse"), correlation("y", "p").alias("r"), _r2().alias("r2"),
             (100.0 * F.avg((F.abs(e) <= 3).cast("double"))).alias("within3"),
             (100.0 * F.avg((F.abs(e) <= 5).cast("double"))).alias("within5"),
         ],
@@ -58,7 +60,7 @@ def transfer_diagnostics(predictions: DataFrame, keys: Sequence[str] = ()) -> Da
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), _r2().alias("r2_raw"),
         (1.0 - F.var_pop(e) * F.count("y") / F.when(sst > 0, sst)).alias("r2_bias_removed"),
-        F.pow(F.corr("y", "p"), 2).alias("r2_bias_and_scale_removed"), F.corr("y", "p").alias("r"),
+        F.pow(correlation("y", "p"), 2).alias("r2_bias_and_scale_removed"), correlation("y", "p").alias("r"),
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.avg("p") - F.avg("y")).alias("bias"), F.regr_slope("y", "p").alias("slope"),
     )
@@ -79,10 +81,10 @@ def offset_per_fold(predictions: DataFrame, fold: str = "fold") -> DataFrame:
 def bootstrap_intervals(
     predictions: DataFrame, keys: Sequence[str] = ("protocol", "model"), *, n_boot: int = C.N_BOOT, seed: int = C.SEED
 ) -> DataFrame:
-    """95 % intervals of R2 and MAE, whole blocks (bx, by) drawn with replacement.
+    """95 % intervals of R2 and MAE, whole blocks (block_x, block_y) drawn with replacement.
 
     Blocks are reduced to sums first; draw j of replicate b takes block
-    md5(seed:b:j) mod n_blocks, counted in (bx, by) order, the same for every
+    md5(seed:b:j) mod n_blocks, counted in (block_x, block_y) order, the same for every
     model with as many blocks.  Rows drawn: n_boot x n_blocks per block count.
     """
     keys = list(keys)
@@ -90,11 +92,11 @@ def bootstrap_intervals(
     centre = rows.groupBy(*keys).agg(F.avg("y").alias("__mu"))
     e = F.col("y") - F.col("p")
     z = F.col("y") - F.col("__mu")
-    blocks = attach(rows, centre, keys).groupBy(*keys, "bx", "by").agg(
+    blocks = cut_lineage(attach(rows, centre, keys).groupBy(*keys, "block_x", "block_y").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(z).alias("sy"), F.sum(z * z).alias("syy"),
         F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"),
-    )
-    indexed = running_totals(blocks, keys, F.col("bx"), [F.col("bx"), F.col("by")], {"idx": F.lit(1).cast("bigint")})
+    ))
+    indexed = running_totals(blocks, keys, F.col("block_x"), [F.col("block_x"), F.col("block_y")], {"idx": F.lit(1).cast("bigint")})
     sizes = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("nb"))
     indexed = attach(indexed, sizes, keys)
     draws = sizes.select("nb").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
@@ -106,10 +108,14 @@ def bootstrap_intervals(
         *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "sy", "syy", "see", "sae")]
     )
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    reps = sums.where(sst > 0).select(*keys, (1.0 - F.col("see") / sst).alias("r2"), (F.col("sae") / F.col("n")).alias("mae"))
-    r2 = grouped_quantiles(reps, keys, F.col("r2"), {"r2_lo": 0.025, "r2_hi": 0.975})
-    mae = grouped_quantiles(reps, keys, F.col("mae"), {"mae_lo": 0.025, "mae_hi": 0.975})
-    return attach(r2, mae, keys)
+    both = F.array(
+        F.struct(F.lit("r2").alias("metric"), (1.0 - F.col("see") / sst).alias("v")),
+        F.struct(F.lit("mae").alias("metric"), (F.col("sae") / F.col("n")).alias("v")),
+    )
+    reps = sums.where(sst > 0).select(*keys, F.explode(both).alias("m")).select(*keys, "m.metric", "m.v")
+    edges = grouped_quantiles(reps, [*keys, "metric"], F.col("v"), {"lo": 0.025, "hi": 0.975})
+    pick = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c))).alias(f"{metric}_{c}")
+    return edges.groupBy(*keys).agg(pick("r2", "lo"), pick("r2", "hi"), pick("mae", "lo"), pick("mae", "hi"))
 
 
 def rank_models(table: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield import config as C
-from soundfield.functions.numbers import rounded
+from soundfield.functions.numbers import per, rounded
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles
 from soundfield.operators.scans import keep_first, previous_value
 from soundfield.operators.scenario import Scenario, with_scenarios
@@ -139,7 +139,7 @@ def littles_law(counts: DataFrame) -> DataFrame:
 def flow_dispersion(counts: DataFrame, at_least: int = 3, flow: str = "vehicles_flow") -> DataFrame:
     """Quartiles of the coefficient of variation of flow inside (site, hour) groups."""
     groups = counts.groupBy("site", "hour").agg(
-        F.count(F.lit(1)).alias("n"), (F.stddev_samp(flow) / F.avg(flow)).alias("cv")
+        F.count(F.lit(1)).alias("n"), per(F.stddev_samp(flow), F.avg(flow)).alias("cv")
     ).where((F.col("n") >= at_least) & F.col("cv").isNotNull())
     q = grouped_quantiles(groups, [], F.col("cv"), {"cv_q1": 0.25, "cv_median": 0.5, "cv_q3": 0.75})
     n = groups.agg(F.count(F.lit(1)).alias("groups"))

@@ -118,9 +118,8 @@ def _matched_counts(t: Tables):
     """select count(*) as groups, quantile_cont(cv, 0.25) as cv_q1, median(cv) as cv_median, quantile_cont(cv, 0.75) as cv_q3 from
        (select stddev_samp(vehicles_flow) / nullif(avg(vehicles_flow), 0) as cv from vm where site is not null group by site, hour having count(*) >= 3) where cv is not null""", "cv_q1 cv_median cv_q3", **_CM))
 def flow_dispersion(t: Tables):
-    rows = _matched_counts(t).where("site is not null and video_id is not null")
-    busy = rows.groupBy("site", "hour").agg(F.avg("vehicles_flow").alias("m")).where("m > 0").drop("m")
-    return traffic.flow_dispersion(rows.join(busy, ["site", "hour"], "left_semi"))
+    rows = _matched_counts(t).where("site is not null")
+    return traffic.flow_dispersion(rows)
 
 
 @query("flow_correlations", oracle(

@@ -38,22 +38,22 @@ def _featured(t: Tables) -> DataFrame:
     return cut_lineage(features.time_features(rows.join(features.morphology(t.meas, t.building_points, t.nodes, t.roads), ["x", "y"])))
 
 
-_BLOCKED = "select *, cast(floor(x / 600) as bigint) as bx, cast(floor(y / 600) as bigint) as by from meas"
-_ORDERED = "select *, row_number() over (order by size desc, bx, by) as i from (select bx, by, count(*) as size from blocked group by 1, 2)"
+_BLOCKED = "select *, cast(floor(x / 600) as bigint) as block_x, cast(floor(y / 600) as bigint) as block_y from meas"
+_ORDERED = "select *, row_number() over (order by size desc, block_x, block_y) as i from (select block_x, block_y, count(*) as size from blocked group by 1, 2)"
 _PICK = "case when l0 <= l1 and l0 <= l2 and l0 <= l3 and l0 <= l4 then 0 when l1 <= l2 and l1 <= l3 and l1 <= l4 then 1 when l2 <= l3 and l2 <= l4 then 2 when l3 <= l4 then 3 else 4 end"
 _GREEDY = f"""select cast(0 as bigint) as i, cast(0 as bigint) as l0, cast(0 as bigint) as l1, cast(0 as bigint) as l2, cast(0 as bigint) as l3, cast(0 as bigint) as l4, cast(-1 as int) as fold
  union all select i1, l0 + case when f = 0 then size else 0 end, l1 + case when f = 1 then size else 0 end, l2 + case when f = 2 then size else 0 end, l3 + case when f = 3 then size else 0 end, l4 + case when f = 4 then size else 0 end, f
  from (select o.i as i1, o.size, l0, l1, l2, l3, l4, cast({_PICK} as int) as f from greedy g join ordered o on o.i = g.i + 1)"""
-_FOLDED = "select b.*, g.fold from blocked b join ordered o on o.bx = b.bx and o.by = b.by join greedy g on g.i = o.i"
+_FOLDED = "select b.*, g.fold from blocked b join ordered o on o.block_x = b.block_x and o.block_y = b.block_y join greedy g on g.i = o.i"
 _FOLDS = {"blocked": _BLOCKED, "ordered": _ORDERED, "greedy": _GREEDY, "folded": _FOLDED}
 
 
-@query("spatial_blocks", oracle("select obs_id, cast(bx as string) || '_' || cast(by as string) as block from blocked", blocked=_BLOCKED))
+@query("spatial_blocks", oracle("select obs_id, cast(block_x as string) || '_' || cast(block_y as string) as block from blocked", blocked=_BLOCKED))
 def spatial_blocks(t: Tables):
     return _blocked(t).select("obs_id", "block")
 
 
-@query("block_folds", oracle("select distinct bx, by, fold from folded", **_FOLDS))
+@query("block_folds", oracle("select distinct block_x, block_y, fold from folded", **_FOLDS))
 def block_folds(t: Tables):
     return folds.block_folds(_blocked(t))
 
@@ -150,13 +150,13 @@ def _mean_predictions(t: Tables) -> DataFrame:
         wide = baselines.fold_means(rows)
         models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("global_mean", "site_mean", "site_hour_mean")])
         parts.append(wide.select(
-            F.lit(protocol).alias("protocol"), "obs_id", "site", "bx", "by", F.col("noise_db").alias("y"), F.explode(models).alias("m")
-        ).select("protocol", "obs_id", "site", "bx", "by", "y", "m.model", "m.p"))
+            F.lit(protocol).alias("protocol"), "obs_id", "site", "block_x", "block_y", F.col("noise_db").alias("y"), F.explode(models).alias("m")
+        ).select("protocol", "obs_id", "site", "block_x", "block_y", "y", "m.model", "m.p"))
     return parts[0].unionByName(parts[1])
 
 
-_PRED = """select protocol, obs_id, site, bx, by, noise_db as y, model, p from (
- select 'block_cv' as protocol, m.*, b.site, b.bx, b.by, b.noise_db from bm m join blocked b on b.obs_id = m.obs_id union all select 'site_out', m.*, b.site, b.bx, b.by, b.noise_db from sm m join blocked b on b.obs_id = m.obs_id)
+_PRED = """select protocol, obs_id, site, block_x, block_y, noise_db as y, model, p from (
+ select 'block_cv' as protocol, m.*, b.site, b.block_x, b.block_y, b.noise_db from bm m join blocked b on b.obs_id = m.obs_id union all select 'site_out', m.*, b.site, b.block_x, b.block_y, b.noise_db from sm m join blocked b on b.obs_id = m.obs_id)
  unpivot (p for model in (global_mean, site_mean, site_hour_mean))"""
 _PRED_CTES = {**_FOLDS, "bm": _MEANS.format(t="folded", f="fold"), "sm": _MEANS.format(t="meas", f="site"), "pred": _PRED}
 _SCORES = """select {k}, count(*) as n, case when stddev_pop(p) > 1e-9 then corr(y, p) end as r, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2, avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse
@@ -177,9 +177,9 @@ def scores_per_site(t: Tables):
     """select protocol, model, quantile_cont(r2, 0.025) as r2_lo, quantile_cont(r2, 0.975) as r2_hi, quantile_cont(mae, 0.025) as mae_lo, quantile_cont(mae, 0.975) as mae_hi from
        (select protocol, model, b, 1 - sum(see) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) as r2, sum(sae) / sum(n) as mae from draws d join idx on idx.i = d.i group by 1, 2, 3) group by 1, 2""",
     "r2_lo r2_hi mae_lo mae_hi", **_PRED_CTES,
-    idx="""select *, row_number() over (partition by protocol, model order by bx, by) - 1 as i from (select protocol, model, bx, by, count(*) as n, sum(y - mu) as sy, sum((y - mu) * (y - mu)) as syy, sum((y - p) * (y - p)) as see, sum(abs(y - p)) as sae
+    idx="""select *, row_number() over (partition by protocol, model order by block_x, block_y) - 1 as i from (select protocol, model, block_x, block_y, count(*) as n, sum(y - mu) as sy, sum((y - mu) * (y - mu)) as syy, sum((y - p) * (y - p)) as see, sum(abs(y - p)) as sae
            from (select *, avg(y) over (partition by protocol, model) as mu from pred) group by 1, 2, 3, 4)""",
-    nb="select count(*) as nb from (select distinct bx, by from blocked)",
+    nb="select count(*) as nb from (select distinct block_x, block_y from blocked)",
     draws="""select b, cast('0x' || substr(md5('0:' || b || ':' || j), 1, 8) as bigint) % nb as i from nb, (select unnest(range(0, 2000)) as b) bs, lateral (select unnest(range(0, nb.nb)) as j) js"""))
 def bootstrap_intervals(t: Tables):
     """95 % block-bootstrap intervals, 2000 replicates."""
@@ -219,7 +219,7 @@ def delivered_model(t: Tables):
     )
 
 
-_TRANSFER = "select *, noise_db as y, 30 + 0.4e0 * noise_db + obs_id % 20 as p from folded"
+_TRANSFER = "select * exclude (y), noise_db as y, 30 + 0.4e0 * noise_db + obs_id % 20 as p from folded"
 
 
 def _transferred(t: Tables) -> DataFrame:
@@ -276,8 +276,8 @@ def kernel_scores(t: Tables):
     parts = []
     for protocol, wide in (("block_cv", by_block), ("site_out", by_site), ("buffered", buffered)):
         models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("dist_road", "kernel")])
-        parts.append(wide.select(F.lit(protocol).alias("protocol"), F.col("noise_db").alias("y"), "bx", "by", F.explode(models).alias("m")))
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("protocol", "y", "bx", "by", "m.model", "m.p")
+        parts.append(wide.select(F.lit(protocol).alias("protocol"), F.col("noise_db").alias("y"), "block_x", "block_y", F.explode(models).alias("m")))
+    long = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("protocol", "y", "block_x", "block_y", "m.model", "m.p")
     long = cut_lineage(long)
     return evaluation.scores(long).join(evaluation.bootstrap_intervals(long), ["protocol", "model"])
 
