@@ -54,12 +54,11 @@ def fit_trees(
     validation: str | None = None, patience_tolerance: float = 0.01, seed: int = C.SEED,
 ) -> GBTRegressionModel:
     """Boosted regression trees; with a boolean validation column, boosting stops early on it."""
+    early = {} if validation is None else {"validationIndicatorCol": validation, "validationTol": patience_tolerance}
     gbt = GBTRegressor(
         featuresCol="__features", labelCol=label, predictionCol="__p", maxIter=size.rounds, maxDepth=size.depth,
-        stepSize=size.step, minInstancesPerNode=size.rows_per_leaf, seed=seed,
+        stepSize=size.step, minInstancesPerNode=size.rows_per_leaf, seed=seed, **early,
     )
-    if validation is not None:
-        gbt = gbt.setValidationIndicatorCol(validation).setValidationTol(patience_tolerance)
     return gbt.fit(_assembled(train, features))
 
 
