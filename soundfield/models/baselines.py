@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.models.features import log_distance
 from soundfield.operators.lattice import disc_sums, nearest_points
-from soundfield.operators.scans import attach
+from soundfield.operators.scans import attach, with_scalars
 
 
 def fold_mean_table(df: DataFrame, fold: str = "fold") -> DataFrame:
@@ -64,7 +64,7 @@ def buffered_means(df: DataFrame, buffer: float = C.BUFFER_M, at_least: int = C.
             out = out.join(inside, [*keys, "x", "y"], "left")
         else:
             total = df.agg(F.sum("noise_db").alias(f"s_all{i}"), F.count(F.lit(1)).alias(f"n_all{i}"))
-            out = out.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+            out = with_scalars(out, total)
             out = out.join(inside, ["x", "y"], "left")
         n = F.col(f"n_all{i}") - F.col(f"n_in{i}")
         out = out.withColumn(names[i], F.when(n > 0, (F.col(f"s_all{i}") - F.col(f"s_in{i}")) / F.when(n > 0, n)))
@@ -85,7 +85,7 @@ _LINE = ("n", "sx", "sy", "sxx", "sxy")
 def _centred(df: DataFrame) -> DataFrame:
     """Adds lx, ly: log distance and level, both minus their means, so differences keep their digits."""
     means = df.agg(F.avg(log_distance(F.col("dist_road_m"))).alias("__mx"), F.avg("noise_db").alias("__my"))
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(means.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    joined = with_scalars(df, means)
     return joined.withColumn("lx", log_distance(F.col("dist_road_m")) - F.col("__mx")).withColumn("ly", F.col("noise_db") - F.col("__my"))
 
 
@@ -108,7 +108,7 @@ def _line_prediction(rows: DataFrame, at_least: int = 2) -> DataFrame:
 
 def _with_totals(rows: DataFrame) -> DataFrame:
     total = rows.agg(*[F.sum(e).alias(f"t_{k}") for k, e in _line_sums().items()])
-    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    return with_scalars(rows, total)
 
 
 def fold_distance_line(df: DataFrame, fold: str = "fold") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundfield import config as C
-from soundfield.operators.scans import dense_index, running_totals
+from soundfield.operators.scans import dense_index, running_totals, with_scalars
 from soundfield.session import cut_lineage
 
 
@@ -79,5 +79,5 @@ def group_split(df: DataFrame, group: str, train_share: float, seed: int = 42, n
     groups = df.select(group).distinct().withColumn("h", _key(seed, F.col(group)))
     ordered = dense_index(groups, F.substring("h", 1, 3), [F.col("h"), F.col(group)], "i")
     n = groups.agg(F.count(F.lit(1)).alias("g"))
-    side = ordered.withColumn("__one", F.lit(1)).join(F.broadcast(n.withColumn("__one", F.lit(1))), "__one")
+    side = with_scalars(ordered, n)
     return df.join(side.select(group, (F.col("i") < F.round(F.col("g") * train_share)).alias(name)), group)

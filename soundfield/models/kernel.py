@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.operators.quantiles import grouped_quantiles
+from soundfield.operators.scans import with_scalars
 
 _TEN_OVER_LN10 = 10.0 / math.log(10.0)
 
@@ -166,7 +167,7 @@ def buffered_kernel(df: DataFrame, buffer: float = C.BUFFER_M, at_least: int = C
                 terms[f"h{a}{b}"] = g[a] * g[b]
     total = df.agg(*[F.sum(t).alias(f"t_{k}") for k, t in terms.items()])
     inside = disc_sums(df, df, buffer, terms, strict=False).select("x", "y", *[F.col(k).alias(f"e_{k}") for k in terms])
-    rows = df.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    rows = with_scalars(df, total)
     rows = rows.join(inside, ["x", "y"], "left")
     left = {k: F.col(f"t_{k}") - F.coalesce(F.col(f"e_{k}"), F.lit(0.0)) for k in terms}
 

@@ -11,7 +11,7 @@ from soundfield import config as C
 from soundfield.functions.numbers import correlation, rounded
 from soundfield.functions import levels, survey
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles, summarise
-from soundfield.operators.scans import attach
+from soundfield.operators.scans import attach, with_scalars
 
 
 def _n() -> Column:
@@ -107,8 +107,7 @@ def class_levels(df: DataFrame, at_least: int = 5) -> DataFrame:
     """Five numbers of each class with enough rows, quietest first; rows of the others are counted."""
     per = describe(df.where(F.col("class").isNotNull()), ["class"]).select("class", "n", "min", "q1", "median", "q3", "max")
     dropped = per.agg(F.coalesce(F.sum(F.when(F.col("n") < at_least, F.col("n"))), F.lit(0)).alias("rows_dropped"))
-    kept = per.where(F.col("n") >= at_least).withColumn("__one", F.lit(1))
-    return kept.join(dropped.withColumn("__one", F.lit(1)), "__one").drop("__one").orderBy("median")
+    return with_scalars(per.where(F.col("n") >= at_least), dropped).orderBy("median")
 
 
 def class_ranking(df: DataFrame, top: int | None = None) -> DataFrame:
@@ -146,7 +145,7 @@ def campaign_headline(df: DataFrame) -> DataFrame:
         F.col("noise_db"), {"median_db": 0.5},
     )
     peak = peak_and_quiet_hour(df).select("peak_hour")
-    return head.withColumn("__one", F.lit(1)).join(peak.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return with_scalars(head, peak)
 
 
 def break_comparison(df: DataFrame, break_day: str) -> DataFrame:
@@ -209,8 +208,8 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, width: floa
 def equal_bins(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Histogram over the observed range cut into equal bins, `density` per key group."""
     keys = list(keys)
-    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).withColumn("__one", F.lit(1))
-    placed = df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("__one", F.lit(1)).join(F.broadcast(span), "__one")
+    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    placed = with_scalars(df.where(F.col(value).isNotNull()).select(*keys, value), span)
     width = (F.col("__hi") - F.col("__lo")) / bins
     i = F.least(F.floor((F.col(value) - F.col("__lo")) / F.when(width > 0, width)), F.lit(bins - 1))
     rows = placed.groupBy(*keys, F.coalesce(i, F.lit(0)).cast("int").alias("bin"), "__lo", "__hi").agg(_n().alias("n"))
@@ -265,7 +264,7 @@ def heat_normalised(df: DataFrame, value: str = "noise_db", low: float = 0.02, h
     if keys:
         joined = attach(df, edges, keys)
     else:
-        joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(edges.withColumn("__one", F.lit(1))), "__one").drop("__one")
+        joined = with_scalars(df, edges)
     return joined.withColumn("heat", levels.heat_scale(F.col(value), F.col("__q_lo"), F.col("__q_hi"))).drop("__q_lo", "__q_hi")
 
 

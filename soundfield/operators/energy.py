@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.functions import levels
-from soundfield.operators.quantiles import grouped_median, summarise
+from soundfield.operators.quantiles import grouped_median
+from soundfield.operators.scans import flag_repeats, with_scalars
 
 
 def leq_partials(df: DataFrame, keys: Sequence[str], part: Column, level: str = "noise_db") -> DataFrame:
@@ -51,7 +52,7 @@ def construction_excess(df: DataFrame, near: Column, at_least: int = 2, least_ne
     total = df.agg(F.sum(near.cast("int")).alias("n_near"))
     # one row per hour of the day: Spark's own median is safe here
     summary = hours.agg(F.count(F.lit(1)).alias("hours"), F.median("excess").alias("excess_energy"))
-    out = summary.withColumn("__one", F.lit(1)).join(total.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    out = with_scalars(summary, total)
     return out.where((F.col("n_near") >= least_near) & (F.col("hours") > 0)).select(
         "hours", "excess_energy", levels.to_level(F.col("excess_energy")).alias("excess_db")
     )
@@ -99,8 +100,6 @@ def fuse_fixes(fixes: DataFrame, key: str, order: str = "seq") -> DataFrame:
 
 def clip_flags(clips: DataFrame, order: str = "clip_id", silence: float = 1e-4, mads: float = 3.0) -> DataFrame:
     """Quality flags of audio clips: silence, spectral outliers, exact copies, any of them."""
-    from soundfield.operators.scans import flag_repeats
-
     bands = ("band_low", "band_mid", "band_high")
     long = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("share")) for b in bands])
     shares = clips.select(F.explode(long).alias("s")).select("s.band", "s.share")
@@ -108,9 +107,8 @@ def clip_flags(clips: DataFrame, order: str = "clip_id", silence: float = 1e-4,
     spread = grouped_median(shares.join(F.broadcast(centre), "band"), ["band"], F.abs(F.col("share") - F.col("__med")), "__mad")
     limits = centre.join(spread, "band").groupBy().pivot("band", list(bands)).agg(
         F.max("__med").alias("med"), F.max("__mad").alias("mad")
-    ).withColumn("__one", F.lit(1))
-    # one row of limits
-    out = clips.withColumn("__one", F.lit(1)).join(F.broadcast(limits), "__one").drop("__one")
+    )
+    out = with_scalars(clips, limits)
     out = out.withColumn("flag_silence", F.col("median_rms") < silence)
     for b in bands:
         out = out.withColumn(f"flag_{b}", F.abs(F.col(b) - F.col(f"{b}_med")) > mads * F.col(f"{b}_mad"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions.numbers import correlation
 from soundfield.operators.quantiles import grouped_quantiles, summarise
-from soundfield.operators.scans import attach, running_totals
+from soundfield.operators.scans import attach, running_totals, with_scalars
 from soundfield.session import cut_lineage
 
 
@@ -202,7 +202,6 @@ def noise_ceiling(df: DataFrame, bands: Sequence[float] = (20.0, 40.0, 60.0)) ->
     variance = df.agg(F.var_samp("noise_db").alias("var"))
     sigma = F.col("mean_abs_diff") * (math.sqrt(math.pi) / 2)
     return (
-        per_band.withColumn("mean_abs_diff", F.col("gap") / F.col("pairs")).withColumn("sigma", sigma)
-        .withColumn("__one", F.lit(1)).join(variance.withColumn("__one", F.lit(1)), "__one")
+        with_scalars(per_band, variance).withColumn("mean_abs_diff", F.col("gap") / F.col("pairs")).withColumn("sigma", sigma)
         .select("band_m", "pairs", "mean_abs_diff", "sigma", (1.0 - F.col("sigma") * F.col("sigma") / F.col("var")).alias("ceiling_r2"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.functions.geo import distance
-from soundfield.operators.scans import attach
+from soundfield.operators.scans import attach, with_scalars
 from soundfield.operators.shapes import envelope
 
 
@@ -57,8 +57,7 @@ def nearest_cell(points: DataFrame, layout: DataFrame, reach: float | None = Non
             iy.alias("iy"), ix.alias("ix"),
         )
 
-    # one row, as many entries as sites
-    joined = points.withColumn("__one", F.lit(1)).join(F.broadcast(packed.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    joined = with_scalars(points, packed)
     best = joined.withColumn("__c", F.array_min(F.transform("__sites", candidate))).drop("__sites")
     inside = F.lit(True) if reach is None else F.col("__c.d") <= reach
     pick = lambda field: F.when(inside, F.col(f"__c.{field}"))

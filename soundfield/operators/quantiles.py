@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.operators.scans import attach
+from soundfield.operators.scans import attach, with_scalars
 
 BINS_PER_DOUBLING = 512
 
@@ -86,9 +86,7 @@ def summarise(
     keys = list(keys)
     plain = df.groupBy(*keys).agg(*aggregates)
     if not keys:
-        left = plain.withColumn("__one", F.lit(1))
-        right = grouped_quantiles(df, [], value, wanted).withColumn("__one", F.lit(1))
-        return left.join(right, "__one", "left").drop("__one")
+        return with_scalars(plain, grouped_quantiles(df, [], value, wanted))
     return attach(plain, grouped_quantiles(df, keys, value, wanted), keys)
 
 

@@ -29,6 +29,13 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery: no join."""
+    names = one_row.columns
+    packed = one_row.select(F.struct(*names).alias("__s")).scalar()
+    return df.withColumn("__s", packed).select(*df.columns, *[F.col(f"__s.{n}").alias(n) for n in names])
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], value: str, name: str
 ) -> DataFrame:

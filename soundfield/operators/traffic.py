@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions.numbers import per, rounded
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles
-from soundfield.operators.scans import keep_first, previous_value
+from soundfield.operators.scans import keep_first, previous_value, with_scalars
 from soundfield.operators.scenario import Scenario, with_scenarios
 
 FRAMES_PER_CHUNK = 1 << 16
@@ -143,13 +143,13 @@ def flow_dispersion(counts: DataFrame, at_least: int = 3, flow: str = "vehicles_
     ).where((F.col("n") >= at_least) & F.col("cv").isNotNull())
     q = grouped_quantiles(groups, [], F.col("cv"), {"cv_q1": 0.25, "cv_median": 0.5, "cv_q3": 0.75})
     n = groups.agg(F.count(F.lit(1)).alias("groups"))
-    return n.withColumn("__one", F.lit(1)).join(q.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return with_scalars(n, q)
 
 
 def flow_kpis(counts: DataFrame, flow: str = "vehicles_flow") -> DataFrame:
     head = counts.agg(F.count(flow).alias("n"), F.avg(flow).alias("mean_flow"), F.max(flow).alias("max_flow"))
     q = grouped_median(counts, [], F.col(flow), "median_flow")
-    return head.withColumn("__one", F.lit(1)).join(q.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return with_scalars(head, q)
 
 
 # ----------------------------------------------------------------------- fleet by hour

@@ -9,7 +9,7 @@ from soundfield.functions import timing
 from soundfield.operators import describe, energy, traffic
 from soundfield.operators.matching import nearest_in_time
 from soundfield.operators.scenario import Scenario
-from soundfield.operators.scans import flag_repeats
+from soundfield.operators.scans import flag_repeats, with_scalars
 from soundfield.plans.registry import query
 from soundfield.plans.tables import IMAGE, Tables, oracle
 
@@ -150,9 +150,8 @@ _GAPPY = "select * from fo where hour between 5 and 21 and n_videos >= (select a
 
 def _gappy(t: Tables):
     seen = traffic.fleet_observed(_matched_counts(t))
-    typical = seen.agg(F.avg("n_videos").alias("__mean")).withColumn("__one", F.lit(1))
-    kept = seen.withColumn("__one", F.lit(1)).join(F.broadcast(typical), "__one")
-    return kept.where(F.col("n_videos") >= F.col("__mean")).drop("__one", "__mean")
+    kept = with_scalars(seen, seen.agg(F.avg("n_videos").alias("__mean")))
+    return kept.where(F.col("n_videos") >= F.col("__mean")).drop("__mean")
 
 
 @query("hours_filled", oracle("select * from ff", "total", **_CM, fo=_OBSERVED, gappy=_GAPPY, ff=_FILL))

@@ -69,7 +69,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     schema = "ts timestamp, site string, noise_db double"
     t = dt.datetime(2026, 1, 1, 8, 0)
     folder = str(tmp_path / "late_rows")
-    batches = [[(t, "a", 60.0)], [(t + dt.timedelta(hours=5), "a", 60.0)], [(t + dt.timedelta(minutes=5), "a", 90.0), (t + dt.timedelta(hours=9), "a", 60.0)], [(t + dt.timedelta(hours=15), "a", 50.0)]]
+    batches = [[(t, "a", 60.0)], [(t + dt.timedelta(hours=5), "a", 60.0)], [(t + dt.timedelta(hours=6), "a", 60.0)], [(t + dt.timedelta(minutes=5), "a", 90.0), (t + dt.timedelta(hours=9), "a", 60.0)], [(t + dt.timedelta(hours=15), "a", 50.0)]]
     for i, b in enumerate(batches):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
