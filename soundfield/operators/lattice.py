@@ -108,7 +108,8 @@ def disc_sums(
         *[F.sum(expr).alias(name) for name, expr in sums.items()]
     )
     where = where.select("*", cell(F.col("x"), radius).alias("cx"), cell(F.col("y"), radius).alias("cy"))
-    spots = spots.select("*", cell(F.col("x"), radius).alias("cx"), cell(F.col("y"), radius).alias("cy"))
+    # read by the load check and by every branch below
+    spots = cut_lineage(spots.select("*", cell(F.col("x"), radius).alias("cx"), cell(F.col("y"), radius).alias("cy")))
 
     key = [*match, "cx", "cy"]
     spread = spots.groupBy(*key).count().select(*match, F.explode(around(F.col("cx"), F.col("cy"))).alias("c"), "count")
@@ -118,7 +119,7 @@ def disc_sums(
 
     if depths in ([], [0]):
         return _plain_disc(where, spots, radius, names, match, strict)
-    tagged = where.join(load.select(*key, "__depth"), key)
+    tagged = cut_lineage(where.join(load.select(*key, "__depth"), key))
     parts = []
     for depth in sorted(depths):
         subset = tagged.where(F.col("__depth") == depth).drop("__depth")

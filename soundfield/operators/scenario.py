@@ -92,16 +92,16 @@ def construction_energies(cells: DataFrame, sources: DataFrame, radius: float =
     )
 
 
-def overlay_construction(
-    rows: DataFrame, sources: DataFrame, start: int, end: int, background: str = "background_db"
-) -> DataFrame:
+def with_construction(cells: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds construction_energy to cells (or grid rows); do it before hours and scenarios multiply them."""
+    got = construction_energies(cells, sources).drop("n_sources")
+    return cells.join(got, ["x", "y"], "left").withColumn("construction_energy", F.coalesce("construction_energy", F.lit(0.0)))
+
+
+def overlay_construction(rows: DataFrame, start: int, end: int, background: str = "background_db") -> DataFrame:
     """Adds effective_db: background plus the sites at work during working hours."""
-    joined = rows.join(construction_energies(rows, sources), ["x", "y"], "left")
-    active = F.col("hour").between(start, end)
-    extra = F.when(active, F.coalesce(F.col("construction_energy"), F.lit(0.0))).otherwise(0.0)
-    return joined.withColumn(
-        "effective_db", 10.0 * F.log10(levels.to_energy(F.col(background)) + extra)
-    ).drop("construction_energy", "n_sources")
+    extra = F.when(F.col("hour").between(start, end), F.col("construction_energy")).otherwise(0.0)
+    return rows.withColumn("effective_db", 10.0 * F.log10(levels.to_energy(F.col(background)) + extra))
 
 
 def zone_indicators(rows: DataFrame, keys: Sequence[str] = ("scenario", "site", "hour"), level: str = "effective_db") -> DataFrame:

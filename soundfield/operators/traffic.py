@@ -15,6 +15,7 @@ from soundfield.functions.numbers import per, rounded
 from soundfield.operators.quantiles import grouped_median, grouped_quantiles
 from soundfield.operators.scans import keep_first, previous_value, with_scalars
 from soundfield.operators.scenario import Scenario, with_scenarios
+from soundfield.session import cut_lineage
 
 FRAMES_PER_CHUNK = 1 << 16
 
@@ -23,32 +24,44 @@ def _order() -> list[Column]:
     return [F.col("frame"), F.col("sub"), F.col("cx"), F.col("cy")]
 
 
-def track_classes(detections: DataFrame) -> DataFrame:
-    """Modal class of each track; the class seen first wins a tie."""
-    votes = detections.where("track_id is not null").groupBy("video_id", "track_id", "cls").agg(
-        F.count(F.lit(1)).alias("votes"), F.min(F.struct(*_order(), "cls")).alias("first_seen")
+def track_summary(detections: DataFrame) -> DataFrame:
+    """One row per (video, track, class): the pass over the detections that everything but crossings shares.
+
+    Detections without a track keep a null track and count for density only.
+    """
+    return detections.groupBy("video_id", "track_id", "cls").agg(
+        F.count(F.lit(1)).alias("votes"), F.min(F.struct(*_order(), "cls")).alias("first_seen"),
+        F.min("cx").alias("x_lo"), F.max("cx").alias("x_hi"), F.min("cy").alias("y_lo"), F.max("cy").alias("y_hi"),
     )
+
+
+def track_classes(summary: DataFrame) -> DataFrame:
+    """Modal class of each track; the class seen first wins a tie."""
+    votes = summary.where("track_id is not null")
     return keep_first(votes, ["video_id", "track_id"], [F.desc("votes"), F.col("first_seen")]).select(
         "video_id", "track_id", F.col("cls").alias("track_cls"), "votes"
     )
 
 
-def dominant_axis(detections: DataFrame, width: float, height: float) -> DataFrame:
+def dominant_axis(summary: DataFrame, width: float, height: float) -> DataFrame:
     """x where the summed horizontal spans, in image widths, exceed the vertical ones in heights."""
-    spans = detections.where("track_id is not null").groupBy("video_id", "track_id").agg(
-        (F.max("cx") - F.min("cx")).alias("sx"), (F.max("cy") - F.min("cy")).alias("sy")
+    spans = summary.where("track_id is not null").groupBy("video_id", "track_id").agg(
+        (F.max("x_hi") - F.min("x_lo")).alias("sx"), (F.max("y_hi") - F.min("y_lo")).alias("sy")
     )
     total = spans.groupBy("video_id").agg(F.sum("sx").alias("span_x"), F.sum("sy").alias("span_y"))
     return total.withColumn("axis", F.when(F.col("span_x") / width > F.col("span_y") / height, "x").otherwise("y"))
 
 
-def crossings(detections: DataFrame, width: float, height: float, dead_band: float = C.DEAD_BAND) -> DataFrame:
+def crossings(
+    detections: DataFrame, width: float, height: float, dead_band: float = C.DEAD_BAND, summary: DataFrame | None = None
+) -> DataFrame:
     """Line crossings of each track: at most one per direction.
 
     Positions inside the dead band are left out; a crossing is a change of side
     between consecutive remaining positions.
     """
-    axes = dominant_axis(detections, width, height).select("video_id", "axis")
+    summary = track_summary(detections) if summary is None else summary
+    axes = dominant_axis(summary, width, height).select("video_id", "axis")
     placed = detections.where("track_id is not null").join(axes, "video_id")
     extent = F.when(F.col("axis") == "x", float(width)).otherwise(float(height))
     v = F.when(F.col("axis") == "x", F.col("cx")).otherwise(F.col("cy"))
@@ -64,9 +77,12 @@ def crossings(detections: DataFrame, width: float, height: float, dead_band: flo
     ).withColumn("crossings", F.col("forward") + F.col("backward"))
 
 
-def flow_per_class(detections: DataFrame, videos: DataFrame, width: float, height: float) -> DataFrame:
+def flow_per_class(
+    detections: DataFrame, videos: DataFrame, width: float, height: float, summary: DataFrame | None = None
+) -> DataFrame:
     """Crossings per minute by voted class for each video (long form)."""
-    counted = crossings(detections, width, height).join(track_classes(detections), ["video_id", "track_id"])
+    summary = track_summary(detections) if summary is None else summary
+    counted = crossings(detections, width, height, summary=summary).join(track_classes(summary), ["video_id", "track_id"])
     per = counted.groupBy("video_id", F.col("track_cls").alias("cls")).agg(F.sum("crossings").alias("crossings"))
     return per.join(videos.where("duration_s > 0").select("video_id", "duration_s"), "video_id").withColumn(
         "flow_per_min", F.col("crossings") / (F.col("duration_s") / 60.0)
@@ -74,11 +90,11 @@ def flow_per_class(detections: DataFrame, videos: DataFrame, width: float, heigh
 
 
 def density_per_video(
-    detections: DataFrame, videos: DataFrame, classes: Sequence[str] = C.VEHICLE_CLASSES, n_frames: str = "n_frames"
+    summary: DataFrame, videos: DataFrame, classes: Sequence[str] = C.VEHICLE_CLASSES, n_frames: str = "n_frames"
 ) -> DataFrame:
     """Mean objects per sampled frame, by class and in all; frames without objects count as zero."""
-    seen = detections.where(F.col("cls").isin(*classes)).groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("n_all"), *[F.sum((F.col("cls") == c).cast("int")).alias(f"n_{c}") for c in classes]
+    seen = summary.where(F.col("cls").isin(*classes)).groupBy("video_id").agg(
+        F.sum("votes").alias("n_all"), *[F.sum(F.when(F.col("cls") == c, F.col("votes")).otherwise(0)).alias(f"n_{c}") for c in classes]
     )
     joined = videos.where(F.col(n_frames) > 0).join(seen, "video_id", "left")
     mean = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0)) / F.col(n_frames)
@@ -87,9 +103,9 @@ def density_per_video(
     )
 
 
-def dwell(detections: DataFrame, sample_fps: float = C.SAMPLE_FPS) -> DataFrame:
+def dwell(summary: DataFrame, sample_fps: float = C.SAMPLE_FPS) -> DataFrame:
     """Tracks per video and their mean length in seconds."""
-    lengths = detections.where("track_id is not null").groupBy("video_id", "track_id").agg(F.count(F.lit(1)).alias("len"))
+    lengths = summary.where("track_id is not null").groupBy("video_id", "track_id").agg(F.sum("votes").alias("len"))
     return lengths.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_tracks"), (F.avg("len") / sample_fps).alias("dwell_s")
     )
@@ -98,16 +114,17 @@ def dwell(detections: DataFrame, sample_fps: float = C.SAMPLE_FPS) -> DataFrame:
 def video_counts(detections: DataFrame, videos: DataFrame, width: float, height: float, classes=C.VEHICLE_CLASSES) -> DataFrame:
     """The wide per-video table: density, flow, dwell, axis; two decimals, half-even."""
     motor = [c for c in classes if c in C.MOTOR_CLASSES]
-    density = density_per_video(detections, videos, classes)
-    flow = flow_per_class(detections, videos, width, height).groupBy("video_id").pivot("cls", list(classes)).agg(
+    summary = cut_lineage(track_summary(detections))
+    density = density_per_video(summary, videos, classes)
+    flow = flow_per_class(detections, videos, width, height, summary).groupBy("video_id").pivot("cls", list(classes)).agg(
         F.sum("flow_per_min")
     )
     flow = flow.select("video_id", *[F.col(c).alias(f"{c}_flow") for c in classes])
     total = sum((F.coalesce(F.col(f"{c}_flow"), F.lit(0.0)) for c in motor), F.lit(0.0))
     out = (
         density.join(flow, "video_id", "left")
-        .join(dwell(detections), "video_id", "left")
-        .join(dominant_axis(detections, width, height).select("video_id", F.col("axis").alias("line_axis")), "video_id", "left")
+        .join(dwell(summary), "video_id", "left")
+        .join(dominant_axis(summary, width, height).select("video_id", F.col("axis").alias("line_axis")), "video_id", "left")
         .withColumn("vehicles_flow", total)
         .withColumn("n_tracks", F.coalesce("n_tracks", F.lit(0)))
         .withColumn("dwell_s", rounded(F.coalesce("dwell_s", F.lit(0.0)), 2))

@@ -28,12 +28,12 @@ _CTES = {"votes_t": _VOTES, "axes": _AXES, "sides": _SIDES, "crossed": _CROSS}
 
 @query("track_classes", oracle("select * from votes_t", votes_t=_VOTES))
 def track_classes(t: Tables):
-    return traffic.track_classes(t.detections)
+    return traffic.track_classes(traffic.track_summary(t.detections))
 
 
 @query("dominant_axis", oracle("select * from axes", "span_x span_y", axes=_AXES))
 def dominant_axis(t: Tables):
-    return traffic.dominant_axis(t.detections, _W, _H)
+    return traffic.dominant_axis(traffic.track_summary(t.detections), _W, _H)
 
 
 @query("line_crossings", oracle(
@@ -58,7 +58,7 @@ _DENSITY = """select v.video_id, coalesce(n_car, 0) / v.n_frames as car_mean, co
 
 @query("density_per_video", oracle(_DENSITY, "car_mean moto_mean truck_mean vehicles_mean"))
 def density_per_video(t: Tables):
-    got = traffic.density_per_video(t.detections, t.videos)
+    got = traffic.density_per_video(traffic.track_summary(t.detections), t.videos)
     return got.select("video_id", "car_mean", "moto_mean", "truck_mean", "vehicles_mean")
 
 
@@ -67,7 +67,7 @@ _DWELL = "select video_id, count(*) as n_tracks, avg(len) / 10 as dwell_s from (
 
 @query("track_dwell", oracle(_DWELL, "dwell_s"))
 def track_dwell(t: Tables):
-    return traffic.dwell(t.detections)
+    return traffic.dwell(traffic.track_summary(t.detections))
 
 
 _COUNTS = """select v.video_id, v.start_s, round_even(d.car_mean, 2) as car_mean, round_even(d.moto_mean, 2) as moto_mean, round_even(d.truck_mean, 2) as truck_mean, round_even(d.vehicles_mean, 2) as vehicles_mean,
@@ -161,7 +161,11 @@ def hours_filled(t: Tables):
     return filled.select(F.col("site").alias("site_name"), "hour", "n_videos", "measured", "total")
 
 
-@query("fleet_by_hour")
+@query("fleet_by_hour", oracle(
+    """select site as site_name, hour, round_even(total, 3) as total, 1 as measured, n_videos, round_even(moto / total, 4) as moto_share, round_even(car / total, 4) as car_share, round_even(truck / total, 4) as truck_share,
+       0e0 as bus_share, round_even(total_fl, 3) as total_flow_per_min, round_even(moto_fl, 3) as moto_flow_per_min, round_even(car_fl, 3) as car_flow_per_min, round_even(truck_fl, 3) as truck_flow_per_min, 0e0 as bus_flow_per_min
+       from fo where hour between 5 and 21 and total > 0""",
+    "total moto_share car_share truck_share bus_share total_flow_per_min moto_flow_per_min car_flow_per_min truck_flow_per_min bus_flow_per_min", **_CM, fo=_OBSERVED))
 def fleet_by_hour(t: Tables):
     return traffic.fleet_by_hour(_matched_counts(t))
 

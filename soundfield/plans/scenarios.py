@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions import levels
 from soundfield.operators import scenario
+from soundfield.operators.grid import grid_cells
 from soundfield.operators.scenario import Scenario
 from soundfield.plans.registry import query
 from soundfield.plans.spatial import _DIST
@@ -60,8 +61,9 @@ _EFFECTIVE = "select s.*, 10 * log10(pow(10e0, background_db / 10) + case when h
     "mean_db peak_db pct_over_day pct_over_night mean_shift_db", **_CTES, con=_CONSTRUCTION, eff=_EFFECTIVE))
 def scenario_indicators(t: Tables):
     """Four scenarios with construction work from 8 to 17 h, per zone and hour."""
-    rows = scenario.apply_scenarios(scenario.decompose(t.grid, _share()), SCENARIOS)
-    return scenario.zone_indicators(scenario.overlay_construction(rows, t.sources, 8, 17))
+    rows = t.dress(scenario.with_construction(grid_cells(t.layout), t.sources))
+    rows = scenario.apply_scenarios(scenario.decompose(rows, _share(), scenario.ambience(t.grid)), SCENARIOS)
+    return scenario.zone_indicators(scenario.overlay_construction(rows, 8, 17))
 
 
 @query("unchanged_at_one", oracle(

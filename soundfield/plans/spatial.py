@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions import geo
 from soundfield.models import features
-from soundfield.operators import evaluation, grid, matching, scenario, shapes
+from soundfield.operators import describe, evaluation, grid, matching, scenario, shapes
 from soundfield.operators.lattice import disc_sums, nearest_points
 from soundfield.plans.registry import query
 from soundfield.plans.tables import Tables, oracle
@@ -220,11 +220,38 @@ def _validation(t: Tables):
     return grid.validate_against_grid(t.meas.select("obs_id", "x", "y", "hour", "noise_db", "site"), t.layout, t.grid)
 
 
-@query("grid_errors_by_site")
+_NEAR_CELL = "select * from (select a.*, b.site as cell_site, b.ix as cix, b.iy as ciy, " + _DIST + " as d, row_number() over (partition by a.obs_id order by " + _DIST + ", b.site, b.iy, b.ix) as rn from (select * from meas where hour between 5 and 21) a join cells b on b.x between a.x - 40 and a.x + 40 and b.y between a.y - 40 and a.y + 40) where rn = 1"
+_ERRORS = "select m.site, m.hour, m.noise_db, g.level_db as sim, g.level_db - m.noise_db as error, d from near m join grid g on g.site = m.cell_site and g.ix = m.cix and g.iy = m.ciy and g.hour = m.hour"
+
+
+@query("grid_errors_by_site", oracle(
+    """select site, count(*) as n, avg(error) as bias, avg(abs(error)) as mae, sqrt(avg(error * error)) as rmse, corr(noise_db, sim) as r, 1 - sum(error * error) / (var_pop(noise_db) * count(*)) as r2,
+       100e0 * avg(case when abs(error) <= 3 then 1e0 else 0e0 end) as within3, 100e0 * avg(case when abs(error) <= 5 then 1e0 else 0e0 end) as within5, median(d) as median_cell_dist_m from er group by site""",
+    "bias mae rmse r r2 within3 within5 median_cell_dist_m", near=_NEAR_CELL, er=_ERRORS))
 def grid_errors_by_site(t: Tables):
     return evaluation.validation_stats(_validation(t), ["site"])
 
 
+@query("error_by_hour_band", oracle(
+    """select case when hour <= 8 then '5-8h' when hour <= 12 then '9-12h' when hour <= 16 then '13-16h' else '17-21h' end as hour_band, count(*) as n, min(error) as min, quantile_cont(error, 0.25) as q1, median(error) as median,
+       quantile_cont(error, 0.75) as q3, max(error) as max from er group by 1""", "min q1 median q3 max", near=_NEAR_CELL, er=_ERRORS))
+def error_by_hour_band(t: Tables):
+    return describe.error_by_hour_band(_validation(t))
+
+
+@query("error_histogram", oracle(
+    """select bin, n, -20 + bin * 2e0 as bin_low, n / (sum(n) over () * 2e0) as density from (select cast(least(floor((error + 20) / 2e0), 19) as int) as bin, count(*) as n from er where error between -20 and 20 group by 1)""",
+    "bin_low density", near=_NEAR_CELL, er=_ERRORS))
+def error_histogram(t: Tables):
+    return describe.histogram(_validation(t), F.col("error"), -20.0, 20.0, 2.0)
+
+
+@query("frame_area", oracle("select kind, sum(w * h) / 1e6 as area_km2 from wards group by 1", "area_km2"))
+def frame_area(t: Tables):
+    """Area of the study frame by kind of unit."""
+    return t.ward_rings.groupBy("kind").agg((F.sum(geo.ring_area(F.col("ring"))) / 1e6).alias("area_km2"))
+
+
 @query("cell_lookup", oracle(
     """select o.obs_id, n.cell_site, n.ix, n.iy, n.d as cell_dist_m from obs o left join (select * from (select a.obs_id, b.site as cell_site, b.ix, b.iy, """ + _DIST + """ as d,
        row_number() over (partition by a.obs_id order by """ + _DIST + """, b.site, b.iy, b.ix) as rn from obs a join cells b on b.x between a.x - 80 and a.x + 80 and b.y between a.y - 80 and a.y + 80)

@@ -140,8 +140,11 @@ class Tables:
     @cached_property
     def grid(self) -> DataFrame:
         """Grid rows with a simple made-up level and distances, for lookup and scenario queries."""
-        rows = expand_hours(grid_cells(self.layout))
-        return rows.select(
+        return self.dress(grid_cells(self.layout))
+
+    @staticmethod
+    def dress(cells: DataFrame) -> DataFrame:
+        return expand_hours(cells).select(
             "*", (40.0 + (F.col("ix") * 7 + F.col("iy") * 13 + F.col("hour") * 3) % 41).alias("level_db"),
             (1.0 + F.col("ix") * 11 % 300).alias("d_hw"), (1.0 + F.col("iy") * 17 % 400).alias("d_res"),
         )

@@ -17,14 +17,14 @@ SCHEMA = ("seq int, timestamp timestamp_ntz, latitude double, longitude double,
 
 def rows(spark, *given):
     base = dict(timestamp=T1, latitude=21.0317, longitude=105.8514, accuracy=4.9, noise_db=70.0, **{"class": "Transportation noise"},
-                site="Hoan Kiem lake", collector="lucas", contributor_id=None, dist_to_road="0-2 m")
+                site="Hoan Kiem lake", collector="ann", contributor_id=None, dist_to_road="0-2 m")
     names = [p.strip().split(" ")[0] for p in SCHEMA.split(",")]
     data = [tuple({**base, **g, "seq": i}[n] for n in names) for i, g in enumerate(given)]
     return spark.createDataFrame(data, SCHEMA)
 
 
 def test_one_person_counts_once_per_instant(spark):
-    assert cleaning.clean(rows(spark, {}, {}, {"collector": "quang"})).count() == 2
+    assert cleaning.clean(rows(spark, {}, {}, {"collector": "bob"})).count() == 2
 
 
 def test_two_contributors_stay_apart(spark):
@@ -40,7 +40,7 @@ def test_contributor_twice(spark):
 def test_mixed_keys(spark):
     df = rows(spark, {}, {"collector": "public", "contributor_id": "aaa"}, {"collector": "public", "contributor_id": "  "})
     keys = [r[0] for r in df.orderBy("seq").select(survey.dedup_key(F.col("contributor_id"), F.col("collector"))).collect()]
-    assert keys == ["lucas", "aaa", "public"]
+    assert keys == ["ann", "aaa", "public"]
 
 
 def test_first_row_wins_and_dedup_precedes_bounds(spark):
@@ -54,9 +54,9 @@ def test_bounds(spark):
 
 
 def test_offset_follows_bounds(spark):
-    df = rows(spark, {}, {"collector": "public"}, {"collector": "quang", "noise_db": 119.5})
-    got = {r.collector: r.noise_db for r in cleaning.clean(df, offsets={"lucas": 1.5, "quang": 2.0}).collect()}
-    assert got == {"lucas": 71.5, "public": 70.0, "quang": 121.5}
+    df = rows(spark, {}, {"collector": "public"}, {"collector": "bob", "noise_db": 119.5})
+    got = {r.collector: r.noise_db for r in cleaning.clean(df, offsets={"ann": 1.5, "bob": 2.0}).collect()}
+    assert got == {"ann": 71.5, "public": 70.0, "bob": 121.5}
 
 
 def test_people_are_never_published(spark):
@@ -88,10 +88,10 @@ def test_outside_every_site(spark):
 
 def test_standardize_is_loud_about_positions_and_quiet_about_counts(spark):
     text = spark.createDataFrame(
-        [("2026-06-22T06:27:00.5+00:00", "21.03", "105.85", "70", " LUCAS ", "d_0_2", "many", "Construction noise")],
+        [("2026-06-22T06:27:00.5+00:00", "21.03", "105.85", "70", " ANN ", "d_0_2", "many", "Construction noise")],
         "timestamp string, latitude string, longitude string, noise_db string, collector string, dist_to_road string, count_cars string, class string")
     r = cleaning.standardize(text).first()
-    assert (r.timestamp, r.collector, r.dist_to_road, r.count_cars) == (dt.datetime(2026, 6, 22, 13, 27, 0, 500000), "lucas", "0-2 m", None)
+    assert (r.timestamp, r.collector, r.dist_to_road, r.count_cars) == (dt.datetime(2026, 6, 22, 13, 27, 0, 500000), "ann", "0-2 m", None)
     assert (r.phone_orientation, r.mic_to_source, r.construction_nearby) == ("horizontal", "towards", "yes")
     with pytest.raises(Exception):
         cleaning.standardize(text.withColumn("noise_db", F.lit("loud"))).collect()

@@ -93,9 +93,9 @@ def test_scenarios(cells):
 
 def test_construction_overlay(spark, cells):
     sources = spark.createDataFrame([(450.0, 450.0)] * 3, "x double, y double")
-    rows = cells.withColumn("background_db", F.col("level_db")).withColumn("scenario", F.lit("s"))
-    quiet = scenario.overlay_construction(rows, sources, 10, 12).where("effective_db > background_db + 1e-9").count()
-    loud = scenario.overlay_construction(rows, sources, 8, 12).where("effective_db > background_db + 1e-9").toPandas()
+    rows = scenario.with_construction(cells, sources).withColumn("background_db", F.col("level_db")).withColumn("scenario", F.lit("s"))
+    quiet = scenario.overlay_construction(rows, 10, 12).where("effective_db > background_db + 1e-9").count()
+    loud = scenario.overlay_construction(rows, 8, 12).where("effective_db > background_db + 1e-9").toPandas()
     d = np.hypot(loud.x - 450, loud.y - 450)
     assert quiet == 0 and len(loud) and (d <= 250).all()
     first = loud.iloc[0]

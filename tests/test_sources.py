@@ -8,10 +8,10 @@ from soundfield.operators import cleaning, grid
 from soundfield.sources import readers, writers
 
 EXPORT = """start;Who is collecting?;_Location_latitude;_Location_longitude;_Location_precision;Noise level (dB);Noise category;Study site;Distance to nearest road;Cars passing
-2026-06-22T06:27:00.000+07:00;Lucas;21.0317;105.8514;4.9;70,5;Transportation noise;Ocean Park;d_0_2;3
-2026-06-22T06:27:00.000+07:00;Lucas;21.0317;105.8514;4.9;71.5;Transportation noise;Ocean Park;d_0_2;many
-2026-06-23T01:00:00.000+07:00;Quang;20.9928;105.8690;80;66;Construction noise;Vinh Tuy area;d_2_10;
-2026-06-23T02:00:00.000+07:00;Quang;20.9928;105.8690;;66;Construction noise;Vinh Tuy area;d_2_10;
+2026-06-22T06:27:00.000+07:00;Ann;21.0317;105.8514;4.9;70,5;Transportation noise;Ocean Park;d_0_2;3
+2026-06-22T06:27:00.000+07:00;Ann;21.0317;105.8514;4.9;71.5;Transportation noise;Ocean Park;d_0_2;many
+2026-06-23T01:00:00.000+07:00;Bob;20.9928;105.8690;80;66;Construction noise;Vinh Tuy area;d_2_10;
+2026-06-23T02:00:00.000+07:00;Bob;20.9928;105.8690;;66;Construction noise;Vinh Tuy area;d_2_10;
 """
 
 
