@@ -73,6 +73,21 @@ def construction_source(df: DataFrame, near: Column, distances: Sequence[float]
     return source.withColumn("total_db", levels.to_level(total))
 
 
+def emission_table(coefficients: DataFrame, source: DataFrame) -> DataFrame:
+    """Result table of emissions: one row per vehicle class plus the construction source.
+
+    `coefficients`: category, energy, level_db, identifiable; `source`: from `construction_source`.
+    """
+    classes = coefficients.where(~F.col("category").startswith("bg::")).select(
+        "category", "energy", "level_db", F.lit(None).cast("double").alias("ref_distance_m"), F.col("identifiable").cast("int").alias("identifiable")
+    )
+    work = source.limit(1).select(
+        F.lit("construction").alias("category"), levels.to_energy(F.col("source_db")).alias("energy"), F.col("source_db").alias("level_db"),
+        F.lit(C.CONSTRUCTION_REF_M).alias("ref_distance_m"), F.lit(1).alias("identifiable"),
+    )
+    return classes.unionByName(work)
+
+
 def combine_calibrations(attempts: DataFrame, key: str = "device") -> DataFrame:
     """Offset, spread and agreement of repeated comparisons of a phone with a reference meter."""
     diff = F.col("reference_db") - F.col("measured_db")
