@@ -441,9 +441,9 @@ def development_names(t: Tables):
 
 
 @query("unit_kinds", oracle(
-    """select n_nationkey, case when starts_with(n_name, 'NATION_1') then 'phuong' else 'xa' end as kind from nation"""))
+    """select c_custkey, case when starts_with(c_name, 'Customer#0000001') then 'phuong' else 'xa' end as kind from customer"""))
 def unit_kinds(t: Tables):
-    return t.raw("nation").select("n_nationkey", survey.unit_kind(F.col("n_name"), "NATION_1").alias("kind"))
+    return t.raw("customer").select("c_custkey", survey.unit_kind(F.col("c_name"), "Customer#0000001").alias("kind"))
 
 
 @query("road_classes", oracle("select road_id, kind as road_class from roads"))

@@ -246,10 +246,14 @@ def error_histogram(t: Tables):
     return describe.histogram(_validation(t), F.col("error"), -20.0, 20.0, 2.0)
 
 
-@query("frame_area", oracle("select kind, sum(w * h) / 1e6 as area_km2 from wards group by 1", "area_km2"))
+@query("frame_area", oracle(
+    "select cast(floor((cx - 580000) / 12000) as bigint) as site_no, count(*) as n, sum(side_m * side_m) / 1e6 as area_km2 from buildings group by 1", "area_km2"))
 def frame_area(t: Tables):
-    """Area of the study frame by kind of unit."""
-    return t.ward_rings.groupBy("kind").agg((F.sum(geo.ring_area(F.col("ring"))) / 1e6).alias("area_km2"))
+    """Summed polygon area by site."""
+    site = F.floor((F.col("cx") - 580000) / 12000)
+    return t.building_rings.groupBy(site.alias("site_no")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(geo.ring_area(F.col("ring"))) / 1e6).alias("area_km2")
+    )
 
 
 @query("cell_lookup", oracle(
