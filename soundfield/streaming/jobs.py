@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from soundfield import config as C
 from soundfield.functions import levels, survey
-from soundfield.operators.scans import keep_first
+from soundfield.operators.scans import keep_first, previous_value, running_totals
 
 SLOW_S, FAST_S = 1.0, 0.125
 
@@ -62,12 +62,31 @@ def windowed_levels(
 
 def sessions(rows: DataFrame, *, key: str = "collector", gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
     """Visits of a collector: runs of rows with no pause longer than the gap."""
-    marked = rows if delay is None else rows.withWatermark("ts", delay)
-    return marked.groupBy(F.session_window("ts", gap).alias("w"), key).agg(
+    if delay is None:
+        return _sessions_batch(rows, key, gap)
+    return rows.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), key).agg(
         F.count(F.lit(1)).alias("n"), levels.energy_mean_level(F.col("noise_db")).alias("laeq_db")
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "laeq_db")
 
 
+def _sessions_batch(rows: DataFrame, key: str, gap: str) -> DataFrame:
+    """Same sessions by chunked scans over days, so that one busy collector is not one task."""
+    pause = F.expr(f"interval {gap}")
+    instants = rows.where("ts is not null").groupBy(key, "ts").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(levels.to_energy(F.col("noise_db"))).alias("e"), F.count("noise_db").alias("m")
+    )
+    day = F.unix_date(F.to_date("ts"))
+    seen = previous_value(instants, [key], day, [F.col("ts")], "ts", "before")
+    fresh = F.when(F.col("before").isNull() | (F.col("ts") > F.col("before") + pause), 1).otherwise(0)
+    # sessions started up to and including this row
+    counted = running_totals(seen.withColumn("fresh", fresh), [key], day, [F.col("ts")], {"started": F.col("fresh")})
+    numbered = counted.withColumn("session", F.col("started") + F.col("fresh"))
+    return numbered.groupBy(key, "session").agg(
+        F.min("ts").alias("start"), (F.max("ts") + pause).alias("end"), F.sum("n").alias("n"),
+        (10.0 * F.log10(F.sum("e") / F.sum("m"))).alias("laeq_db"),
+    ).select("start", "end", key, "n", "laeq_db")
+
+
 def live_exceedance(rows: DataFrame, *, key: str = "site", width: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
     """Windows whose level is over the limit of the hour they start in."""
     table = windowed_levels(rows, key=key, width=width, delay=delay)
