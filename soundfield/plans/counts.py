@@ -161,11 +161,24 @@ def hours_filled(t: Tables):
     return filled.select(F.col("site").alias("site_name"), "hour", "n_videos", "measured", "total")
 
 
+_FRAME = """select s.site, h.hour, (select max(hour) from seen g where g.site = s.site and g.hour <= h.hour) as h0, (select min(hour) from seen g where g.site = s.site and g.hour >= h.hour) as h1
+ from (select distinct site from fo) s cross join (select cast(unnest(range(5, 22)) as int) as hour) h"""
+
+
+def _line(column: str) -> str:
+    return f"coalesce(case when h1 > h0 then a.{column} + (b.{column} - a.{column}) * ((f.hour - h0) / cast(h1 - h0 as double)) end, a.{column}, b.{column})"
+
+
+_FLEET = f"""select site_name, hour, measured, n_videos, round_even(total, 3) as total, round_even(total_fl, 3) as total_flow_per_min, 0e0 as bus_share, 0e0 as bus_flow_per_min,
+ {", ".join(f"case when total > 0 then round_even({c} / total, 4) else 0 end as {c}_share, round_even({c}_fl, 3) as {c}_flow_per_min" for c in ("moto", "car", "truck"))}
+ from (select f.site as site_name, f.hour, case when o.n_videos is null then 0 else 1 end as measured, coalesce(o.n_videos, 0) as n_videos,
+ {", ".join(f"{_line(c)} as {c}" for c in ("moto", "car", "truck", "total", "moto_fl", "car_fl", "truck_fl", "total_fl"))}
+ from frame f left join seen o on o.site = f.site and o.hour = f.hour left join seen a on a.site = f.site and a.hour = h0 left join seen b on b.site = f.site and b.hour = h1)"""
+
+
 @query("fleet_by_hour", oracle(
-    """select site as site_name, hour, round_even(total, 3) as total, 1 as measured, n_videos, round_even(moto / total, 4) as moto_share, round_even(car / total, 4) as car_share, round_even(truck / total, 4) as truck_share,
-       0e0 as bus_share, round_even(total_fl, 3) as total_flow_per_min, round_even(moto_fl, 3) as moto_flow_per_min, round_even(car_fl, 3) as car_flow_per_min, round_even(truck_fl, 3) as truck_flow_per_min, 0e0 as bus_flow_per_min
-       from fo where hour between 5 and 21 and total > 0""",
-    "total moto_share car_share truck_share bus_share total_flow_per_min moto_flow_per_min car_flow_per_min truck_flow_per_min bus_flow_per_min", **_CM, fo=_OBSERVED))
+    "select * from fleet", "total moto_share car_share truck_share bus_share total_flow_per_min moto_flow_per_min car_flow_per_min truck_flow_per_min bus_flow_per_min",
+    **_CM, fo=_OBSERVED, seen="select * from fo where hour between 5 and 21", frame=_FRAME, fleet=_FLEET))
 def fleet_by_hour(t: Tables):
     return traffic.fleet_by_hour(_matched_counts(t))
 

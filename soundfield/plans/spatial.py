@@ -160,7 +160,7 @@ def points_in_zones(t: Tables):
 
 
 @query("roads_clipped", oracle(
-    """select road_id, zone, (t1 - t0) * sqrt(dx * dx + dy * dy) as length_m from (
+    """select road_id, zone, round((t1 - t0) * sqrt(dx * dx + dy * dy), 3) as length_m from (
        select road_id, z.site as zone, x2 - x1 as dx, y2 - y1 as dy,
          greatest(0, case when x2 > x1 then (x_lo - x1) / (x2 - x1) when x2 < x1 then (x_hi - x1) / (x2 - x1) else 0 end, case when y2 > y1 then (y_lo - y1) / (y2 - y1) when y2 < y1 then (y_hi - y1) / (y2 - y1) else 0 end) as t0,
          least(1, case when x2 > x1 then (x_hi - x1) / (x2 - x1) when x2 < x1 then (x_lo - x1) / (x2 - x1) else 1 end, case when y2 > y1 then (y_hi - y1) / (y2 - y1) when y2 < y1 then (y_lo - y1) / (y2 - y1) else 1 end) as t1
@@ -170,25 +170,26 @@ def roads_clipped(t: Tables):
     zones = _small_zones(t).withColumnRenamed("site", "zone")
     parts = shapes.clip_segments(t.roads.drop("site"), zones)
     length = geo.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return parts.select("road_id", "zone", length.alias("length_m"))
+    return parts.select("road_id", "zone", F.round(length, 3).alias("length_m"))
 
 
 @query("buildings_clipped", oracle(
-    """select bld_id, zone, w * h as area_m2 from (select bld_id, z.site as zone, least(cx + side_m / 2, x_hi) - greatest(cx - side_m / 2, x_lo) as w,
-       least(cy + side_m / 2, y_hi) - greatest(cy - side_m / 2, y_lo) as h from buildings b, zone z) where w > 0 and h > 0""", "area_m2", box=_BOX, zone=_ZONE))
+    """select * from (select bld_id, zone, round(w * h, 3) as area_m2 from (select bld_id, z.site as zone, least(cx + side_m / 2, x_hi) - greatest(cx - side_m / 2, x_lo) as w,
+       least(cy + side_m / 2, y_hi) - greatest(cy - side_m / 2, y_lo) as h from buildings b, zone z) where w > 0 and h > 0) where area_m2 > 0""", "area_m2", box=_BOX, zone=_ZONE))
 def buildings_clipped(t: Tables):
     zones = _small_zones(t).withColumnRenamed("site", "zone")
     parts = shapes.clip_rings(t.building_rings.select("bld_id", "ring"), zones)
-    return parts.select("bld_id", "zone", geo.ring_area(F.col("ring")).alias("area_m2")).where("area_m2 > 0")
+    return parts.select("bld_id", "zone", F.round(geo.ring_area(F.col("ring")), 3).alias("area_m2")).where("area_m2 > 0")
 
 
 @query("building_shapes", oracle(
-    "select bld_id, side_m * side_m as area_m2, cx, cy, 3 * side_m as open_length_m from buildings", "area_m2 cx cy open_length_m"))
+    "select bld_id, round(side_m * side_m, 3) as area_m2, cx, cy, round(3 * side_m, 3) as open_length_m from buildings", "area_m2 cx cy open_length_m"))
 def building_shapes(t: Tables):
     ring = F.col("ring")
     cx, cy = geo.ring_centroid(ring)
     return t.building_rings.select(
-        "bld_id", geo.ring_area(ring).alias("area_m2"), cx.alias("cx"), cy.alias("cy"), geo.polyline_length(ring).alias("open_length_m")
+        "bld_id", F.round(geo.ring_area(ring), 3).alias("area_m2"), F.round(cx, 3).alias("cx"), F.round(cy, 3).alias("cy"),
+        F.round(geo.polyline_length(ring), 3).alias("open_length_m"),
     )
 
 
