@@ -100,7 +100,7 @@ def predictions(features: DataFrame, protocol: str, models: Sequence[str] | None
         rows = rows.withColumn("fold", F.col("site"))
     rows = cut_lineage(rows)
     if protocol != BUFFERED:
-        names = sorted(r[0] for r in rows.select("fold").distinct().collect())  # five blocks folds, or the sites
+        names = sorted(r[0] for r in rows.select("fold").distinct().collect())  # the block folds, or the sites
     done = []
     for name in models or list(MODELS):
         model = MODELS[name]
