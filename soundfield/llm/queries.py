@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import packing, pii, simhash, toxicity
+from soundfield.llm import decontam, packing, pii, simhash, toxicity
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,29 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = pii.found(docs, pii.train(docs))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.is_contaminated().alias("contaminated"),
+    )
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op7_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select distinct item_id::varchar as item, {_WORDS} as w from benchmark where item_id is not null),
+bw as (select distinct item, len(win) as n, array_to_string(win, ' ') as win from (
+  select item, unnest(list_transform(generate_series(1, greatest(len(w) - 12, 1)), lambda i: w[i:i + 12])) as win from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as win from (
+  select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from d, sizes)),
+hits as (select doc_id, s, dw.n, item from dw join bw on dw.win = bw.win and dw.n = bw.n),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as h from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words using (doc_id) left join items using (doc_id)"""
