@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import decontam, packing, pii, simhash, toxicity
+from soundfield.llm import decontam, packing, pii, simhash, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,19 @@ items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (doc_id) left join items using (doc_id)"""
+
+
+@query
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), spark.createDataFrame(urls.RULES, "host string, path string, verdict string"))
+
+
+_RULE_ROWS = ", ".join(str(r) for r in urls.RULES)
+ORACLES["op6_urls"] = f"""
+with rules(rh, rp, v) as (values {_RULE_ROWS}),
+p as (select page_id, row_number() over () as k, case when instr(coalesce(url, ''), '://') > 0 then url[instr(url, '://') + 3:] else '' end as rest from pages),
+q as (select page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+best as (select k, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v from q join rules
+  on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by k)
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from q left join best using (k)"""
