@@ -40,40 +40,49 @@ COMMON = re.compile("[\x00-ɏ‐-‧‰-⁞€]*")
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Token ids of texts.  Byte-level BPE never joins words, so each word goes through the tokenizer once and is remembered."""
+    """Token ids of texts.  Byte-level BPE never joins words, so each word goes to the model once and is remembered."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most_words = most_words
+        self.letters, self.most_words = _byte_letters(), most_words
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.flat, self.start = np.zeros(1 << 16, np.uint32), [0]
+        self.flat, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for encoded in (self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids, at = encoded.ids, self.start[-1]
-            if at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[at : at + len(ids)] = ids
-            self.start.append(at + len(ids))
+        pieces_of, letters, flat, sizes = self.tokenizer.model.tokenize, self.letters, [], []
         for w in words:
-            self.words[w] = len(self.words)
+            ids = [t.id for t in pieces_of(w.encode().decode("latin-1").translate(letters))]
+            flat += ids
+            sizes.append(len(ids))
+        known, at = len(self.words), int(self.bounds[len(self.words)])
+        self.flat = _room(self.flat, at + len(flat))
+        self.bounds = _room(self.bounds, known + len(words) + 1)
+        self.flat[at : at + len(flat)] = flat
+        self.bounds[known + 1 : known + len(words) + 1] = at + np.cumsum(sizes)
+        self.words.update(zip(words, range(known, known + len(words)), strict=True))
 
     def of(self, text: str) -> np.ndarray:
         if not COMMON.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         words = WORD.findall(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        new = list(dict.fromkeys(w for w in words if w not in self.words))
         if new:
             if len(self.words) + len(new) > self.most_words and self.words:
                 self._forget()
                 new = list(dict.fromkeys(words))
             self._learn(new)
-            self.bounds = np.array(self.start)
         if not words:
             return np.zeros(0, np.uint32)
         which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
@@ -83,6 +92,11 @@ class Ids:
         return self.flat[np.arange(after[-1]) + np.repeat(first - after + size, size)]
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """`array`, or a copy with twice the room or more if it is shorter than n."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(len(array), n), array.dtype)])
+
+
 _LOADED: dict[str, Ids] = {}
 
 
