@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import decontam, packing, pii, simhash, toxicity, urls
+from soundfield.llm import decontam, packing, pii, simhash, syncmers, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,12 @@ q as (select page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJ
 best as (select k, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v from q join rules
   on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by k)
 select page_id, host, path, rule, coalesce(v, 'allow') as verdict from q left join best using (k)"""
+
+
+@query
+def op9_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.with_edited(table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.fingerprint("hashes").alias("fingerprint"),
+        syncmers.fingerprint("edited_hashes").alias("edited_fingerprint"), syncmers.likeness("hashes", "edited_hashes").alias("near_edited"),
+        syncmers.likeness("hashes", "next_hashes").alias("near_next"),
+    )
