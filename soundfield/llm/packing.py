@@ -37,20 +37,21 @@ CAPACITY, END = 1024, 2
 LETTER, DIGIT, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 #: Texts of these characters only are split here; others go to the tokenizer whole.
 COMMON = re.compile("[\x00-ɏ‐-‧‰-⁞€]*")
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD = re.compile(f" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
+    """What byte-level vocabularies write for the characters of COMMON: for each of its bytes itself, or the next letter from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letter = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x20AD) if COMMON.fullmatch(chr(c))}
 
 
 class Ids:
     """Token ids of texts.  Byte-level BPE never joins words, so each word goes to the model once and is remembered."""
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters, self.most_words = _byte_letters(), most_words
@@ -62,8 +63,8 @@ class Ids:
 
     def _learn(self, words: list[str]) -> None:
         pieces_of, letters, flat, sizes = self.tokenizer.model.tokenize, self.letters, [], []
-        for w in words:
-            ids = [t.id for t in pieces_of(w.encode().decode("latin-1").translate(letters))]
+        for w in "\uffff".join(words).translate(letters).split("\uffff"):
+            ids = [t.id for t in pieces_of(w)]
             flat += ids
             sizes.append(len(ids))
         known, at = len(self.words), int(self.bounds[len(self.words)])
@@ -77,11 +78,11 @@ class Ids:
         if not COMMON.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         words = WORD.findall(text)
-        new = list(dict.fromkeys(w for w in words if w not in self.words))
+        new = list(set(words).difference(self.words))
         if new:
             if len(self.words) + len(new) > self.most_words and self.words:
                 self._forget()
-                new = list(dict.fromkeys(words))
+                new = list(set(words))
             self._learn(new)
         if not words:
             return np.zeros(0, np.uint32)
