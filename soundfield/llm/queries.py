@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import decontam, packing, pii, quality, simhash, syncmers, toxicity, urls
+from soundfield.llm import decontam, packing, pii, quality, repeats, simhash, syncmers, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = quality.scored(docs.select("doc_id", "text"), *quality.train(docs, table(spark, folder, "labels")), "score")
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, folder, "documents")).drop("kept")
