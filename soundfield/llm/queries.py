@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import decontam, packing, pii, quality, repeats, simhash, syncmers, toxicity, urls
+from soundfield.llm import decontam, packing, paragraphs, pii, quality, repeats, simhash, syncmers, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.deduplicated(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.duplicates(table(spark, folder, "documents"))
