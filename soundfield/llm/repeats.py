@@ -182,33 +182,47 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def intervals(lcp: list[int], left: list[int], lo: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
-    """Maximal common-prefix intervals (first, last, length, least of `lo`) of sorted suffixes, by a scan with a stack.
+def intervals(lcp: list[int], left: list[int], lo: list[int], least: int) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Maximal common-prefix intervals (first, last, length, least of `lo`, new) of sorted suffixes, by a scan with a stack.
 
     lcp[i] is the common prefix of suffixes i - 1 and i (lcp[0] is 0); left[i] is the byte before suffix i, -1 at an edge.
     An interval is maximal to the right by its nature; it is reported if the bytes to its left differ or one is an edge.
+    `new` are the ranges of the interval that no longer one inside it, with the same least, has reported.
     """
-    stack: list[list[int]] = []  # first, length, left byte or -2 if they differ, least of lo
+    stack: list[list] = []  # first, length, left byte or -2 if they differ, least of lo, (first, last, least) of reported ones inside
     for i in range(1, len(lcp) + 1):
         here = lcp[i] if i < len(lcp) else 0
-        first, byte, low = i - 1, left[i - 1] if left[i - 1] >= 0 else -2, lo[i - 1]
+        first, byte, low, inside = i - 1, left[i - 1] if left[i - 1] >= 0 else -2, lo[i - 1], []
         while stack and stack[-1][1] > here:
-            top = stack.pop()
-            top[2] = top[2] if top[2] == byte else -2
-            top[3] = min(top[3], low)
-            if top[2] == -2:
-                yield top[0], i - 1, top[1], top[3]
-            first, byte, low = top[0], top[2], top[3]
+            begin, length, own, least_own, held = stack.pop()
+            byte, low = own if own == byte else -2, min(least_own, low)
+            held += inside
+            if byte == -2:
+                new, at = [], begin
+                for a, b, x in held:
+                    if x == low:
+                        if a > at:
+                            new.append((at, a - 1))
+                        at = b + 1
+                if at < i:
+                    new.append((at, i - 1))
+                yield begin, i - 1, length, low, new
+                held = [(begin, i - 1, low)]
+            first, inside = begin, held
         if here >= least:
             if stack and stack[-1][1] == here:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == byte else -2
-                stack[-1][3] = min(stack[-1][3], low)
+                top = stack[-1]
+                top[2], top[3] = top[2] if top[2] == byte else -2, min(top[3], low)
+                top[4] += inside
             else:
-                stack.append([first, here, byte, low])
+                stack.append([first, here, byte, low, inside])
 
 
-def groups(near: list[bytes], lo: list[int], hi: list[int]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """Maximal repeat groups (length, least doc, [(neighbourhood, start)]) among neighbourhoods of one anchor."""
+def groups(near: list[bytes], lo: list[int], hi: list[int], whole: bool = True) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Maximal repeat groups (length, least doc, [(neighbourhood, start)]) among neighbourhoods of one anchor.
+
+    With all occurrences, or, if not `whole`, without those that a longer group with the same least doc has.
+    """
     for i, (text, a, b) in enumerate(zip(near, lo, hi, strict=True)):
         if b > a:  # a leaf that several documents share
             yield len(text), a, [(i, 0)]
@@ -233,21 +247,30 @@ def groups(near: list[bytes], lo: list[int], hi: list[int]) -> Iterator[tuple[in
     for run in np.split(busy, np.flatnonzero(lcp[busy] < MIN_LEN)[1:]) if len(busy) else []:
         own = lcp[run].copy()
         own[0] = 0
-        for first, last, length, low in intervals(own.tolist(), left[run].tolist(), docs[run].tolist(), MIN_LEN):
-            part = run[first : last + 1]
-            yield length, low, list(zip(which[part].tolist(), start[part].tolist(), strict=True))
+        places = list(zip(which[run].tolist(), start[run].tolist(), strict=True))
+        for first, last, length, low, new in intervals(own.tolist(), left[run].tolist(), docs[run].tolist(), MIN_LEN):
+            if whole:
+                yield length, low, places[first : last + 1]
+            elif new:
+                yield length, low, [x for a, b in new for x in places[a : b + 1]]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by h in, (h, key, at, length, lo) out: what may be removed of each neighbourhood, and the least doc having it."""
 
     def close(h: int, rows: list[tuple]) -> None:
-        best: dict[tuple[int, int, int], int] = {}
-        for length, low, places in groups([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]):
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for length, low, places in groups([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], whole=False):
             for i, start in places:
                 if low < rows[i][2]:
-                    best[i, start, length] = min(low, best.get((i, start, length), LAST))
-        out.extend((h, rows[i][3], start, length, low) for (i, start, length), low in best.items())
+                    found[i].append((low, -length, start))
+        for i, own in found.items():  # what runs with a smaller or equal least doc cover together adds nothing
+            covered = 0
+            for low, length, start in sorted(own):
+                bits = ((1 << -length) - 1) << start
+                if bits & ~covered:
+                    covered |= bits
+                    out.append((h, rows[i][3], start, -length, low))
 
     names, out = ["h", "key", "at", "length", "lo"], []
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
