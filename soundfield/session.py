@@ -27,15 +27,22 @@ def local_session(cores: int = 8, app: str = "soundfield", **conf: str) -> Spark
     return spark
 
 
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and continue from there.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`.  Only a
-    session without that setting (tests, laptops) gets a scratch folder.
+    The folder is the one the cluster names in `spark.checkpoint.dir`.  A local
+    session without that setting gets a scratch folder; a cluster without it is
+    an error, since its nodes do not share their own disks.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-soundfield-", dir="/tmp"))
+        if not named and not one_machine(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-soundfield-"))
     return df.checkpoint(eager=True)
