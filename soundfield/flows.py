@@ -12,6 +12,7 @@ from soundfield.functions import geo
 from soundfield.models import features as feat
 from soundfield.models import selection, trees
 from soundfield.operators import cleaning, evaluation, grid
+from soundfield.session import cut_lineage
 from soundfield.sources import readers, writers
 
 UTM_ZONE = 48
@@ -41,16 +42,20 @@ def build_features(points: DataFrame, buildings: DataFrame, nodes: DataFrame, ro
 
 
 def evaluate_and_select(
-    rows: DataFrame, out: str, *, protocols: Sequence[str] = (selection.BLOCK_CV, selection.BUFFERED, selection.SITE_OUT),
+    rows: DataFrame, out: str, *, protocols: Sequence[str] = (selection.BLOCK_CV, selection.BUFFERED, selection.BUFFERED_FOLDS, selection.SITE_OUT),
     models: Sequence[str] | None = None, n_boot: int = C.N_BOOT,
 ) -> trees.Delivered:
-    """Scores, gains and per-site tables as files; the selected model fitted on all rows and saved."""
+    """Scores, gains and per-site tables as files; the selected model fitted on all rows and saved.
+
+    Selection goes by the protocol that scores every candidate with a buffer, if it is among `protocols`.
+    """
     predictions, metrics = selection.evaluate(rows, protocols, models, n_boot=n_boot)
     writers.write_table(metrics, f"{out}/metrics", "json")
     writers.write_table(evaluation.paired_gains(metrics, selection.GAIN_PAIRS), f"{out}/gains", "json")
     writers.write_table(evaluation.scores(predictions, ["protocol", "model", "site"]), f"{out}/per_site", "json")
-    reference = selection.BUFFERED if selection.BUFFERED in protocols else protocols[0]
-    artefact = selection.select_and_fit(rows, metrics, reference)
+    reference = next((p for p in (selection.BUFFERED_FOLDS, selection.BUFFERED) if p in protocols), protocols[0])
+    candidates = [c for c in evaluation.DELIVERABLE if models is None or c in models]
+    artefact = selection.select_and_fit(rows, metrics, reference, candidates)
     writers.write_kernel(rows.sparkSession, artefact, f"{out}/model")
     return artefact
 
@@ -60,12 +65,11 @@ def publish_map(
 ) -> DataFrame:
     """Grid over every site, features once per cell, one level per cell and hour, files."""
     cells = grid.grid_cells(grid.grid_layout(points))
-    with_features = cells.join(feat.road_distances(cells, roads), ["x", "y"])
-    if artefact.apply_residual:
-        with_features = cells.join(feat.morphology(cells, buildings, nodes, roads), ["x", "y"])
+    found = feat.morphology(cells, buildings, nodes, roads) if artefact.apply_residual else feat.road_distances(cells, roads)
+    with_features = cells.join(found, ["x", "y"])
     hourly = feat.time_features(grid.expand_hours(with_features)).withColumn("is_weekend", F.lit(0))
     levels = trees.predict_grid(hourly, artefact)
     lon, lat = geo.lonlat_from_utm(F.col("x"), F.col("y"), zone)
-    placed = levels.withColumn("longitude", lon).withColumn("latitude", lat)
+    placed = cut_lineage(levels.withColumn("longitude", lon).withColumn("latitude", lat))  # two files are written from it
     writers.write_noise_map(placed, out)
     return placed

@@ -11,13 +11,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.functions.numbers import rounded
 from soundfield.models import kernel as K
 
+# fixed values: the features of the published models
 MORPHOLOGY = ["built_area_ratio", "road_density_km_km2", "intersection_count", "dist_road_m"]
 MORPHOLOGY_SPLIT = ["built_area_ratio", "road_density_km_km2", "intersection_count", "dist_highway_m", "dist_residential_m"]
 TIME = ["hour", "is_weekend"]
@@ -45,25 +46,32 @@ RESIDUAL = TreeSize(rounds=200, depth=3)
 RESIDUAL_SMALL = TreeSize(rounds=120, depth=3)
 
 
+def _known(features: Sequence[str]) -> Column:
+    return F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda v: v.isNotNull() & ~F.isnan(v))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="error").transform(df)
 
 
 def fit_trees(
     train: DataFrame, features: Sequence[str], label: str = "noise_db", size: TreeSize = FULL, *,
     validation: str | None = None, patience_tolerance: float = 0.01, seed: int = C.SEED,
 ) -> GBTRegressionModel:
-    """Boosted regression trees; with a boolean validation column, boosting stops early on it."""
+    """Boosted regression trees on the rows that have all features; with a boolean validation column, boosting stops early on it."""
     early = {} if validation is None else {"validationIndicatorCol": validation, "validationTol": patience_tolerance}
     gbt = GBTRegressor(
         featuresCol="__features", labelCol=label, predictionCol="__p", maxIter=size.rounds, maxDepth=size.depth,
         stepSize=size.step, minInstancesPerNode=size.rows_per_leaf, seed=seed, **early,
     )
-    return gbt.fit(_assembled(train, features))
+    return gbt.fit(_assembled(train.where(_known(features)), features))
 
 
 def predict_trees(model: GBTRegressionModel, df: DataFrame, features: Sequence[str], name: str) -> DataFrame:
-    return model.transform(_assembled(df, features)).withColumn(name, F.col("__p")).drop("__features", "__p")
+    """Every row of `df` with the prediction; null where a feature is missing."""
+    filled = df.withColumns({f"__{f}": F.when(_known(features), F.col(f)).otherwise(0) for f in features})
+    found = model.transform(_assembled(filled, [f"__{f}" for f in features]))
+    return found.withColumn(name, F.when(_known(features), F.col("__p"))).drop("__features", "__p", *[f"__{f}" for f in features])
 
 
 def trees_by_fold(
@@ -119,10 +127,16 @@ class Delivered:
 
 
 def final_fit(
-    df: DataFrame, delivered: str, protocol: str, size: TreeSize = RESIDUAL, features: Sequence[str] | None = None
+    df: DataFrame, delivered: str, protocol: str, size: TreeSize | None = None, features: Sequence[str] | None = None
 ) -> Delivered:
-    """Fit on all rows; the residual is applied only if a hybrid was selected."""
-    features = list(features or FEATURE_SETS["trees_v2"])
+    """Fit on all rows; the residual is applied only if a hybrid was selected.
+
+    Features and size of the residual are those of the selected hybrid; without one, the full features and size.
+    """
+    chosen, rounds = {"hybrid": (FEATURE_SETS["trees_v2"], RESIDUAL), "hybrid_restricted": (RESTRICTED, RESIDUAL_SMALL)}.get(
+        delivered, (FEATURE_SETS["trees_v2"], FULL)
+    )
+    features, size = list(features or chosen), size or rounds
     k = K.fit_kernels(df)[None]
     hw, res = F.col("dist_highway_m"), F.col("dist_residential_m")
     rows = df.withColumn("__res", F.col("noise_db") - K.predict(k, hw, res))

@@ -20,8 +20,7 @@ _TEXTS = ("class", "site", "collector", "contributor_id", "dist_to_road", "note"
 def standardize(answers: DataFrame, zone: str = C.LOCAL_ZONE) -> DataFrame:
     """Typed projection of an all-text survey table.
 
-    Position and level must be numbers: `cast` fails the job on junk when ANSI
-    mode is on.  Counts and source distance become null instead.
+    Position and level must be numbers: junk fails the job.  Counts and source distance become null instead.
     """
     have = set(answers.columns)
 
@@ -30,7 +29,9 @@ def standardize(answers: DataFrame, zone: str = C.LOCAL_ZONE) -> DataFrame:
 
     def strict(name: str) -> Column:
         value = F.trim(text(name))
-        return F.when(value != "", value).cast("double")
+        number = value.try_cast("double")
+        junk = (value != "") & number.isNull()
+        return F.when(junk, F.raise_error(F.concat(F.lit(f"{name} is not a number: "), value)).cast("double")).otherwise(number)
 
     columns = [timing.utc_to_local(text("timestamp"), zone).alias("timestamp")]
     columns += [strict(n).alias(n) for n in _STRICT_NUMBERS]

@@ -130,6 +130,7 @@ def rank_shift(table: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, "model").withColumn("shift", F.col("rank_second") - F.col("rank_first"))
 
 
+# fixed values: the candidates named before any score was seen
 DELIVERABLE = ("dist_road", "trees_v1", "trees_v2", "kernel", "hybrid", "hybrid_restricted")
 
 

@@ -46,8 +46,11 @@ def resolve_column(columns: Sequence[str], keys: Sequence[str]) -> str | None:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV; semicolons first, commas if that leaves one column.  Only the header is read here."""
-    options = {"header": True, "multiLine": False, "escape": '"'}
+    """All-text CSV; semicolons first, commas if that leaves one column.  Only the header is read here.
+
+    A quoted field may hold line breaks, so a file is one task; exports come as many files of modest size.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"'}
     df = spark.read.options(sep=";", **options).csv(path)
     return df if len(df.columns) > 1 else spark.read.options(sep=",", **options).csv(path)
 

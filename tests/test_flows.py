@@ -38,7 +38,7 @@ def test_evaluate_select_publish(spark, town, tmp_path, monkeypatch):
     selection.register_trees(tiny, tiny, tiny)
     try:
         models = ["global_mean", "site_hour_mean", "dist_road", "idw", "trees_v1", "kernel", "hybrid"]
-        predictions, metrics = selection.evaluate(rows, models=models, n_boot=50)
+        predictions, metrics = selection.evaluate(rows, ("block_cv", "buffered", "site_out"), models, n_boot=50)
         table = metrics.toPandas()
     finally:
         selection.MODELS.update(before)
@@ -54,6 +54,42 @@ def test_evaluate_select_publish(spark, town, tmp_path, monkeypatch):
     assert wide.count() * 17 == grid_rows.count()
 
 
+def test_buffered_folds_score_every_candidate_without_near_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 90
+    rows = pd.DataFrame({
+        "seq": range(n), "site": rng.choice(["a", "b"], n), "x": rng.uniform(0, 60000, n), "y": rng.uniform(0, 60000, n), "hour": rng.integers(6, 12, n),
+        "noise_db": rng.normal(65, 4, n), "hour_sin": 0.1, "hour_cos": 0.2, "is_weekend": 0, "built_area_ratio": rng.random(n), "road_density_km_km2": rng.random(n),
+        "intersection_count": rng.integers(0, 9, n), "dist_road_m": rng.uniform(1, 90, n), "dist_highway_m": rng.uniform(1, 900, n), "dist_residential_m": rng.uniform(1, 90, n),
+    })
+    rows.loc[10, "built_area_ratio"] = None
+    rows.loc[11, ["x", "y"]] = rows.loc[12, ["x", "y"]].values + 100
+    df = spark.createDataFrame(rows).withColumn("built_area_ratio", F.nanvl("built_area_ratio", F.lit(None).cast("double")))
+    seen = []
+    selection.register("spy", lambda r, fold, names, name: (seen.append(r.select("seq", fold).toPandas()), r.withColumn(name, F.lit(60.0)))[1])
+    before = dict(selection.MODELS)
+    selection.register_trees(*[trees.TreeSize(rounds=1, depth=2, step=0.3, rows_per_leaf=3)] * 3)
+    try:
+        got = selection.predictions(df, selection.BUFFERED_FOLDS, ["trees_v1", "spy", "hybrid_restricted"]).toPandas()
+    finally:
+        selection.MODELS.update(before)
+        del selection.MODELS["spy"]
+    assert (got.groupby("model").size() == n).all()
+    missing = got[got.p.isna()].groupby("model").seq.apply(set).to_dict()
+    assert missing == {"trees_v1": {10}, "hybrid_restricted": {10}}
+    assert sum(len(s[s.__side == "held"]) for s in seen) == n
+    for s in seen:
+        held, train = (rows[rows.seq.isin(s.seq[s.__side == side])] for side in ("held", "train"))
+        apart = np.hypot(held.x.values[:, None] - train.x.values, held.y.values[:, None] - train.y.values)
+        assert len(train) and apart.min() >= 300
+
+
+def test_selection_needs_a_score_of_every_candidate(spark):
+    metrics = spark.createDataFrame([("buffered_folds", "kernel", 0.3)], "protocol string, model string, r2 double")
+    with pytest.raises(ValueError, match="no score under buffered_folds for dist_road"):
+        selection.select_and_fit(metrics, metrics)
+
+
 def test_unknown_models_can_be_registered(town):
     points = town[0]
     selection.register("constant", lambda rows, fold, names, name: rows.withColumn(name, F.lit(60.0)))

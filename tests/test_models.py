@@ -159,6 +159,14 @@ def test_trees_are_repeatable_and_stop_early(spark, road_rows, tmp_path):
         assert np.allclose(x, y)
 
 
+def test_selected_restricted_hybrid_is_delivered_with_its_own_features(spark, road_rows, monkeypatch):
+    rows = road_rows.assign(hour_sin=0.0, hour_cos=1.0, built_area_ratio=0.1, road_density_km_km2=5.0, intersection_count=3)
+    tiny = trees.TreeSize(rounds=2, depth=2, step=0.3)
+    monkeypatch.setattr(trees, "RESIDUAL_SMALL", tiny)
+    artefact = trees.final_fit(spark.createDataFrame(rows), "hybrid_restricted", "buffered_folds")
+    assert artefact.features == tuple(trees.RESTRICTED) and artefact.residual.getNumTrees == 2 and artefact.apply_residual
+
+
 def test_hybrids(spark, road_rows):
     rows = road_rows.assign(hour_sin=0.0, hour_cos=1.0, built_area_ratio=0.1, road_density_km_km2=5.0, intersection_count=3)
     df = spark.createDataFrame(rows)
