@@ -8,7 +8,9 @@ another text has paragraphs of its own.  Paragraphs of fewer than LEAST words ar
    1 - (1 - 0.8 ** 2) ** 5 = 99.4 % of the pairs; at 0.3 they still drop 62 %.  Paragraphs of fewer than SHINGLED words have no
    bands: below that, 0.8 is reached only by equal shingle sets, or by one word more at an end.
 3. Paragraphs that collide in a band are verified by their exact Jaccard similarity.  In each bucket all are compared with the
-   first; only those that fail are compared with the others, so a large group of near copies costs one comparison each.
+   first; where one fails, it is compared with its NEIGHBOURS neighbours on either side in the order of the next band's key,
+   which puts like next to like.  So comparisons grow with a bucket's size, not its square; the bands' orders differ, and a
+   class needs only one chain of links.
 4. Components of the verified links, with equal paragraphs, are classes.  The first occurrence, by doc_id and place, stays.
 
 Null and empty texts have no paragraphs.  Rows without doc_id are left out: they can neither be named nor ordered.  Rows with
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from soundfield.llm.shared import components, slices, stored
 
 LONG, LEAST, SHINGLE, SHINGLED, SIMILAR = 24, 8, 5, 13, 0.8
-BANDS, ROWS = 5, 2
+BANDS, ROWS, NEIGHBOURS = 5, 2, 3
 SENTENCE_END = re.compile(r"[.!?…]\s+")
 LINE = re.compile(r"[^\n]+")
 
@@ -140,7 +142,8 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     place = F.struct("doc_id", "paragraph", "start", "end")
     distinct = units.groupBy("u").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), F.max("bands").alias("bands"))
     distinct = stored(distinct, "paragraphs-distinct")
-    keys = distinct.select("u", F.posexplode("bands").alias("band", "key"))
+    keys = distinct.select("u", "bands", F.posexplode("bands").alias("band", "key"))
+    keys = keys.withColumn("order", F.get("bands", (F.col("band") + 1) % BANDS)).drop("bands")
     bucket = Window.partitionBy("band", "key")
     met = keys.withColumn("hub", F.min("u").over(bucket)).withColumn("top", F.max("u").over(bucket)).where("hub < top").drop("top")
     met = stored(met, "paragraphs-met")
@@ -154,9 +157,13 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return stored(both.mapInArrow(_jaccard, "a long, b long, similarity double"), name)
 
     first = verified(met.where("u <> hub").select(F.col("u").alias("a"), F.col("hub").alias("b")), "paragraphs-first")
-    failed = met.join(first.where(F.col("similarity") < similar).select(F.col("a").alias("u"), F.col("b").alias("hub")), ["u", "hub"], "left_semi")
-    others = failed.select("band", "key", F.col("u").alias("a")).join(met.where("u <> hub").select("band", "key", F.col("u").alias("b")), ["band", "key"])
-    second = verified(others.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "paragraphs-second")
+    passed = first.where(F.col("similarity") >= similar).select(F.col("a").alias("u"), F.col("b").alias("hub"), F.lit(True).alias("passed"))
+    told = met.join(passed, ["u", "hub"], "left").withColumn("passed", F.coalesce("passed", F.col("u") == F.col("hub")))
+    row = Window.partitionBy("band", "key").orderBy("order", "u")
+    before = F.array(*[F.struct(F.lag("u", k).over(row).alias("u"), F.lag("passed", k).over(row).alias("passed")) for k in range(1, NEIGHBOURS + 1)])
+    others = told.withColumn("before", before).select(F.col("u").alias("a"), "passed", F.explode("before").alias("o"))
+    others = others.where("o.u is not null and not (passed and o.passed)").select("a", F.col("o.u").alias("b"))
+    second = verified(others.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "paragraphs-second")
     links = first.unionByName(second).where(F.col("similarity") >= similar).select("a", "b")
     roots = components(links, "paragraphs-links").withColumnRenamed("node", "u")
     placed = distinct.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
