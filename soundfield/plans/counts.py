@@ -183,12 +183,15 @@ def fleet_by_hour(t: Tables):
     return traffic.fleet_by_hour(_matched_counts(t))
 
 
+_SEEN = "select * from fo where hour between 5 and 21"
+
+
 @query("fleet_shares", oracle(
-    """select site as site_name, hour, round_even(moto / total, 4) as moto_share, round_even(car / total, 4) as car_share, round_even(truck / total, 4) as truck_share, 0e0 as bus_share from fo where total > 0 and hour between 5 and 21""",
-    "moto_share car_share truck_share bus_share", **_CM, fo=_OBSERVED))
+    "select site_name, hour, measured, moto_share, car_share, truck_share, bus_share from fleet where total > 0",
+    "moto_share car_share truck_share bus_share", **_CM, fo=_OBSERVED, seen=_SEEN, frame=_FRAME, fleet=_FLEET))
 def fleet_shares(t: Tables):
-    got = traffic.fleet_by_hour(_matched_counts(t)).where("measured = 1 and total > 0")
-    return got.select("site_name", "hour", "moto_share", "car_share", "truck_share", "bus_share")
+    got = traffic.fleet_by_hour(_matched_counts(t)).where("total > 0")
+    return got.select("site_name", "hour", "measured", "moto_share", "car_share", "truck_share", "bus_share")
 
 
 @query("hour_by_site", oracle(
@@ -200,11 +203,14 @@ def hour_by_site(t: Tables):
 
 
 @query("flow_state", oracle(
-    """select scenario, site as site_name, hour, fl as flow, ms as moto_share, case when fl > 0 then least(1 - ms, round_even(car_fl, 3) * k / fl) else 0.35 end as car_share, 'measured' as traffic_source from
-       (select *, round_even(total_fl, 3) * k as fl, case when total_fl * k > 0 then least(1, round_even(moto_fl, 3) * k / (round_even(total_fl, 3) * k)) else 0.5 end as ms from fo,
-         (values ('base', 1e0), ('double', 2e0), ('pedestrian', 0.2e0)) s(scenario, k) where hour between 5 and 21)""", "flow moto_share car_share", **_CM, fo=_OBSERVED))
+    """select scenario, site_name, hour, fl as flow, ms as moto_share, case when fl > 0 then least(1 - ms, car * k / fl) else 0.35 end as car_share,
+        case when measured = 1 then 'measured' else 'interpolated' end as traffic_source from
+       (select *, total * k as fl, case when total * k > 0 then least(1, moto * k / (total * k)) else 0.5 end as ms from
+         (select site_name, hour, measured, coalesce(total_flow_per_min, 0) as total, coalesce(moto_flow_per_min, 0) as moto, coalesce(car_flow_per_min, 0) as car from fleet),
+         (values ('base', 1e0), ('double', 2e0), ('pedestrian', 0.2e0)) s(scenario, k))""", "flow moto_share car_share",
+    **_CM, fo=_OBSERVED, seen=_SEEN, frame=_FRAME, fleet=_FLEET))
 def flow_state(t: Tables):
-    fleet = traffic.fleet_by_hour(_matched_counts(t)).where("measured = 1")
+    fleet = traffic.fleet_by_hour(_matched_counts(t))
     return traffic.flow_state(fleet, [Scenario("base"), Scenario("double", 2.0), Scenario("pedestrian", 1.0, "pedestrian")])
 
 
