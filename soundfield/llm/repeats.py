@@ -45,12 +45,17 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of every K-byte string of `data`, by doubling."""
+    """64-bit hash of every K-byte string of `data`: strings of 1, 2, 4, ... bytes, put together as K's binary digits say."""
     h, width, power = BYTE_CODES[data], 1, STEP
+    whole, done = None, 0
     with np.errstate(over="ignore"):
-        while width < K:  # K is a power of two
-            h = h[:-width] * power + h[width:]
+        while width <= K:
+            if K & width:
+                whole = h if whole is None else whole[: len(h) - done] * power + h[done : done + len(whole)]
+                whole, done = whole[: len(data) - done - width + 1], done + width
+            h = h[:-width] * power + h[width:] if 2 * width <= K else h
             power, width = power * power, 2 * width
+        h = whole
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
@@ -292,16 +297,29 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
-def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc."""
+def _released(df: DataFrame) -> DataFrame:
+    """`df`; asks the driver's JVM to collect, so that Spark deletes the shuffle files of jobs whose results are stored."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def removable(docs: DataFrame, copies: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc.
+
+    `copies` (doc, print) names texts by their digest that are settled already; they get no neighbourhoods.
+    """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.select("doc", "text").mapInArrow(_sender(buckets), "bucket int, known boolean, hash binary, doc binary, place binary")
     places = sent.repartition("bucket").mapInArrow(_repeated, "doc long, place int")
-    lists = stored(places.groupBy("doc").agg(F.collect_list("place").alias("places")), "repeats-places")
-    found = docs.join(lists, "doc").mapInArrow(_neighbourhoods, "doc long, text_key long, start int, h long, near binary")
-    found = stored(found.withColumn("key", F.xxhash64("near")), "repeats-near")
+    settled = copies.groupBy("doc").agg(F.collect_set("print").alias("settled"))
+    lists = places.groupBy("doc").agg(F.collect_list("place").alias("places")).join(settled, "doc", "left")
+    lists = _released(stored(lists, "repeats-places"))
+    unsettled = docs.join(lists, "doc").where("settled is null or not array_contains(settled, sha2(text, 256))")
+    found = unsettled.select("doc", "text", "text_key", "places").mapInArrow(_neighbourhoods, "doc long, text_key long, start int, h long, near binary")
+    found = _released(stored(found.withColumn("key", F.xxhash64("near")), "repeats-near"))
     distinct = stored(found.groupBy("h", "near", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "repeats-distinct")
+    distinct = _released(distinct)
     sizes = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").drop("a", "b")
     sized = distinct.join(sizes, "h")
     few = sized.where(F.col("n") <= most).select("h", "near", "lo", "hi", "key").repartition("h").sortWithinPartitions("h", "near")
@@ -373,7 +391,11 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     prints = own.select("doc", F.sha2("text", 256).alias("print")).where("doc is not null")
     firsts = prints.groupBy("print").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     copies = stored(prints.join(firsts, "print").where("doc > lo").select("doc", "print").distinct(), "repeats-copies")
-    texts = own.select("doc", "text", "text_key", F.sha2("text", 256).alias("print")).join(copies, ["doc", "print"], "left_anti").drop("print")
-    spans = removable(texts, most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    marked = own.withColumn("print", F.sha2("text", 256)).join(copies.withColumn("whole", F.lit(True)), ["doc", "print"], "left").join(spans, ["doc", "text_key"], "left")
+    spans = removable(own.select("doc", "text", "text_key"), copies, most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = _released(stored(spans, "repeats-spans"))
+    # one table by doc, so that the texts move once more only
+    by_doc = spans.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("text_key", "spans"))).alias("spans_of"))
+    by_doc = by_doc.join(copies.groupBy("doc").agg(F.collect_set("print").alias("settled")), "doc", "full")
+    marked = own.join(by_doc, "doc", "left").withColumn("spans", F.expr("try_element_at(spans_of, text_key)"))
+    marked = marked.withColumn("whole", F.expr("settled is not null and array_contains(settled, sha2(text, 256))"))
     return marked.select("doc_id", "text", "whole", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
