@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from soundfield.llm.shared import slices
+from soundfield.llm.shared import drawn, slices
 
 BUCKETS, DIM, ONES, REACH, MAX_ROWS = 1 << 14, 32, 4, 2, 8000
 BLOCKS, FAN_IN, BATCH_WORDS, CHUNK = 16, 32, 1 << 18, 1 << 16
@@ -191,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> tuple[
     vectors = word_vectors(docs)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    sample = drawn(known, MAX_ROWS, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Buckets()

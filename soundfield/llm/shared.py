@@ -39,6 +39,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def drawn(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The `most` rows with the least hash of `keys`, or all if there are fewer.
+
+    A cut at the hash below which half as many again are expected comes first, so that tasks do not hand on `most` rows each.
+    """
+    order, n = F.xxhash64(*keys).bitwiseAND(2**63 - 1), rows.count()
+    if n > 2 * most:
+        rows = rows.where(order < int(2**63 * 1.5 * most / n))
+    return rows.orderBy(order, *keys).limit(most)
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of `links` (columns a, b of one ordered type): one row (node, root) per node with a link.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from soundfield.llm.shared import slices
+from soundfield.llm.shared import drawn, slices
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 2500, 50_000
 BITS, DIM, GRAMS = 16, 8, (3, 4, 5)
@@ -180,9 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out (see the module's text)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    drawn = known.where("label = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(known.where("label = 0").orderBy(*order).limit(MAX_NEGATIVE))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most 4000 rows of two numbers
+    sample = drawn(known.where("label = 1"), MAX_POSITIVE, "doc_id").unionByName(drawn(known.where("label = 0"), MAX_NEGATIVE, "doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most 4000 rows of two numbers
     rows = texts.where(F.length("text") <= MAX_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [r.label for r in rows])
