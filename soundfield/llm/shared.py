@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soundfield.session import one_machine
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a session without it (tests) gets one of its own."""
+    """The folder the cluster names in `spark.checkpoint.dir`; a session on one machine without it (tests) gets one of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not one_machine(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
     if not hasattr(spark.sparkContext, "_soundfield_folder"):
         spark.sparkContext._soundfield_folder = "file://" + tempfile.mkdtemp(prefix="soundfield-llm-")
     return spark.sparkContext._soundfield_folder
