@@ -34,6 +34,7 @@ def test_evaluate_select_publish(spark, town, tmp_path, monkeypatch):
     assert rows.where("built_area_ratio < 0 or built_area_ratio > 1 or dist_road_m > dist_highway_m + 1e-9").count() == 0
     tiny = trees.TreeSize(rounds=2, depth=2, step=0.3)
     monkeypatch.setattr(trees, "RESIDUAL", tiny)
+    monkeypatch.setattr(trees, "FULL", tiny)
     before = dict(selection.MODELS)
     selection.register_trees(tiny, tiny, tiny)
     try:
