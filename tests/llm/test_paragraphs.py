@@ -72,3 +72,16 @@ def test_recall_of_bands():
         _, bands = paragraphs.signatures(h, np.array([0, 64]), np.array([64, 64]))
         found += (bands[0] == bands[1]).any()
     assert found >= 294
+
+
+def test_one_bucket_of_many_classes_loses_nothing(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    common, rows = [word() for _ in range(34)], []
+    for i in range(300):
+        own = [word() for _ in range(26)]
+        rows.append((i, " ".join(common + own)))
+        own[12] = word()  # Jaccard 51 / 61
+        rows.append((1000 + i, " ".join(common + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in paragraphs.duplicates(docs).collect()} == brute(rows)
