@@ -5,8 +5,7 @@ another text has paragraphs of its own.  Paragraphs of fewer than LEAST words ar
 
 1. Each paragraph gets a hash of its lower-cased words.  Equal ones are one row, whatever their number.
 2. MinHash over 5-word shingles in BANDS bands of ROWS values.  At a Jaccard similarity of 0.8, 5 bands of 2 find
-   1 - (1 - 0.8 ** 2) ** 5 = 99.4 % of the pairs; at 0.3 they still drop 62 %.  Paragraphs of fewer than SHINGLED words have no
-   bands: below that, 0.8 is reached only by equal shingle sets, or by one word more at an end.
+   1 - (1 - 0.8 ** 2) ** 5 = 99.4 % of the pairs; at 0.3 they still drop 62 %.  All paragraphs have bands (SHINGLED = LEAST).
 3. Paragraphs that collide in a band are compared by their exact Jaccard similarity with the first of their bucket, which
    settles large classes in comparisons that grow with a bucket's size, not its square.
 4. What that leaves is found without loss: two paragraphs of SIMILAR or more share one of their first n - ceil(SIMILAR * n) + 1
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from soundfield.llm.shared import components, slices, stored
 
-LONG, LEAST, SHINGLE, SHINGLED, SIMILAR = 24, 8, 5, 13, 0.8
+LONG, LEAST, SHINGLE, SHINGLED, SIMILAR = 24, 8, 5, 8, 0.8
 BANDS, ROWS = 5, 2
 SAMPLE, FREQUENT = 20_000, 1 << 16  # documents counted for frequent shingles, and shingles held
 SENTENCE_END = re.compile(r"[.!?…]\s+")

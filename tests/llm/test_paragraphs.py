@@ -85,3 +85,10 @@ def test_one_bucket_of_many_classes_loses_nothing(spark):
         rows.append((1000 + i, " ".join(common + own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in paragraphs.duplicates(docs).collect()} == brute(rows)
+
+
+def test_short_paragraphs_match_with_a_word_or_two_more(spark):
+    w = [f"w{i}" for i in range(60)]
+    texts = [w[:8], [*w[:8], "more"], w[20:32], ["two", *w[20:32], "more"], w[40:52], [*w[40:52], "one"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_doc_id) for r in paragraphs.duplicates(docs).collect()} == {(i, i - i % 2) for i in range(6)}
