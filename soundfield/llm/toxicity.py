@@ -8,10 +8,11 @@ word they come from.
 
 Training sees the label of the document only: first the average of the whole text is fitted, then the passage that the model
 finds worst.  It uses a bounded sample: at most MAX_POSITIVE and MAX_NEGATIVE labelled rows in the order of a hash, of texts
-of at most MAX_CHARS characters.  One eighth of them sets the slope and offset of the final logistic curve.
+of at most MAX_CHARS characters.  One eighth of them sets the slope and offset of the final logistic curve, where
+each row counts for as many labelled rows of its class as the draw left it to stand for, so the bounds do not move the prior.
 The trained model collapses to one number per gram bucket (256 KB), which is all that tasks need.
 
-Null texts, empty ones and those without any gram get the share of label 1 in the sample.  Without labelled rows every score is 0; with
+Null texts, empty ones and those without any gram get the share of label 1, with the same weights.  Without labelled rows every score is 0; with
 one class only, it is that class.
 """
 
@@ -111,7 +112,8 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 7, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A row of label 0 or 1 stands for so many rows; the curve and the share for texts without grams weigh it so."""
     if not labels:
         return Model(np.zeros(0), 0, 0, 0, 0.0)
     if len(set(labels)) == 1:
@@ -121,6 +123,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5,
     table = np.zeros((none + 1, DIM), np.float32)  # a gram that training never met says nothing
     out, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2)
     square, y = np.full(none + 1, RARE), np.array(labels)
+    rows_for = np.array(stands_for, float)[y]
     bags = [grams([t])[0].astype(np.uint16 if none < 1 << 16 else np.int32) for t in texts]
     order = rng.permutation(len(texts))
     held, used = order[: max(2, len(order) // 8)], order[len(order) // 8 :]
@@ -153,15 +156,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5,
             bias -= rate * 0.1 * wrong.mean(0)
     weight = (table @ (out[:, 1] - out[:, 0])).astype(np.float64)
     top = np.array([passages(bags[d], np.zeros(1, np.int64), np.array([len(bags[d]) // CELL]), weight)[0][0] for d in held])
-    slope, offset = _curve(top, y[held])
-    return Model(weight.astype(np.float32), slope, offset, float(y.mean()))
+    slope, offset = _curve(top, y[held], rows_for[held])
+    return Model(weight.astype(np.float32), slope, offset, float(np.average(y, weights=rows_for)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve of least loss, held back by a small penalty."""
     scale = x.std() or 1.0
     u, w, b = (x - x.mean()) / scale, 0.0, 0.0
-    share = 1 / len(y)
+    share = weight / weight.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-(w * u + b)))
         g, h = share * (p - y), share * p * (1 - p)
@@ -180,11 +183,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out (see the module's text)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
+    counts = dict.fromkeys((0, 1), 0) | {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     sample = drawn(known.where("label = 1"), MAX_POSITIVE, "doc_id").unionByName(drawn(known.where("label = 0"), MAX_NEGATIVE, "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most 4000 rows of two numbers
     rows = texts.where(F.length("text") <= MAX_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.label for r in rows])
+    stands_for = (max(1.0, counts[0] / MAX_NEGATIVE), max(1.0, counts[1] / MAX_POSITIVE))
+    return fit([r.text for r in rows], [r.label for r in rows], stands_for=stands_for)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

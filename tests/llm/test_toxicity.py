@@ -69,3 +69,19 @@ def test_held_out_accuracy(spark):
     rows = toxicity.scored(known, toxicity.train(docs, labels)).select("toxic", "toxicity").collect()
     hit = np.array([(r.toxic == 1) == (r.toxicity >= 0.5) for r in rows])
     assert hit.mean() > 0.95
+
+
+def test_prior_is_the_same_below_and_above_the_caps(spark, monkeypatch):
+    rng, rows = np.random.default_rng(6), []
+    words = np.array(["river", "bank", "stone", "letter", "green", "walks", "house", "winter", "slow"])
+    for i in range(3000):  # the word says toxic in one of two cases, and one text of eight is toxic
+        text = " ".join(rng.choice(words, 6)) + (" grumblefool" if i % 4 == 0 else "")
+        rows.append((i, text, int(i % 8 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    every = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 200)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 330)
+    few = toxicity.train(docs, labels)
+    assert np.isclose(few.base, every.base)
+    for model in (every, few):
+        assert abs(model.scores([t for _, t, _ in rows]).mean() - 1 / 8) < 0.05
