@@ -48,7 +48,8 @@ def simhash(text: str | None) -> int:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         prints = np.array([simhash(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(prints)], [*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -56,6 +57,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches, "doc_id long, fp long")
 
 
+def text_key():
+    """128 bits that tell texts apart; null is the empty text, as for fingerprints."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -87,21 +93,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linking, but never names a component, unless a component has no other (then component_id is null).
     """
     prints = stored(fingerprints(docs), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("lo"))
-    roots = components(links(nodes.select("fp")), "simhash-links")
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(prints)
     least = placed.groupBy("root").agg(F.min("lo").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _placed(prints: DataFrame) -> DataFrame:
+    """(fp, lo, root): each fingerprint of `prints` once, with its least doc_id and the root of its component."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("lo"))
+    roots = components(links(nodes.select("fp")), "simhash-links")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` without the near-duplicates: of each component the rows with the least doc_id stay, one if rows repeat.
+    """`docs` without the near-duplicates: exactly one row of each component stays.
 
-    Which of several equal (doc_id) rows stays is decided by the text's order.  Rows without doc_id stay only if their
-    component has no doc_id at all.
+    It is the one with the least doc_id, null after all others; of several with that doc_id, the one with the least hash of
+    its text.  Which of several rows of equal doc_id and text stays is open.
     """
-    firsts = near_duplicates(docs).select("component_id").distinct()
-    kept = docs.join(firsts.withColumnRenamed("component_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("copy_rank", rank).where("copy_rank = 1").drop("copy_rank")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("row_key"))
+    prints = stored(own.mapInArrow(_batches, "doc_id long, row_key binary, fp long"), "simhash-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    by_print = prints.groupBy("fp").agg(F.min(row).alias("row"))  # before the roots, so that copies are one row
+    firsts = by_print.join(_placed(prints), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    firsts = firsts.select(F.col("row.doc_id").alias("keep_id"), F.col("row.row_key").alias("keep_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (text_key() == F.col("keep_key"))
+    rank = F.row_number().over(Window.partitionBy("keep_id", "keep_key").orderBy("text"))
+    kept = docs.join(firsts, same).withColumn("copy_rank", rank).where("copy_rank = 1")
+    return kept.drop("copy_rank", "keep_id", "keep_key")

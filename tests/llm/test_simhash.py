@@ -75,3 +75,14 @@ def test_nulls_repeats_empty_table_and_extra_columns(spark):
     kept = sorted((r.doc_id, r.component_id) for r in simhash.keep_first(docs.where("doc_id is not null")).collect())
     assert kept == [(3, 2), (5, 1)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    named, other, third, fourth = "a b c d e f", "zz yy xx ww vv uu", "k1 k2 k3 k4 k5", "m n o p q r s"
+    rows = [(5, named, 0), (None, named, 1), (None, other, 2), (None, other, 3), (None, third, 4), (9, fourth, 5), (9, named, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted(r.row for r in simhash.keep_first(docs).collect())
+    assert kept in ([0, 2, 4, 5], [0, 3, 4, 5])
+    two = docs.where("row >= 5").unionByName(spark.createDataFrame([(3, "a b c d e f", 7)], docs.schema))
+    assert sorted(r.row for r in simhash.keep_first(two).collect()) == [5, 7]
+    assert simhash.keep_first(docs.limit(0)).count() == 0 and simhash.keep_first(docs).columns == docs.columns
