@@ -36,6 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """`df`, after a collection on the driver: Spark deletes the files of shuffles that nothing refers to any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that a worker unpacks few texts at a time however long they are."""
     for batch in batches:
