@@ -99,9 +99,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _placed(prints: DataFrame) -> DataFrame:
-    """(fp, lo, root): each fingerprint of `prints` once, with its least doc_id and the root of its component."""
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("lo"))
+def _placed(prints: DataFrame, least: str = "doc_id") -> DataFrame:
+    """(fp, lo, root): each fingerprint of `prints` once, with the least of its column `least` and the root of its component."""
+    nodes = prints.groupBy("fp").agg(F.min(least).alias("lo"))
     roots = components(links(nodes.select("fp")), "simhash-links")
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -115,9 +115,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("row_key"))
     prints = stored(own.mapInArrow(_batches, "doc_id long, row_key binary, fp long"), "simhash-prints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    by_print = prints.groupBy("fp").agg(F.min(row).alias("row"))  # before the roots, so that copies are one row
-    firsts = by_print.join(_placed(prints), "fp").groupBy("root").agg(F.min("row").alias("row"))
-    firsts = firsts.select(F.col("row.doc_id").alias("keep_id"), F.col("row.row_key").alias("keep_key"))
+    firsts = _placed(prints.select("fp", row.alias("row")), "row").groupBy("root").agg(F.min("lo").alias("row"))
+    firsts = firsts.select(F.col("row.doc_id").alias("keep_id"), F.col("row.row_key").alias("keep_key")).hint("merge")  # spares the driver a broadcast
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (text_key() == F.col("keep_key"))
     rank = F.row_number().over(Window.partitionBy("keep_id", "keep_key").orderBy("text"))
     kept = docs.join(firsts, same).withColumn("copy_rank", rank).where("copy_rank = 1")
