@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import concatenation, decontam, packing, paragraphs, pii, quality, repeats, simhash, syncmers, toxicity, urls
+from soundfield.llm import alignment, concatenation, decontam, packing, paragraphs, pii, quality, repeats, simhash, syncmers, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_concatenation(spark: SparkSession, folder: str) -> DataFrame:
     return concatenation.concatenated(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
