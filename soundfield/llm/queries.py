@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundfield.llm import alignment, concatenation, decontam, packing, paragraphs, pii, quality, repeats, simhash, syncmers, toxicity, urls
+from soundfield.llm import alignment, concatenation, decontam, negatives, packing, paragraphs, pii, quality, repeats, simhash, syncmers, toxicity, urls
 from soundfield.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,21 @@ def op13_concatenation(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_negatives"] = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select row_number() over () as k, a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (select * from (select anchor_id, id, score, row_number() over (partition by anchor_id order by score desc, id) as nth from scores where same) where nth <= 5),
+ranked as (select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id)::int as rank
+  from positives p join scores n on p.anchor_id = n.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10"""
