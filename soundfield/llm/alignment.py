@@ -11,8 +11,8 @@ end, a group ends; tokens whose bytes overlap are linked.  Corpus-wide counts sa
 4. Measures join the rows by the SHA-256 of the text.
 
 Within a text, neither vocabulary joins a blank to what stands before it unless that is white space too, so both have an end
-before such a blank.  What lies between two of these ends (a chunk) is aligned once and remembered by the worker.  For a B
-vocabulary with a piece that goes on past such a blank, the whole text is one chunk.
+before such a blank.  Texts of more than `SEGMENT` characters are handled in segments that end there.  For a B vocabulary with
+a piece that goes on past such a blank, and for texts without one, the whole text is one segment.
 """
 
 from __future__ import annotations
@@ -28,102 +28,137 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.llm.packing import Ids, _room
+from soundfield.llm.packing import Ids
 from soundfield.llm.shared import slices, stored
 
 HEAVY = 1 << 19
 #: Distinct pairs that a task counts before it hands them on.
 COUNTED = 1 << 20
-CHUNK = re.compile(r"(?<=\S)(?= )")
-LOW = (1 << 32) - 1
-
-
-def align(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[list[int], list[str]]:
-    """Links (a << 32 | b, in order) and groups (`a1,a2|b1`) of two divisions of the same bytes, no part of them empty."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(a):
-        a_from, b_from, a_end, b_end = i, j, a_sizes[i], b_sizes[j]
-        links.append(a[i] << 32 | b[j])
-        while a_end != b_end:
-            if a_end < b_end:
-                i += 1
-                a_end += a_sizes[i]
-            else:
-                j += 1
-                b_end += b_sizes[j]
-            links.append(a[i] << 32 | b[j])
-        i, j = i + 1, j + 1
-        groups.append(",".join(map(str, a[a_from:i])) + "|" + ",".join(map(str, b[b_from:j])))
-    return links, groups
+#: Characters of a segment at least, unless the text ends; and of segments that are aligned together, but for the last.
+SEGMENT, TOGETHER = 1 << 16, 1 << 18
+SAFE = re.compile(r"(?<=\S) ")
+COMMA, BAR, SEMICOLON, NOTHING = range(4)
+
+
+def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two divisions of the same bytes, given by their ids and where their parts end.
+
+    Links as a << 32 | b in the order of a, the number of each a's links, which a are the last of a group, and how groups are
+    written: numbers id * 4 + what follows the id, and the place in this list after each group.
+    """
+    a_starts = np.append(0, a_ends[:-1])
+    first, last = np.searchsorted(b_ends, a_starts, side="right"), np.searchsorted(b_ends, a_ends)
+    n = last - first + 1
+    after = np.cumsum(n)
+    links = np.repeat(a.astype(np.int64) << 32, n) | b[np.arange(after[-1]) + np.repeat(first - after + n, n)]
+    a_closes, b_closes = b_ends[last] == a_ends, a_ends[np.searchsorted(a_ends, b_ends)] == b_ends
+    a_group, b_group = np.cumsum(a_closes) - a_closes, np.cumsum(b_closes) - b_closes
+    a_until, b_until = np.flatnonzero(a_closes) + 1, np.flatnonzero(b_closes) + 1
+    written = np.zeros(len(a) + len(b), np.int64)
+    written[np.arange(len(a)) + np.append(0, b_until)[a_group]] = 4 * a.astype(np.int64) + np.where(a_closes, BAR, COMMA)
+    written[np.arange(len(b)) + a_until[b_group]] = 4 * b.astype(np.int64) + np.where(b_closes, SEMICOLON, COMMA)
+    return links, n, a_closes, written, a_until + b_until
 
 
 class Aligner:
-    """Both tokenizers and the chunks met so far; their memory starts anew beyond `most` chunks or 32 times as many characters."""
+    """Both tokenizers with the bytes of their tokens."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = 200_000):
-        self.a, self.b = Ids(path_a, most), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = Ids(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.special, self.a.tokenizer.encode_special_tokens = [], True
         letter = {v: bytes([k]) for k, v in _bytes_of_letters().items()}
         self.a_bytes = [b"".join(letter.get(c, c.encode()) for c in self.a.tokenizer.id_to_token(i) or "") for i in range(self.a.tokenizer.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
         self.whole = any(re.search("[^▁]▁", p) for p in pieces) or self.blank == self.b.unk_id()
-        self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.held = 0
-        self.groups: list[str] = []
-        self.links, self.bounds = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros((1 << 12, 3), np.int64)  # tokens of A and B, groups; -1 where bytes differ
-
-    def _learn(self, chunks: list[str]) -> None:
-        links, bounds, sizes = [], [], []
-        for chunk, b in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            a, b = self.a.of(chunk).tolist(), b or [self.blank]
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_bytes) == b"".join(b_bytes) == chunk.encode():
-                own, groups = align(a, [len(x) for x in a_bytes], b, [len(x) for x in b_bytes])
-                sizes.append((len(a), len(b), len(groups)))
-                self.groups.append(";".join(groups))
-                links += own
-            else:
-                sizes.append((-1, -1, -1))
-                self.groups.append("")
-            bounds.append(len(links))
-        known = len(self.chunks)
-        at = int(self.bounds[known])
-        self.links, self.bounds = _room(self.links, at + len(links)), _room(self.bounds, known + len(chunks) + 1)
-        if known + len(chunks) > len(self.sizes):
-            self.sizes = np.concatenate([self.sizes, np.zeros((max(len(self.sizes), len(chunks)), 3), np.int64)])
-        self.links[at : at + len(links)] = links
-        self.bounds[known + 1 : known + len(chunks) + 1] = at + np.array(bounds)
-        self.sizes[known : known + len(chunks)] = sizes
-        self.chunks.update(zip(chunks, range(known, known + len(chunks)), strict=True))
-        self.held += sum(map(len, chunks))
-
-    def of(self, text: str) -> tuple[tuple[int, int, int], np.ndarray, str] | None:
-        """(tokens of A, of B, groups), links and the groups' text of a blank and `text`; None without tokens."""
-        if not text:
-            return None
-        chunks = [" " + text] if self.whole else CHUNK.split(" " + text)
-        new = list(set(chunks).difference(self.chunks))
-        if new:
-            if len(self.chunks) + len(new) > self.most or self.held > 32 * self.most:
-                self._forget()
-                new = list(set(chunks))
-            self._learn(new)
-        which = list(map(self.chunks.__getitem__, chunks))
-        sizes = self.sizes[which]
-        if sizes.min() < 0:
-            return None
-        first = self.bounds[which]
-        n = self.bounds[np.array(which) + 1] - first
-        after = np.cumsum(n)
-        links = self.links[np.arange(after[-1]) + np.repeat(first - after + n, n)]
-        return tuple(sizes.sum(0).tolist()), links, ";".join([self.groups[k] for k in which])
+        self.written = np.array([f"{i}{c}" for i in range(max(len(self.a_bytes), len(pieces))) for c in (",", "|", ";", "")], object)
+
+    def segments(self, text: str) -> Iterator[str]:
+        """A blank and `text`, divided before blanks."""
+        start, text = 0, " " + text
+        while start < len(text):
+            cut = None if self.whole or len(text) - start <= SEGMENT else SAFE.search(text, start + max(SEGMENT, 1))
+            stop = cut.start() if cut else len(text)
+            yield text[start:stop]
+            start = stop
+
+    def of(self, segments: list[str]) -> list[tuple[int, int, int, np.ndarray, str] | None]:
+        """(tokens of A, of B, groups, links, the groups' text) of each segment; None where bytes differ."""
+        out: list = [None] * len(segments)
+        own_a, own_b, own = [], [], []
+        for k, (segment, b) in enumerate(zip(segments, self.b.encode([s[1:] for s in segments], num_threads=1), strict=True)):
+            a, b = self.a.of(segment), b or [self.blank]
+            if b"".join([self.a_bytes[i] for i in a.tolist()]) == b"".join([self.b_bytes[i] for i in b]) == segment.encode():
+                own_a.append(a)
+                own_b.append(np.array(b, np.int64))
+                own.append(k)
+        if not own:
+            return out
+        a, b = np.concatenate(own_a), np.concatenate(own_b)
+        links, n, closes, written, until = align(a, np.cumsum(self.a_sizes[a]), b, np.cumsum(self.b_sizes[b]))
+        n_a, n_b = (np.array([len(x) for x in y]) for y in (own_a, own_b))
+        a_to = np.cumsum(n_a)
+        links_to, groups_to, written_to = np.cumsum(n)[a_to - 1], np.cumsum(closes)[a_to - 1], np.cumsum(n_a + n_b)
+        written[written_to - 1] += NOTHING - SEMICOLON
+        parts = self.written[written].tolist()
+        links_from, groups_from, written_from = (np.append(0, x[:-1]).tolist() for x in (links_to, groups_to, written_to))
+        for i, k in enumerate(own):
+            out[k] = (int(n_a[i]), int(n_b[i]), int(groups_to[i]) - groups_from[i], links[links_from[i] : links_to[i]], "".join(parts[written_from[i] : written_to[i]]))
+        return out
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text: tokens of A and B, groups, links, SHA-256 of the groups; distinct pairs with their numbers of links."""
+        waiting, size, held = [], 0, _Held()
+        for k, text in enumerate(texts):
+            parts = list(self.segments(text)) if text else []
+            if not parts:
+                waiting.append((k, True, None))
+            for i, part in enumerate(parts):
+                waiting.append((k, i == len(parts) - 1, part))
+                size += len(part)
+                if size >= TOGETHER:
+                    yield from self._told(waiting, held)
+                    waiting, size = [], 0
+        yield from self._told(waiting, held)
+
+    def _told(self, waiting: list[tuple[int, bool, str | None]], held: _Held):
+        found = iter(self.of([part for *_, part in waiting if part is not None]))
+        for _, last, part in waiting:
+            held.add(next(found) if part is not None else None)
+            if last:
+                yield held.told()
+
+
+class _Held:
+    """What is known of a text until its last segment has come."""
+
+    def __init__(self):
+        self._anew()
+
+    def _anew(self) -> None:
+        self.sums, self.n, self.sha, self.sound = np.zeros(4, np.int64), 0, hashlib.sha256(), True
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, found: tuple[int, int, int, np.ndarray, str] | None) -> None:
+        self.sound = self.sound and found is not None
+        if not self.sound:
+            return
+        n_a, n_b, n_groups, links, groups = found
+        self.sums += (n_a, n_b, n_groups, len(links))
+        self.sha.update((";" + groups if self.n else groups).encode())
+        pairs, times = np.unique(links, return_counts=True)
+        if self.n:
+            pairs, which = np.unique(np.concatenate([self.pairs, pairs]), return_inverse=True)
+            times = np.bincount(which, np.concatenate([self.times, times])).astype(np.int64)
+        self.pairs, self.times, self.n = pairs, times, self.n + 1
+
+    def told(self) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        out = (*self.sums.tolist(), self.sha.hexdigest(), self.pairs, self.times) if self.sound else (0, 0, 0, 0, "", none, none)
+        self._anew()
+        return out
 
 
 def _bytes_of_letters() -> dict[int, str]:
@@ -152,14 +187,10 @@ def measured(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            rows = []
-            for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
-                found = both.of(text)
-                (n_a, n_b, n_groups), links, groups = found or ((0, 0, 0), np.zeros(0, np.int64), None)
-                pairs, times = np.unique(links, return_counts=True)
-                sha = hashlib.sha256(groups.encode()).hexdigest() if found else ""
+            rows, texts = [], batch.column("text").to_pylist()
+            for text, copies, (n_a, n_b, n_groups, n_links, sha, pairs, times) in zip(texts, batch.column("copies").to_pylist(), both.texts(texts), strict=True):
                 key = hashlib.sha256(text.encode()).digest()
-                rows.append((number, key, copies, n_a, n_b, n_groups, len(links), sha, pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes()))
+                rows.append((number, key, copies, n_a, n_b, n_groups, n_links, sha, pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes()))
                 number += 1
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
             types = [pa.int64(), pa.binary()] + [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]

@@ -33,6 +33,12 @@ def encodings(text, a, b):
     return out
 
 
+def groups_sha(x, y):
+    ends = sorted({e for *_, e in x} & {e for *_, e in y})
+    of = lambda tokens, lo, hi: ",".join(str(i) for i, s, e in tokens if lo <= s and e <= hi)
+    return hashlib.sha256(";".join(of(x, lo, hi) + "|" + of(y, lo, hi) for lo, hi in zip([0, *ends], ends, strict=False)).encode()).hexdigest()
+
+
 def brute(rows):
     """The result of (doc_id, text) rows by comparing all tokens of A with all of B."""
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
@@ -45,10 +51,7 @@ def brute(rows):
             continue
         x, y = found
         links = [(i, j) for i, s, e in x for j, s2, e2 in y if s < e2 and s2 < e]
-        ends = sorted({e for *_, e in x} & {e for *_, e in y})
-        of = lambda tokens, lo, hi: ",".join(str(i) for i, s, e in tokens if lo <= s and e <= hi)
-        groups = ";".join(of(x, lo, hi) + "|" + of(y, lo, hi) for lo, hi in zip([0, *ends], ends, strict=False))
-        done.append((doc, len(x), len(y), len(ends), links, hashlib.sha256(groups.encode()).hexdigest()))
+        done.append((doc, len(x), len(y), len({e for *_, e in x} & {e for *_, e in y}), links, groups_sha(x, y)))
         held.update(set(links))
     best = defaultdict(int)
     for (i, _), n in held.items():
@@ -61,27 +64,30 @@ def result(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_chunks_give_whole_encodings():
-    both, rng = alignment.Aligner(A, B, most=400), random.Random(3)
+def test_segments_give_whole_encodings(monkeypatch):
+    both, rng = alignment.Aligner(A, B), random.Random(3)
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
+    assert not both.whole
     bits = ["the", " ", "  ", "\n", "\t ", " \n", "I'll", "12", "3½", "é", "ñu", "!!", "...", "\xa0", "\x85", "\x1c", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>",
-            "–", "日本", "日 本", "_", "'", "　", "😀", "́", "a", "B", " ", "▁", "​", "ﬁ", "﻿"]
+            "–", "日本", "日 本", "_", "'", "　", "😀", "́", "a", "B", " ", "▁", "​", "ﬁ", "﻿"]
     texts = ["", " ", "a  ", "\n\n x", " x ", "x\n"] + ["".join(rng.choices(bits, k=rng.randrange(1, 25))) for _ in range(3000)]
-    empty = 0
-    for t in texts:
-        got, want = both.of(t), encodings(t, a, b)
-        if want is None:
-            assert got is None, repr(t)
-            empty += 1
-            continue
-        (n_a, n_b, n_groups), links, groups = got
-        x, y = want
-        assert [int(i) for g in groups.split(";") for i in g.split("|")[0].split(",")] == [i for i, *_ in x], repr(t)
-        assert [int(i) for g in groups.split(";") for i in g.split("|")[1].split(",")] == [i for i, *_ in y], repr(t)
-        assert sorted(links.tolist()) == sorted(i << 32 | j for i, s, e in x for j, s2, e2 in y if s < e2 and s2 < e)
-        assert (n_a, n_b, n_groups) == (len(x), len(y), len({e for *_, e in x} & {e for *_, e in y}))
-    assert empty < len(texts) / 2
+    want, empty = [encodings(t, a, b) for t in texts], ""
+    for size, together in ((alignment.SEGMENT, alignment.TOGETHER), (5, 60), (0, 1)):
+        monkeypatch.setattr(alignment, "SEGMENT", size)
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        got = list(both.texts(texts))
+        assert len(got) == len(texts)
+        for t, (n_a, n_b, n_groups, n_links, sha, pairs, times), known in zip(texts, got, want, strict=True):
+            if known is None:
+                assert (n_a, n_b, n_groups, n_links, sha, len(pairs)) == (0, 0, 0, 0, empty, 0), repr(t)
+                continue
+            x, y = known
+            links = Counter(i << 32 | j for i, s, e in x for j, s2, e2 in y if s < e2 and s2 < e)
+            assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == links and n_links == links.total(), repr(t)
+            assert (n_a, n_b, n_groups) == (len(x), len(y), len({e for *_, e in x} & {e for *_, e in y}))
+            assert sha == groups_sha(x, y)
+    assert sum(w is None for w in want) < len(texts) / 2
 
 
 def test_letters_are_the_decoders():
