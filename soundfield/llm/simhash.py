@@ -78,7 +78,8 @@ def links(nodes: DataFrame) -> DataFrame:
     )).alias("h")).select("fp", "h.side", "h.half")
     held = halves.groupBy("side", "half").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     near = halves.select("fp", "side", F.explode(F.array(*[F.col("half").bitwiseXOR(F.lit(x)) for x in [0] + [1 << i for i in range(32)]])).alias("half"))
-    busy = stored(near.join(held, ["side", "half"]).where("fp <> lo or fp <> hi").select("fp").distinct(), "simhash-busy")
+    # Spark sizes an exploded table like what it came from, so without the hint it would broadcast the larger side
+    busy = stored(near.hint("merge").join(held, ["side", "half"]).where("fp <> lo or fp <> hi").select("fp").distinct(), "simhash-busy")
     flips = lambda masks: F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("z")
     points = busy.select("fp", flips(ONE_FLIP)).unionByName(busy.where("bit_count(fp) % 2 = 0").select("fp", flips(TWO_FLIPS)))
     hub = F.min(F.when(F.expr("bit_count(fp ^ z) <= 1"), F.col("fp"))).over(Window.partitionBy("z"))
@@ -115,9 +116,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("row_key"))
     prints = stored(own.mapInArrow(_batches, "doc_id long, row_key binary, fp long"), "simhash-prints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    firsts = _placed(prints.select("fp", row.alias("row")), "row").groupBy("root").agg(F.min("lo").alias("row"))
-    firsts = firsts.select(F.col("row.doc_id").alias("keep_id"), F.col("row.row_key").alias("keep_key")).hint("merge")  # spares the driver a broadcast
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (text_key() == F.col("keep_key"))
-    rank = F.row_number().over(Window.partitionBy("keep_id", "keep_key").orderBy("text"))
-    kept = docs.join(firsts, same).withColumn("copy_rank", rank).where("copy_rank = 1")
-    return kept.drop("copy_rank", "keep_id", "keep_key")
+    firsts = _placed(prints.select("fp", row.alias("row")), "row").groupBy("root").agg(F.min("lo").alias("row")).select("row").hint("merge")
+    ranked = firsts.select(F.col("row.doc_id").alias("doc_id"), F.col("row.row_key").alias("row_key"))
+    given = docs.select(F.struct("*").alias("given"))  # one column, so that no name of the given ones can clash
+    given = given.select("given", F.col("given.doc_id").cast("long").alias("own_id"), F.unhex(F.md5(F.coalesce("given.text", F.lit("")).cast("binary"))).alias("own_key"))
+    kept = given.join(ranked, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("row_key")))
+    first = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy("own_id"))
+    return kept.withColumn("nth", first).where("nth = 1").select("given.*")

@@ -86,3 +86,30 @@ def test_one_row_of_each_component_stays(spark):
     two = docs.where("row >= 5").unionByName(spark.createDataFrame([(3, "a b c d e f", 7)], docs.schema))
     assert sorted(r.row for r in simhash.keep_first(two).collect()) == [5, 7]
     assert simhash.keep_first(docs.limit(0)).count() == 0 and simhash.keep_first(docs).columns == docs.columns
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ["keep_id", "keep_key", "copy_rank", "row", "given", "own_id", "own_key", "nth", "fp", "root", "row_key"]
+    rows = [(2, "a b c d", *range(len(names))), (1, "a b c d", *range(len(names))), (3, "x", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = simhash.keep_first(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == sorted(rows[1:])
+
+
+def test_no_exploded_side_is_broadcast(spark, monkeypatch):
+    plans = []
+    whole = simhash.stored
+
+    def seen(df, name):
+        out = whole(df, name)
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('w', id % 50, ' x', id % 7, ' y z') as text")
+    plain = docs.select("doc_id", "text")
+    simhash.near_duplicates(plain).collect()
+    busy = next(p for n, p in plans if n == "simhash-busy")
+    for part in busy.split("BroadcastExchange")[1:]:
+        assert "Generate" not in part
+    assert "SortMergeJoin" in busy
