@@ -74,17 +74,21 @@ def with_edited(docs: DataFrame) -> DataFrame:
     `edited` is the text with its last quarter of code points replaced by as many from the next document's start.  Next is
     by ascending doc_id, null first, equal ids in the order of a hash of the text; rows equal in both are one document.
     """
-    own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"),
-    ).withColumn("h", F.xxhash64("doc_id", "text"))
-    marked = stored(anchors(own, "text").select("k", "h", F.length("text").alias("n"), least("anchors").alias("hashes")), "syncmers-hashes")
-    distinct = marked.groupBy("k", "h").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    known = stored(distinct.join(ring(marked.select("k", "h", "n").distinct()), ["k", "h"]), "syncmers-known")
-    rows = own.join(known, ["k", "h"])
+    named = F.col("doc_id").cast("long")
+    own = docs.select(named.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(named, F.lit(-(2**63))).alias("k"))
+    own = own.withColumn("h", F.xxhash64("doc_id", "text"))
+    marked = anchors(own, "text").select("k", "h", F.col("doc_id").isNull().alias("unnamed"), F.length("text").alias("n"), least("anchors").alias("hashes"))
+    marked = stored(marked, "syncmers-hashes")
+    distinct = marked.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in ("unnamed", "n", "hashes")])
+    known = stored(distinct.join(ring(marked.select("k", "h", "n").distinct()), ["k", "h"]), "syncmers-known").hint("merge")
+    # both uses of the texts ask for the same columns, so Spark moves them once
+    rows = own.select("k", "h", "text").hint("merge").join(known, ["k", "h"])
     heads = rows.select(
         F.col("before.k").alias("k"), F.col("before.h").alias("h"), F.substr("text", F.lit(1), F.floor(F.col("before.n") / 4).cast("int")).alias("head"), F.col("hashes").alias("next_hashes"),
     ).dropDuplicates(["k", "h"])
-    both = rows.join(heads, ["k", "h"])
+    both = rows.join(heads.hint("merge"), ["k", "h"])
     kept = F.substr("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
     out = anchors(both.withColumn("edited", F.concat(kept, "head")), "edited", "edited_anchors")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "text", "edited", "hashes", least("edited_anchors").alias("edited_hashes"), "next_hashes")
+    return out.select(
+        F.when(~F.col("unnamed"), F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "text", "edited", "hashes", least("edited_anchors").alias("edited_hashes"), "next_hashes",
+    )
