@@ -86,12 +86,12 @@ class Cell:
 
     def along_code(self, a: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
         """<q, c> of the k-th code vector, from popcounts."""
-        ones, weighted = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        ones, weighted = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
         for w in range(self.codes.shape[2]):
-            code = self.codes[r, k, w]
+            code = self.codes[:, k, w][r]
             ones += np.bitwise_count(code)
             for j in range(PLANES):
-                weighted += np.bitwise_count(code & self.planes[a, j, w]).astype(np.int64) << j
+                weighted += np.bitwise_count(code & self.planes[:, j, w][a]) * np.int32(1 << j)
         held = self.low[a] * ones + self.step[a] * weighted
         return (2 * held - self.total[a]) / np.sqrt(max(self.dim, 1))
 
@@ -127,12 +127,16 @@ class Cell:
             yield a + start, r
 
 
-def floors(a: np.ndarray, lo: np.ndarray, count: int) -> np.ndarray:
-    """For each place of `a` (sorted) the `count`-th greatest of `lo` among places of the same number; -inf if there are fewer."""
+def floors(a: np.ndarray, lo: np.ndarray, count: int, n: int) -> np.ndarray:
+    """For each number below n the `count`-th greatest of `lo` where `a` is that number; -inf if there are fewer."""
+    out = np.full(n, -np.inf)
+    if not len(a):
+        return out
     order = np.lexsort((-lo, a))
-    first, after = np.searchsorted(a, a), np.searchsorted(a, a, side="right")
-    nth = np.minimum(first + count, after) - 1
-    return np.where(after - first >= count, lo[order][nth], -np.inf) if len(a) else np.zeros(0)
+    numbers, first, sizes = np.unique(a[order], return_index=True, return_counts=True)
+    has = sizes >= count
+    out[numbers[has]] = lo[order][first[has] + count - 1]
+    return out
 
 
 def leading(key: np.ndarray, score: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
@@ -190,7 +194,8 @@ def _positives(left: pa.Table, right: pa.Table, dim: int) -> pa.Table:
     """Of one cell, the first POSITIVES other rows of each anchor's label."""
     cell, found = Cell(left, right, dim), []
     for a, r in cell.blocks(same=True):
-        a, r = cell.narrowed(a, r, lambda a, lo, hi: hi >= floors(a, lo, POSITIVES))
+        first, n = (int(a[0]), int(a[-1] - a[0]) + 1) if len(a) else (0, 1)  # pairs come in the order of their anchors
+        a, r = cell.narrowed(a, r, lambda a, lo, hi: hi >= floors(a - first, lo, POSITIVES, n)[a - first])  # noqa: B023
         score = cell.scores(a, r)
         kept = leading(a, score, cell.ids[r], POSITIVES)
         found.append((cell.anchor_numbers[a[kept]], cell.ids[r[kept]], score[kept]))
@@ -208,11 +213,13 @@ def _negatives(left: pa.Table, right: pa.Table, dim: int) -> pa.Table:
             asked[i, p["nth"] - 1] = p["positive_id"], score, -(-LEAST * score // 100), MOST * score // 100
 
     def matters(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        kept = np.zeros(len(a), bool)
+        kept, first = np.zeros(len(a), bool), int(a[0]) if len(a) else 0
         for k in range(POSITIVES):
             least, most = asked[a, k, 2], asked[a, k, 3]
-            sure = np.where((lo >= least) & (hi <= most), lo, -np.inf)
-            kept |= (least <= most) & (hi >= least) & (lo <= most) & (hi >= floors(a, sure, NEGATIVES))
+            open_ = (least <= most) & (hi >= least) & (lo <= most)
+            sure = open_ & (lo >= least) & (hi <= most)
+            least_sure = floors(a[sure] - first, lo[sure], NEGATIVES, int(a[-1]) - first + 1) if sure.any() else None
+            kept |= open_ & (hi >= least_sure[a - first]) if least_sure is not None else open_
         return kept
 
     for a, r in cell.blocks(same=False):

