@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions import geo
 from soundfield.models import features
-from soundfield.operators import describe, evaluation, grid, matching, scenario, shapes
+from soundfield.operators import areas, describe, evaluation, grid, matching, scenario, shapes
 from soundfield.operators.lattice import disc_sums, nearest_points
 from soundfield.plans.registry import query
 from soundfield.plans.tables import Tables, oracle
@@ -326,9 +326,40 @@ def kinds_united(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"))
 
 
-@query("wards_outside_frame", oracle(
-    """select ward_id, ward from wards where ward_id not in (select ward_id from wards join obs on x >= x_lo and x < x_lo + w and y >= y_lo and y < y_lo + h)"""))
+_IN_WARD = """(x >= x_lo and x < x_lo + w and y >= y_lo and y < y_lo + h and abs(x - x_lo - w / 2 - 0.25e0) / (w / 4 + 0.1e0) + abs(y - y_lo - h / 2 - 0.25e0) / (h / 4 + 0.1e0) >= 1
+  or abs(x - x_lo - 1.5e0 * w - 0.25e0) / (w / 8 + 0.1e0) + abs(y - y_lo - h / 2 - 0.25e0) / (h / 8 + 0.1e0) < 1)"""
+
+
+@query("points_in_ward_areas", oracle(f"select obs_id, ward_id, ward from obs left join wards on {_IN_WARD}"))
+def points_in_ward_areas(t: Tables):
+    """Wards of two parts with holes."""
+    return areas.points_in_areas(t.obs.select("obs_id", "x", "y"), t.ward_areas, "ward_id").select("obs_id", "ward_id", "ward")
+
+
+_FRAME = f"select ward from wards join sources on {_IN_WARD} where src_id % 9 = 0"
+
+
+def _frame(t: Tables):
+    return areas.frame_membership(t.ward_areas, t.sources.where("src_id % 9 = 0"), "ward_id", "ward").select("ward_id", "ward", "kind", "in_frame")
+
+
+@query("frame_wards", oracle("select ward_id, ward, kind, kind = 'phuong' or ward in (select ward from built) as in_frame from wards", built=_FRAME))
+def frame_wards(t: Tables):
+    """Urban wards, and wards that hold a development, are in the sampling frame."""
+    return _frame(t)
+
+
+@query("frame_measurements", oracle(
+    f"""select in_frame, count(*) as n, count(distinct ward_id) as wards, avg(noise_db) as mean_db from obs join
+        (select *, kind = 'phuong' or ward in (select ward from built) as in_frame from wards) on {_IN_WARD} where noise_db is not null group by 1""", "mean_db", built=_FRAME))
+def frame_measurements(t: Tables):
+    """Measurements inside the sampling frame and in its complement."""
+    units = t.ward_areas.join(_frame(t).select("ward_id", "in_frame"), "ward_id")
+    placed = areas.points_in_areas(t.obs.where("noise_db is not null").select("noise_db", "x", "y"), units, "ward_id").where("ward_id is not null")
+    return placed.groupBy("in_frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ward_id").alias("wards"), F.avg("noise_db").alias("mean_db"))
+
+
+@query("wards_outside_frame", oracle("select ward_id, ward from wards where kind <> 'phuong' and ward not in (select ward from built)", built=_FRAME))
 def wards_outside_frame(t: Tables):
-    """Complement: wards without any measurement."""
-    hit = shapes.points_in_polygons(t.obs.select("x", "y").distinct(), t.ward_rings).select("ward_id").where("ward_id is not null")
-    return t.wards.join(hit, "ward_id", "left_anti").select("ward_id", "ward")
+    """Complement of the sampling frame."""
+    return _frame(t).where("not in_frame").select("ward_id", "ward")

@@ -135,6 +135,18 @@ class Tables:
         ring = rectangle_ring(F.col("x_lo"), F.col("y_lo"), F.col("x_lo") + F.col("w"), F.col("y_lo") + F.col("h"))
         return self.wards.select("ward_id", "ward", "kind", ring.alias("ring"))
 
+    @cached_property
+    def ward_areas(self) -> DataFrame:
+        """Wards of two parts with a hole: a box less a diamond in its middle, and a smaller diamond inside the next box's hole."""
+        def diamond(cx, cy, a, b):
+            corners = [(cx - a, cy), (cx, cy - b), (cx + a, cy), (cx, cy + b)]
+            return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+        x, y, w, h = (F.col(c) for c in ("x_lo", "y_lo", "w", "h"))
+        hole = diamond(x + w / 2 + 0.25, y + h / 2 + 0.25, w / 4 + 0.1, h / 4 + 0.1)
+        island = diamond(x + 1.5 * w + 0.25, y + h / 2 + 0.25, w / 8 + 0.1, h / 8 + 0.1)
+        return self.wards.select("ward_id", "ward", "kind", F.array(rectangle_ring(x, y, x + w, y + h), hole, island).alias("rings"))
+
     @cached_property
     def layout(self) -> DataFrame:
         return grid_layout(self.meas)
