@@ -29,12 +29,19 @@ def with_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
 # ---------------------------------------------------------------------- clean, levels
 
 
-def clean_stream(stream: DataFrame, *, delay: str = "10 minutes", offsets: dict[str, float] | None = None) -> DataFrame:
-    """Streaming form of cleaning: first row per (person, time) inside the watermark, then bounds and offset."""
+def clean_stream(
+    stream: DataFrame, *, delay: str = "10 minutes", offsets: dict[str, float] | None = None, order: str = "seq"
+) -> DataFrame:
+    """Streaming form of cleaning: per (person, time) the row that is least by `order`, whichever arrives first, then bounds and offset.
+
+    A group keeps its least row only and gives it out once the watermark has passed its time; rows that come later than the
+    delay, and rows without a time, are dropped.
+    """
     rows = stream.dropna(subset=["noise_db", "x", "y"])
     rows = rows.withColumn("who", survey.dedup_key(F.col("contributor_id"), F.col("collector")))
-    rows = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["who", "ts"])
-    return _bounds(rows, offsets)
+    others = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("who", "ts")])
+    first = rows.withWatermark("ts", delay).groupBy("who", "ts").agg(F.min_by(others, F.col(order)).alias("first"))
+    return _bounds(first.select("first.*", "who", "ts"), offsets)
 
 
 def clean_batch(df: DataFrame, *, offsets: dict[str, float] | None = None, order: str = "seq") -> DataFrame:

@@ -43,16 +43,44 @@ def same(a, b, keys, value=None):
         assert np.allclose(x[value], y[value])
 
 
+def passed(rows):
+    """Rows whose time the watermark passes once all have come, with a delay of nothing."""
+    return rows.where(F.col("ts") <= rows.agg(F.date_trunc("millisecond", F.max("ts"))).first()[0])
+
+
 def test_clean_stream(spark, feed, tmp_path):
-    got = drain(jobs.clean_stream(stream(spark, feed), offsets={"c0": 1.5}).select("obs_id", "noise_db"), "cleaned", tmp_path)
-    want = jobs.clean_batch(feed[0], offsets={"c0": 1.5}).select("obs_id", "noise_db")
+    got = drain(jobs.clean_stream(stream(spark, feed), offsets={"c0": 1.5}, delay="0 seconds").select("obs_id", "noise_db"), "cleaned", tmp_path)
+    want = passed(jobs.clean_batch(feed[0], offsets={"c0": 1.5})).select("obs_id", "noise_db")
+    same(got, want, ["obs_id"], "noise_db")
+
+
+def test_the_first_of_repeats_stays_when_it_arrives_last(spark, feed, tmp_path):
+    rows, _ = feed
+    later = rows.withColumns({"seq": F.col("seq") + 10**9, "noise_db": F.lit(66.0)}).where("obs_id % 3 = 0")
+    folder = str(tmp_path / "late")
+    for part in (later, rows):  # the repeats come first, in a file of their own
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+    def drained():
+        files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.clean_stream(files, offsets={}, delay="400 days").select("obs_id", "seq", "noise_db")
+        job = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "least")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        job.awaitTermination(240)
+        return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+
+    assert drained().count() == 0  # nothing is given out before the watermark passes
+    end = rows.limit(1).withColumns({"ts": F.lit(dt.datetime(2040, 1, 1)).cast("timestamp"), "seq": F.lit(-1).cast("long"), "contributor_id": F.lit("end")})
+    end.coalesce(1).write.mode("append").parquet(folder)
+    got = drained()  # the same job goes on from its checkpoint
+    want = jobs.clean_batch(rows.unionByName(later), offsets={}).select("obs_id", "seq", "noise_db")
     same(got, want, ["obs_id"], "noise_db")
+    assert got.where("seq >= 1000000000").count() == 0
 
 
 def test_repeats_are_dropped(spark, feed, tmp_path):
     twice = stream(spark, feed).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    got = drain(jobs.clean_stream(twice, offsets={}).select("obs_id"), "once", tmp_path)
-    assert got.count() == jobs.clean_batch(feed[0], offsets={}).count()
+    got = drain(jobs.clean_stream(twice, offsets={}, delay="0 seconds").select("obs_id"), "once", tmp_path)
+    assert got.count() == passed(jobs.clean_batch(feed[0], offsets={})).count()
 
 
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
