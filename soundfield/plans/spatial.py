@@ -354,8 +354,8 @@ def frame_wards(t: Tables):
         (select *, kind = 'phuong' or ward in (select ward from built) as in_frame from wards) on {_IN_WARD} where noise_db is not null group by 1""", "mean_db", built=_FRAME))
 def frame_measurements(t: Tables):
     """Measurements inside the sampling frame and in its complement."""
-    units = t.ward_areas.join(_frame(t).select("ward_id", "in_frame"), "ward_id")
-    placed = areas.points_in_areas(t.obs.where("noise_db is not null").select("noise_db", "x", "y"), units, "ward_id").where("ward_id is not null")
+    placed = areas.points_in_areas(t.obs.where("noise_db is not null").select("noise_db", "x", "y"), t.ward_areas, "ward_id").where("ward_id is not null")
+    placed = placed.join(_frame(t).select("ward_id", "in_frame"), "ward_id")
     return placed.groupBy("in_frame").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ward_id").alias("wards"), F.avg("noise_db").alias("mean_db"))
 
 
