@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from soundfield import config as C
 from soundfield.functions import timing
+from soundfield.operators import polylines
 from soundfield.operators.lattice import disc_sums, nearest_segments
 from soundfield.operators.shapes import touching_length
 
@@ -30,17 +31,25 @@ def disc_morphology(points: DataFrame, buildings: DataFrame, nodes: DataFrame, r
 
 
 def road_density(points: DataFrame, roads: DataFrame, radius: float = C.FEATURE_RADIUS_M) -> DataFrame:
-    """km of road per km2: every road that touches the disc counts with its whole length."""
+    """km of road per km2: every road that touches the disc counts with its whole length.
+
+    `roads` has either `line`, its vertices, or the ends x1, y1, x2, y2.
+    """
     area_km2 = math.pi * radius ** 2 / 1e6
-    got = touching_length(points, roads, radius)
+    touching = polylines.touching_length if "line" in roads.columns else touching_length
+    got = touching(points, roads, radius)
     return points.select("x", "y").distinct().join(got, ["x", "y"], "left").select(
         "x", "y", (F.coalesce("length_m", F.lit(0.0)) / 1000.0 / area_km2).alias("road_density_km_km2")
     )
 
 
 def road_distances(points: DataFrame, roads: DataFrame, absent: float = C.ROAD_ABSENT_M) -> DataFrame:
-    """Distance to the nearest road, major road and minor road; `absent` where a class has none."""
-    near = nearest_segments(points, roads, ["major", "minor"])
+    """Distance to the nearest road, major road and minor road; `absent` where a class has none.
+
+    `roads` has `kind`, and either `line`, its vertices, or the ends x1, y1, x2, y2.
+    """
+    lines = polylines.pieces(roads.select("kind", "line")) if "line" in roads.columns else roads
+    near = nearest_segments(points, lines, ["major", "minor"])
     wide = near.groupBy("x", "y").agg(
         F.min("d").alias("any"),
         F.min(F.when(F.col("kind") == "major", F.col("d"))).alias("hw"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from soundfield import config as C
 from soundfield.functions import geo
 from soundfield.models import features
-from soundfield.operators import areas, describe, evaluation, grid, matching, scenario, shapes
+from soundfield.operators import areas, describe, evaluation, grid, matching, polylines, scenario, shapes
 from soundfield.operators.lattice import disc_sums, nearest_points
 from soundfield.plans.registry import query
 from soundfield.plans.tables import Tables, oracle
@@ -363,3 +363,49 @@ def frame_measurements(t: Tables):
 def wards_outside_frame(t: Tables):
     """Complement of the sampling frame."""
     return _frame(t).where("not in_frame").select("ward_id", "ward")
+
+
+# ------------------------------------------------------------------ roads of many vertices
+
+_STRETCH = """select r.road_id, kind, site, place, b.x1, b.y1, b.x2, b.y2 from roads r join (select road_id, place, x as x1, y as y1,
+ lead(x) over (partition by road_id order by place) as x2, lead(y) over (partition by road_id order by place) as y2 from bends) b on b.road_id = r.road_id where b.x2 is not null"""
+_TO_STRETCH = f"""select px, py, road_id, kind, site, sqrt((px - fx) * (px - fx) + (py - fy) * (py - fy)) as d from
+ (select p.x as px, p.y as py, road_id, kind, s.site, x1 + {_FOOT} * (x2 - x1) as fx, y1 + {_FOOT} * (y2 - y1) as fy from (select distinct x, y from meas) p, stretch s)"""
+_WHOLE = "select road_id, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) as length_m from stretch group by 1"
+
+
+@query("polyline_density", oracle(
+    f"""select p.x, p.y, coalesce(len, 0) / 1000 / ({_AREA} / 1e6) as road_density_km_km2 from (select distinct x, y from meas) p
+     left join (select px, py, sum(length_m) as len from (select distinct px, py, road_id from seg where d <= 300) t join whole using (road_id) group by 1, 2) g on g.px = p.x and g.py = p.y""",
+    "x y road_density_km_km2", stretch=_STRETCH, seg=_TO_STRETCH, whole=_WHOLE))
+def polyline_density(t: Tables):
+    return features.road_density(t.meas, t.polylines)
+
+
+@query("polyline_distances", oracle(
+    """select px as x, py as y, min(d) as dist_road_m, min(d) filter (kind = 'major') as dist_highway_m, min(d) filter (kind = 'minor') as dist_residential_m from seg group by 1, 2""",
+    "x y dist_road_m dist_highway_m dist_residential_m", stretch=_STRETCH, seg=_TO_STRETCH))
+def polyline_distances(t: Tables):
+    return features.road_distances(t.meas, t.polylines)
+
+
+@query("polyline_corridor", oracle(
+    """select road_id, site from roads r where road_id in (select road_id from near) or site not in (select site from near)""",
+    stretch=_STRETCH, seg=_TO_STRETCH, near="select distinct s.road_id, s.site from seg s join (select distinct x, y, site from meas) m on m.x = s.px and m.y = s.py and m.site = s.site where s.d <= 150"))
+def polyline_corridor(t: Tables):
+    return polylines.corridor(t.polylines, t.meas, C.CORRIDOR_M).select("road_id", "site")
+
+
+@query("polyline_clipped", oracle(
+    """select road_id, zone, count(*) filter (not goes_on) as n_parts, round(sum((t1 - t0) * sqrt(dx * dx + dy * dy)), 3) as length_m from (
+       select *, coalesce(t0 = 0 and lag(t1) over (partition by road_id, zone order by place) = 1 and lag(place) over (partition by road_id, zone order by place) = place - 1, false) as goes_on from (
+       select road_id, place, z.site as zone, x2 - x1 as dx, y2 - y1 as dy,
+         greatest(0, case when x2 > x1 then (x_lo - x1) / (x2 - x1) when x2 < x1 then (x_hi - x1) / (x2 - x1) else 0 end, case when y2 > y1 then (y_lo - y1) / (y2 - y1) when y2 < y1 then (y_hi - y1) / (y2 - y1) else 0 end) as t0,
+         least(1, case when x2 > x1 then (x_hi - x1) / (x2 - x1) when x2 < x1 then (x_lo - x1) / (x2 - x1) else 1 end, case when y2 > y1 then (y_hi - y1) / (y2 - y1) when y2 < y1 then (y_lo - y1) / (y2 - y1) else 1 end) as t1
+       from stretch r, zone z where (x1 <> x2 or x1 between x_lo and x_hi) and (y1 <> y2 or y1 between y_lo and y_hi)) where t0 < t1 and (dx <> 0 or dy <> 0)) group by 1, 2""",
+    "length_m", stretch=_STRETCH, box=_BOX, zone=_ZONE))
+def polyline_clipped(t: Tables):
+    zones = _small_zones(t).withColumnRenamed("site", "zone")
+    lengths = F.transform("lines", lambda part: geo.polyline_length(part))
+    total = F.aggregate(lengths, F.lit(0.0), lambda a, b: a + b)
+    return polylines.clip_lines(t.polylines, zones, "road_id", "zone").select("road_id", "zone", F.size("lines").cast("bigint").alias("n_parts"), F.round(total, 3).alias("length_m"))

@@ -45,6 +45,12 @@ select p_partkey as road_id, case when p_type in ('LARGE','PROMO') then 'primary
  'site' || cast(p_partkey % 3 as string) as site,
  cast(x0 as double) as x1, cast(y0 as double) as y1, cast(x0 + (p_size * 37) % 401 - 200 as double) as x2, cast(y0 + (p_size * 53) % 401 - 200 as double) as y2
 from (select *, 580000 + (p_partkey % 3) * 12000 + (p_partkey * 3571) % 8000 as x0, 2320000 + (p_partkey * 2711) % 6000 as y0 from part) p""",
+    "bends": """
+select p_partkey as road_id, i as place,
+ cast(580000 + (p_partkey % 3) * 12000 + (p_partkey * 3571) % 8000 + (i * ((p_size * 37) % 81 - 40) + (p_partkey * (i + 1) * 31) % 61 - 30) * stretch as double) as x,
+ cast(2320000 + (p_partkey * 2711) % 6000 + (i * ((p_size * 53) % 81 - 40) + (p_partkey * (i + 2) * 43) % 61 - 30) * stretch as double) as y
+from (select *, case when p_partkey % 50 = 0 then 40 else 1 end as stretch from part) p
+join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) as v(i) on i <= 2 + p_partkey % 8""",
     "buildings": """
 select c_custkey as bld_id, cast(580000 + (c_custkey % 3) * 12000 + (c_custkey * 6007) % 8000 as double) as cx,
  cast(2320000 + (c_custkey * 4111) % 6000 as double) as cy, sqrt(50 + abs(c_acctbal) / 10) as side_m from customer""",
@@ -130,6 +136,14 @@ class Tables:
     def building_rings(self) -> DataFrame:
         return self.buildings.withColumn("ring", square_ring(F.col("cx"), F.col("cy"), F.col("side_m")))
 
+    @cached_property
+    def polylines(self) -> DataFrame:
+        """Roads of three to ten vertices with a list of tags; one in fifty has pieces forty times as long."""
+        bends = self.bends.groupBy("road_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("v"))
+        lines = bends.select("road_id", F.transform("v", lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"))).alias("line"))
+        tagged = self.roads.select("road_id", "site", F.array("highway", F.lit("secondary")).alias("highway"))
+        return tagged.join(lines, "road_id").withColumn("kind", survey.road_class(F.col("highway")))
+
     @cached_property
     def ward_rings(self) -> DataFrame:
         ring = rectangle_ring(F.col("x_lo"), F.col("y_lo"), F.col("x_lo") + F.col("w"), F.col("y_lo") + F.col("h"))
