@@ -12,7 +12,8 @@ another text has paragraphs of its own.  Paragraphs of fewer than LEAST words ar
    shingles in any common order.  The order puts shingles last that are frequent in a sample, so that paragraphs meet at rare ones;
    which they are changes the work, never the result.  Pairs that meet there, whose classes differ so far and whose lengths
    and places leave room for enough common shingles, are compared.  Of each shingle's members those of its most frequent
-   class are not listed against each other.
+   class are not listed against each other.  A 64-bit map of each paragraph's shingles keeps pairs out that differ in too
+   many: a bit that only one of two maps has stands for a shingle that only one has, so no similar pair is lost.
 5. Components of the verified links, with equal paragraphs, are classes.  The first occurrence, by doc_id and place, stays.
 
 Null and empty texts have no paragraphs.  Rows without doc_id are left out: they can neither be named nor ordered.  Rows with
@@ -104,6 +105,17 @@ def prefixes(h: np.ndarray, size: np.ndarray, frequent: np.ndarray, similar: flo
     return grams[kept].view(np.int64), owner[kept], n
 
 
+def bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits for each paragraph of `size` words with hashes `h`: those that any of its shingles falls on."""
+    owner, place = np.repeat(np.arange(len(size)), size), np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    inside = np.flatnonzero(place <= np.repeat(size, size) - SHINGLE)
+    out = np.zeros(len(size), np.uint64)
+    with np.errstate(over="ignore"):
+        bit = (grams_of(h)[inside] * BASE) >> np.uint64(58)
+    np.bitwise_or.at(out, owner[inside], np.uint64(1) << bit)
+    return out.view(np.int64)
+
+
 def signatures(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of paragraphs at first.. of word hashes `h`: a hash each, and 32-bit band keys (zeros below SHINGLED words)."""
     with np.errstate(over="ignore"):
@@ -161,7 +173,7 @@ def frequent_shingles(own: DataFrame) -> np.ndarray:
 
 def _units(frequent: np.ndarray, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "paragraph", "start", "end", "u", "bands", "n", "prefix"]
+        names = ["doc_id", "paragraph", "start", "end", "u", "bands", "n", "prefix", "bits"]
         for docs, number, starts, ends, size, h in _parsed(batches):
             u, bands = signatures(h, np.cumsum(size) - size, size)
             grams, owner, n = prefixes(h, size, frequent, similar)
@@ -169,7 +181,7 @@ def _units(frequent: np.ndarray, similar: float):
             lists = pa.array([b.tolist() if x else None for b, x in zip(bands, long, strict=True)], pa.list_(pa.int32()))
             parts = np.split(grams, np.cumsum(np.bincount(owner, minlength=len(size)))[:-1])
             prefix = pa.array([g if x else None for g, x in zip(parts, long, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(number, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(u), lists, pa.array(n, pa.int32()), prefix], names)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(number, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(u), lists, pa.array(n, pa.int32()), prefix, pa.array(bitmaps(h, size))], names)
 
     return run
 
@@ -197,9 +209,9 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     run = _units(frequent_shingles(own), similar)
-    units = stored(own.mapInArrow(run, "doc_id long, paragraph int, start int, end int, u long, bands array<int>, n int, prefix array<long>"), "paragraphs-units")
+    units = stored(own.mapInArrow(run, "doc_id long, paragraph int, start int, end int, u long, bands array<int>, n int, prefix array<long>, bits long"), "paragraphs-units")
     place = F.struct("doc_id", "paragraph", "start", "end")
-    distinct = units.groupBy("u").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), *[F.max(c).alias(c) for c in ("bands", "n", "prefix")])
+    distinct = units.groupBy("u").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), *[F.max(c).alias(c) for c in ("bands", "n", "prefix", "bits")])
     distinct = released(stored(distinct, "paragraphs-distinct"))
     keys = distinct.select("u", F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("band", "key")
@@ -209,9 +221,9 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     busy = posts.groupBy("gram").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("gram")
     posts = released(stored(posts.join(busy, "gram"), "paragraphs-posts"))
     wanted = met.select("u").unionByName(met.select(F.col("hub").alias("u"))).unionByName(posts.select("u")).distinct()
-    wanted = wanted.join(distinct.select("u", "first"), "u").select("u", "first.*")
-    texts = wanted.join(own, "doc_id").select("u", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
-    texts = released(stored(texts.groupBy("u").agg(F.min("words").alias("words")), "paragraphs-texts"))
+    wanted = wanted.join(distinct.select("u", "first", "bits"), "u").select("u", "first.*", "bits")
+    texts = wanted.join(own, "doc_id").select("u", "bits", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
+    texts = released(stored(texts.groupBy("u", "bits").agg(F.min("words").alias("words")), "paragraphs-texts"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = pairs.distinct().join(texts.select(F.col("u").alias("a"), F.col("words").alias("a_text")), "a")
@@ -220,13 +232,16 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     first = verified(met.select(F.col("u").alias("a"), F.col("hub").alias("b")), "paragraphs-first")
     roots = components(first.where(F.col("similarity") >= similar).select("a", "b"), "paragraphs-links").withColumnRenamed("node", "u")
-    members = stored(posts.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")), "paragraphs-members")
+    mapped = posts.join(texts.select("u", "bits"), "u").join(roots, "u", "left")
+    members = stored(mapped.withColumn("root", F.coalesce("root", "u")), "paragraphs-members")
     main = members.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     main = main.where("roots > 1").select("gram", "main")
-    x = members.join(main, "gram").where("root <> main").select("gram", "main", *[F.col(c).alias(f"x_{c}") for c in ("u", "n", "at", "root")])
-    y = members.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("u", "n", "at", "root")])
+    x = members.join(main, "gram").where("root <> main").select("gram", "main", *[F.col(c).alias(f"x_{c}") for c in ("u", "n", "at", "root", "bits")])
+    y = members.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("u", "n", "at", "root", "bits")])
     room = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
-    pairs = x.join(y, "gram").where("x_root <> y_root and (x_u < y_u or y_root = main)").where(room * (1 + similar) + 1e-6 >= similar * (F.col("x_n") + F.col("y_n")))
+    differing, total = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))), F.col("x_n") + F.col("y_n")
+    pairs = x.join(y, "gram").where("x_root <> y_root and (x_u < y_u or y_root = main)")
+    pairs = pairs.where(room * (1 + similar) + 1e-6 >= similar * total).where(differing * (1 + similar) <= (1 - similar) * total + 1e-6)
     second = verified(pairs.select(F.greatest("x_u", "y_u").alias("a"), F.least("x_u", "y_u").alias("b")), "paragraphs-second")
     near = second.where(F.col("similarity") >= similar).select("a", "b")
     for side in ("a", "b"):  # the classes that these pairs join
