@@ -5,19 +5,20 @@ A suffix array of the whole corpus would have to be one sorted list of all bytes
 1. Anchors.  Of every MIN_LEN bytes the K-byte string with the least hash (the leftmost of equals) is an anchor.  Two equal
    strings of MIN_LEN bytes have the same anchor at the same place, so all that can repeat meets under its anchor's hash.
    About one byte in 18 starts an anchor.
-2. Anchors that only one place has drop out.  Tasks send packed arrays; a hash goes out once per batch however often it
-   occurs there (then its places are known to repeat already), so a passage in every third document is no hot key.
-3. Neighbourhood: the bytes in which any MIN_LEN bytes around the anchor can lie.  Equal ones are one row with the least and
-   the greatest doc_id before they are shuffled.
-4. Under each anchor hash the suffixes of all neighbourhoods are sorted, with the common prefix of each with the one before.
-   A scan with a stack gives the tree of common-prefix intervals; those of MIN_LEN or more whose occurrences differ in the
-   byte to their left (or reach the neighbourhood's edge) are the maximal repeat groups, with all their occurrences.
-   A longer repeat shows as a chain of groups that overlap.
+2. Neighbourhood: the bytes in which any MIN_LEN bytes around the anchor can lie.  Each anchor goes out as its hash and a
+   64-bit hash of its neighbourhood, in packed arrays without the bytes.  A task settles at once what it has itself seen in a
+   smaller document; of equal neighbourhoods it hands on those of its least document, so a passage in every third document
+   is no hot key.  Anchors that only one place has drop out.
+3. Equal neighbourhoods (equal in both hashes) form a class.  In all documents but the class's least one they are removed whole.
+4. What is left to compare are the classes under one anchor, each in its least document.  Only these fetch their bytes.  Their
+   suffixes are sorted, with the common prefix of each with the one before.  A scan with a stack gives the tree of common-prefix
+   intervals; those of MIN_LEN or more whose occurrences differ in the byte to their left (or reach the neighbourhood's edge)
+   are the maximal repeat groups, with all their occurrences.  A longer repeat shows as a chain of groups that overlap.
    An anchor with more than MOST neighbourhoods (a frequent phrase in ever different company) is split by the MIN_LEN-byte
    strings themselves, which are grouped as any key is; the result is the same.
 
-Removal takes the bytes of all occurrences in a group that has a smaller doc_id.  Whole copies of a document with a smaller
-doc_id go in one piece before all this and need no anchors.
+Removal takes the bytes of all occurrences in a group that has a smaller doc_id.  Whole copies need no path of their own: all
+their neighbourhoods are settled by the hashes.
 
 Texts are UTF-8 bytes, null is empty, repeats never cross documents.  A null doc_id counts as greater than all others.
 Rows with equal doc_id do not remove each other.  Extra columns are ignored.
@@ -26,12 +27,13 @@ Rows with equal doc_id do not remove each other.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield.llm.shared import slices, stored
@@ -61,6 +63,26 @@ def hashes(data: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def powers(base: int) -> np.ndarray:
+    """base ** 0, 1, 2, ... modulo 2 ** 64, enough for a buffer and the reach on either side."""
+    out = np.full(SPAN + 2 * MIN_LEN, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWERS, UNDONE = powers(int(STEP)), powers(pow(int(STEP), -1, 1 << 64))
+
+
+def digests(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of every stretch first..last of `data`, from sums of byte codes times powers."""
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum(BYTE_CODES[data] * POWERS[: len(data)], dtype=np.uint64))
+        g = (sums[last] - sums[first]) * UNDONE[first] + (last - first).astype(np.uint64)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        return g ^ (g >> np.uint64(29))
+
+
 def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (ascending) and hashes of the anchors of the documents that lie at first..last of `data`; less than SPAN bytes."""
     if len(data) < MIN_LEN:
@@ -81,8 +103,11 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return place, h[place]
 
 
-def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text's number, place in it, hash) of all anchors, a buffer at a time; long texts go in overlapping spans."""
+def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's number, place in it, anchor's hash, neighbourhood's start, end and hash) of all anchors, a buffer at a time.
+
+    Long texts go in overlapping spans.
+    """
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -92,17 +117,24 @@ def text_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         if stop > start:
             sizes = np.array([len(t) for t in texts[start:stop]])
             last = np.cumsum(sizes)
-            place, h = anchors(np.frombuffer(b"".join(texts[start:stop]), np.uint8), last - sizes, last)
+            data = np.frombuffer(b"".join(texts[start:stop]), np.uint8)
+            place, h = anchors(data, last - sizes, last)
             which = np.searchsorted(last, place, "right")
-            yield start + which, place - (last - sizes)[which], h
+            base = (last - sizes)[which]
+            near, end = np.maximum(base, place - REACH), np.minimum(last[which], place + MIN_LEN)
+            yield start + which, place - base, h, near - base, end - base, digests(data, near, end)
         else:
             data, at, seen = np.frombuffer(texts[start], np.uint8), 0, -1
             while at == 0 or at + MIN_LEN <= len(data):
                 part = data[at : at + SPAN - 1]
                 place, h = anchors(part, np.zeros(1, np.int64), np.array([len(part)]))
-                new = place + at > seen
-                yield np.full(new.sum(), start), place[new] + at, h[new]
-                seen = max(seen, int(place[-1]) + at) if len(place) else seen
+                place = place + at
+                new = place > seen
+                near, end = np.maximum(0, place - REACH), np.minimum(len(data), place + MIN_LEN)
+                low = max(0, at - REACH)
+                g = digests(data[low : at + SPAN + MIN_LEN], near - low, end - low)
+                yield np.full(new.sum(), start), place[new], h[new], near[new], end[new], g[new]
+                seen = max(seen, int(place[-1])) if len(place) else seen
                 at += len(part) - MIN_LEN + 1
             stop = start + 1
         start = stop
@@ -112,34 +144,68 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _sender(buckets: int):
-    names = ["bucket", "known", "hash", "doc", "place"]
+SETTLED, FRESH, KNOWN = 0, 1, 2
+MEMBERS = "doc long, text_key long, start int, end int, h long, key long"
+_NAMES = ["doc", "text_key", "start", "end", "h", "key"]
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        doc, place, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h, kind="stable")
-        doc, place, h = doc[order], place[order], h[order]
-        fresh = np.append(True, h[1:] != h[:-1])
-        again = np.append(~fresh[1:], False) | ~fresh
+
+def _planes(values: np.ndarray) -> bytes:
+    """The low bytes of all numbers, then the next ones, and so on: high bytes are mostly zero and compress to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of one text that meet or overlap, as one; in order of text and place."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], end[order]
+    other = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+    shift = np.cumsum(other) * (1 << 33)  # puts each text beyond the one before, so that one running maximum serves all
+    reach = np.maximum.accumulate(end + shift)
+    begins = np.flatnonzero(np.append(True, (start + shift)[1:] > reach[:-1]))
+    closes = np.append(begins[1:], len(doc)) - 1
+    return doc[begins], key[begins], start[begins], (reach - shift)[closes]
+
+
+def _sender(buckets: int, settle: bool):
+    """Texts in, packed rows out: settled stretches, one anchor of each hash by its hash, and all anchors of hashes met again."""
+    names = ["bucket", "kind", "h", "key", "doc", "text_key", "start", "size"]
+    types = [pa.int32(), pa.int8()] + [pa.binary()] * 6
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, text, start, end, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, text, doc, key, h))
+        doc, text, start, end, h, key = (x[order] for x in (doc, text, start, end, h, key))
         rows = []
-        b = (h % np.uint64(buckets)).astype(np.int64)
-        for known, mask in ((False, fresh), (True, again)):
-            own = np.flatnonzero(mask)
-            own = own[np.argsort(b[own], kind="stable")]
-            cuts = np.flatnonzero(np.diff(b[own])) + 1
-            for part in np.split(own, cuts) if len(own) else []:
-                blobs = [h[part].tobytes() if not known else b"", doc[part].astype("<i8").tobytes(), place[part].astype("<u4").tobytes()]
-                rows.append((int(b[part[0]]), known, *blobs))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+
+        def send(kind: int, b: np.ndarray, h: np.ndarray, key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+            order = np.lexsort((start, text, doc, b))
+            for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(b) else []:
+                anchor = [h[part].tobytes(), key[part].tobytes()] if kind else [b"", b""]
+                rows.append((int(b[part[0]]), kind, *anchor, doc[part].astype("<i8").tobytes(), text[part].astype("<i8").tobytes(), _planes(start[part]), _planes(end[part] - start[part])))
+
+        if settle:
+            new = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))
+            late = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            own = merged(doc[late], text[late], start[late], end[late]) if late.any() else [np.zeros(0, np.int64)] * 4
+            send(SETTLED, own[0] % buckets, *[np.zeros(0, np.uint64)] * 2, *own)
+            doc, text, start, end, h, key = (x[~late] for x in (doc, text, start, end, h, key))
+        first = np.append(True, h[1:] != h[:-1])
+        again = np.append(~first[1:], False) | ~first
+        send(FRESH, (h[first] % np.uint64(buckets)).astype(np.int64), *(x[first] for x in (h, key, doc, text, start, end)))
+        send(KNOWN, doc[again] % buckets, *(x[again] for x in (h, key, doc, text, start, end)))
+        columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches):
-            ids = np.array(batch.column("doc").to_pylist(), np.int64)
-            for which, place, h in text_anchors(_bytes(batch.column("text"))):
-                held.append((ids[which], place, h))
+            ids, keys = (np.array(batch.column(n).to_pylist(), np.int64) for n in ("doc", "text_key"))
+            for which, _, h, start, end, key in text_anchors(_bytes(batch.column("text"))):
+                held.append((ids[which], keys[which], start, end, h, key))
                 size += len(h)
                 if size >= FLUSH:
                     yield flush(held)
@@ -151,42 +217,61 @@ def _sender(buckets: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's packed anchors the places whose hash came from two batches or more, and those known before."""
-    names = ["doc", "place"]
-    hs, docs, places = [], [], []
+    """Of one partition's packed rows the settled stretches (h is null), and the anchors whose hash came twice or more."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def out(doc, text, start, size, h=None, key=None) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(doc), pa.int64())
+        columns = [pa.array(doc), pa.array(text), pa.array(start), pa.array(start + size), *(none if x is None else pa.array(x.view(np.int64)) for x in (h, key))]
+        yield from slices(iter([pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], _NAMES)]), 100_000)
+
+    held = []
     for batch in batches:
-        for known, h, doc, place in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-            doc, place = np.frombuffer(doc, "<i8"), np.frombuffer(place, "<u4").astype(np.int32)
-            if known:
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place)], names)
+        for _, kind, h, key, doc, text, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = [np.frombuffer(doc, "<i8"), np.frombuffer(text, "<i8"), _from_planes(start), _from_planes(size)]
+            own += [np.frombuffer(h, np.uint64), np.frombuffer(key, np.uint64)] if kind else []
+            if kind == FRESH:
+                held.append(own)
             else:
-                hs.append(np.frombuffer(h, np.uint64)), docs.append(doc), places.append(place)
-    if hs:
-        h = np.concatenate(hs)
+                yield from out(*own)
+    if held:
+        doc, text, start, size, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        same = h[1:] == h[:-1]
+        same = h[order][1:] == h[order][:-1]
         own = order[np.append(False, same) | np.append(same, False)]
-        doc, place = np.concatenate(docs)[own], np.concatenate(places)[own]
-        for at in range(0, len(own), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + 100_000]), pa.array(place[at : at + 100_000])], names)
+        yield from out(*(x[own] for x in (doc, text, start, size, h, key)))
+
+
+def members(docs: DataFrame, settle: bool) -> DataFrame:
+    """MEMBERS of `docs` (doc, text, text_key): anchors whose hash has several places, with start, end and hash of the neighbourhood.
+
+    With `settle` rows without h are stretches that a smaller document of the same task has too; their anchors do not appear.
+    """
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = "bucket int, kind byte, h binary, key binary, doc binary, text_key binary, start binary, size binary"
+    sent = docs.select("doc", "text", "text_key").mapInArrow(_sender(buckets, settle), packed)
+    return sent.repartition("bucket").mapInArrow(_repeated, MEMBERS)
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "text_key", "start", "h", "near"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["doc", "text_key", "start", "h", "key", "n", "hi", "near"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in slices(batches, 64):
         rows = []
         for doc, own, text, places in zip(batch.column("doc").to_pylist(), batch.column("text_key").to_pylist(), _bytes(batch.column("text")), batch.column("places").to_pylist(), strict=True):
-            for p in sorted(set(places)):
-                near = text[max(0, p - REACH) : p + MIN_LEN]
-                if p + K <= len(text) and len(near) >= MIN_LEN:
-                    key = int.from_bytes(hashlib.blake2b(text[p : p + K], digest_size=8).digest(), "little", signed=True)
-                    rows.append((doc, own, max(0, p - REACH), key, near))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            rows += [(doc, own, p["start"], p["h"], p["key"], p["n"], p["hi"], text[p["start"] : p["end"]]) for p in places]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (doc, text_key, start, end, h, key, n, hi) with the bytes `near`; of equal rows of `docs` one answers."""
+    lists = wanted.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end", "h", "key", "n", "hi")).alias("places"))
+    once = docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc", "text_key").orderBy(F.lit(0)))).where("copy = 1")
+    found = once.join(lists, ["doc", "text_key"]).select("doc", "text_key", "text", "places")
+    return found.mapInArrow(_neighbourhoods, "doc long, text_key long, start int, h long, key long, n long, hi long, near binary")
+
+
 def intervals(lcp: list[int], left: list[int], lo: list[int], least: int) -> Iterator[tuple[int, int, int, int, list[tuple[int, int]]]]:
     """Maximal common-prefix intervals (first, last, length, least of `lo`, new) of sorted suffixes, by a scan with a stack.
 
@@ -260,119 +345,97 @@ def groups(near: list[bytes], lo: list[int], hi: list[int], whole: bool = True)
                 yield length, low, [x for a, b in new for x in places[a : b + 1]]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h in, (h, key, at, length, lo) out: what may be removed of each neighbourhood, and the least doc having it."""
-
-    def close(h: int, rows: list[tuple]) -> None:
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for length, low, places in groups([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], whole=False):
-            for i, start in places:
-                if low < rows[i][2]:
-                    found[i].append((low, -length, start))
-        for i, own in found.items():  # what runs with a smaller or equal least doc cover together adds nothing
-            covered = 0
-            for low, length, start in sorted(own):
-                bits = ((1 << -length) - 1) << start
-                if bits & ~covered:
-                    covered |= bits
-                    out.append((h, rows[i][3], start, -length, low))
-
-    names, out = ["h", "key", "at", "length", "lo"], []
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    held: list[tuple] = []
-    current = None
+def _by_anchor(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(h, rows) of batches sorted by h."""
+    held, current = [], None
     for batch in batches:
-        for h, near, lo, hi, key in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for h, *row in zip(*(batch.column(n).to_pylist() for n in ("h", *names)), strict=True):
             if h != current and held:
-                close(current, held)
+                yield current, held
                 held = []
             current = h
-            held.append((near, lo, hi, key))
-        if len(out) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-            out.clear()
+            held.append(tuple(row))
     if held:
-        close(current, held)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        yield current, held
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """`df`; asks the driver's JVM to collect, so that Spark deletes the shuffle files of jobs whose results are stored."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
 
 
-def removable(docs: DataFrame, copies: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc.
-
-    `copies` (doc, print) names texts by their digest that are settled already; they get no neighbourhoods.
-    """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("doc", "text").mapInArrow(_sender(buckets), "bucket int, known boolean, hash binary, doc binary, place binary")
-    places = sent.repartition("bucket").mapInArrow(_repeated, "doc long, place int")
-    settled = copies.groupBy("doc").agg(F.collect_set("print").alias("settled"))
-    lists = places.groupBy("doc").agg(F.collect_list("place").alias("places")).join(settled, "doc", "left")
-    lists = _released(stored(lists, "repeats-places"))
-    unsettled = docs.join(lists, "doc").where("settled is null or not array_contains(settled, sha2(text, 256))")
-    found = unsettled.select("doc", "text", "text_key", "places").mapInArrow(_neighbourhoods, "doc long, text_key long, start int, h long, near binary")
-    found = _released(stored(found.withColumn("key", F.xxhash64("near")), "repeats-near"))
-    distinct = stored(found.groupBy("h", "near", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "repeats-distinct")
-    distinct = _released(distinct)
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").drop("a", "b")
-    sized = distinct.join(sizes, "h")
-    few = sized.where(F.col("n") <= most).select("h", "near", "lo", "hi", "key").repartition("h").sortWithinPartitions("h", "near")
-    runs = few.mapInArrow(_grouped, "h long, key long, at int, length int, lo long")
-    many = sized.where(F.col("n") > most)
-    strings = many.select("h", "key", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(1, length(near) - {MIN_LEN - 1}), i -> substring(near, i, {MIN_LEN}))")).alias("at", "s"))
-    least = strings.groupBy("s").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("s", "least")
-    split = strings.join(least, "s").where("least < hi").select("h", "key", "at", F.lit(MIN_LEN).alias("length"), F.col("least").alias("lo"))
-    met = found.select("doc", "text_key", "start", "h", "key").join(runs.unionByName(split), ["h", "key"]).where("doc > lo")
-    return met.select("doc", "text_key", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + F.col("length")).alias("end"))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbourhoods sorted by h in, the stretches of each that a smaller document has out."""
+
+    def spans() -> Iterator[tuple]:
+        for _, rows in _by_anchor(batches, "near", "doc", "text_key", "start"):
+            bits: dict[int, int] = {}
+            docs = [r[1] for r in rows]
+            for length, low, places in groups([r[0] for r in rows], docs, docs, whole=False):
+                for i, start in places:
+                    if low < docs[i]:
+                        bits[i] = bits.get(i, 0) | ((1 << length) - 1) << start
+            for i, own in bits.items():
+                _, doc, text, base = rows[i]
+                for run in re.finditer("1+", f"{own:b}"[::-1]):
+                    yield doc, text, base + run.start(), base + run.end()
+
+    yield from _batched(spans(), ["doc", "text_key", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+
+def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc."""
+    places = stored(members(docs, settle=True), "repeats-places")
+    classed = places.where("h is not null").withColumn("lo", F.min("doc").over(Window.partitionBy("h", "key")))
+    classed = stored(classed, "repeats-classes")
+    firsts = classed.where("doc = lo").drop("lo")
+    sizes = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("hi")).where("a < hi").drop("a")
+    near = stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near")
+    few = near.where(F.col("n") <= most).select("h", "near", "doc", "text_key", "start").repartition("h").sortWithinPartitions("h")
+    runs = few.mapInArrow(_grouped, "doc long, text_key long, start int, end int")
+    many = near.where(F.col("n") > most)
+    strings = many.select("doc", "text_key", "start", F.posexplode(F.expr(f"transform(sequence(1, length(near) - {MIN_LEN - 1}), i -> substring(near, i, {MIN_LEN}))")).alias("at", "s"))
+    least = strings.groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("s", "least")
+    split = strings.join(least, "s").where("least < doc").selectExpr("doc", "text_key", "start + at as start", f"start + at + {MIN_LEN} as end")
+    whole = places.where("h is null").unionByName(classed.where("doc > lo"), allowMissingColumns=True).select("doc", "text_key", "start", "end")
+    return whole.unionByName(runs).unionByName(split)
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """(h, length, lo, occurrences): every maximal repeat group of `docs` (doc_id, text), with all (doc_id, start) in it."""
+    """Every maximal repeat group of `docs` (doc_id, text): one row (h, group, length, doc_id, start) for each occurrence.
+
+    h and group name the group.  Rows without doc_id take no part.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
     own = own.withColumn("text_key", F.xxhash64("text"))
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = own.select("doc", "text").mapInArrow(_sender(buckets), "bucket int, known boolean, hash binary, doc binary, place binary")
-    lists = sent.repartition("bucket").mapInArrow(_repeated, "doc long, place int").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    found = own.join(lists, "doc").mapInArrow(_neighbourhoods, "doc long, text_key long, start int, h long, near binary")
+    held = stored(members(own, settle=False).distinct(), "repeats-members")
+    first = held.groupBy("h", "key").agg(F.min(F.struct("doc", "text_key", "start", "end")).alias("x"), F.max("doc").alias("hi"))
+    near = fetched(own, first.select("h", "key", "x.*", F.lit(0).cast("long").alias("n"), "hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for batch in batches:
-            for doc, start, h, near in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                by[h][near].append((doc, start))
-        rows = []
-        for h, own in by.items():
-            near = list(own)
-            for length, low, places in groups(near, [min(own[t])[0] for t in near], [max(own[t])[0] for t in near]):
-                seen = sorted({(doc, begin + at) for i, at in places for doc, begin in own[near[i]]})
-                rows.append((h, length, low, [{"doc_id": d, "start": s} for d, s in seen]))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "length", "lo", "occurrences"])
+        def rows() -> Iterator[tuple]:
+            for h, own in _by_anchor(batches, "near", "doc", "hi", "key"):
+                for k, (length, _, places) in enumerate(groups(*([r[j] for r in own] for j in range(3)))):
+                    yield from ((h, k, length, own[i][3], at) for i, at in places)
 
-    return found.repartition("h").mapInArrow(run, "h long, length int, lo long, occurrences array<struct<doc_id: long, start: int>>")
+        yield from _batched(rows(), ["h", "group", "length", "key", "at"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()])
+
+    found = near.repartition("h").sortWithinPartitions("h", "near").mapInArrow(run, "h long, group int, length int, key long, at int")
+    return found.join(held, ["h", "key"]).selectExpr("h", "group", "length", "doc as doc_id", "start + at as start").distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in slices(batches):
         rows = []
-        for doc, text, whole, spans in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for doc, text, spans in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             at, kept, runs, end = 0, [], 0, -1
-            if whole and len(text) >= MIN_LEN:
-                runs, at = 1, len(text)
-            else:
-                for s in sorted((s["start"], s["end"]) for s in spans or []):
-                    if s[0] > end or end < 0:
-                        runs += 1
-                        kept.append(text[at : s[0]])
-                    end = at = max(end, s[1])
+            for s in sorted((s["start"], s["end"]) for s in spans or []):
+                if s[0] > end or end < 0:
+                    runs += 1
+                    kept.append(text[at : s[0]])
+                end = at = max(end, s[1])
             kept.append(text[at:])
             left = b"".join(kept)
             rows.append((doc, len(text), len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left))
@@ -388,14 +451,7 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_key", F.xxhash64("text"))
-    prints = own.select("doc", F.sha2("text", 256).alias("print")).where("doc is not null")
-    firsts = prints.groupBy("print").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    copies = stored(prints.join(firsts, "print").where("doc > lo").select("doc", "print").distinct(), "repeats-copies")
-    spans = removable(own.select("doc", "text", "text_key"), copies, most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = _released(stored(spans, "repeats-spans"))
-    # one table by doc, so that the texts move once more only
-    by_doc = spans.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("text_key", "spans"))).alias("spans_of"))
-    by_doc = by_doc.join(copies.groupBy("doc").agg(F.collect_set("print").alias("settled")), "doc", "full")
-    marked = own.join(by_doc, "doc", "left").withColumn("spans", F.expr("try_element_at(spans_of, text_key)"))
-    marked = marked.withColumn("whole", F.expr("settled is not null and array_contains(settled, sha2(text, 256))"))
-    return marked.select("doc_id", "text", "whole", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = removable(own.select("doc", "text", "text_key"), most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = stored(spans, "repeats-spans")
+    marked = own.join(spans.hint("merge"), ["doc", "text_key"], "left")
+    return marked.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

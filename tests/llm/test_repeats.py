@@ -1,7 +1,11 @@
 import hashlib
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from soundfield.llm import repeats
 from soundfield.llm.queries import QUERIES
@@ -28,18 +32,31 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_every_window_has_its_leftmost_least_anchor(monkeypatch):
+@pytest.mark.parametrize("span", [1 << 20, 128])
+def test_every_window_has_its_leftmost_least_anchor(monkeypatch, span):
     rng = random.Random(3)
     texts = [bytes(rng.choices(b"ab", k=rng.randrange(0, 300))) for _ in range(40)] + [b"a" * 500, b"xyz" * 200]
+    monkeypatch.setattr(repeats, "SPAN", span)
     want = set()
     for k, t in enumerate(texts):
-        h = repeats.hashes(__import__("numpy").frombuffer(t, "u1")) if len(t) >= repeats.K else []
+        h = repeats.hashes(np.frombuffer(t, "u1")) if len(t) >= repeats.K else []
         for s in range(len(t) - N + 1):
-            want.add((k, min(range(s, s + repeats.REACH + 1), key=lambda p: (int(h[p]) >> 20, p))))
-    for span in (1 << 20, 128):
-        monkeypatch.setattr(repeats, "SPAN", span) if span == 1 << 20 else None
-        got = {(int(a), int(b)) for w, p, _ in repeats.text_anchors(texts) for a, b in zip(w, p, strict=True)}
-        assert got == want
+            want.add((k, min(range(s, s + repeats.REACH + 1), key=lambda p: (int(h[p]) // span, p))))
+    got, print_of = set(), {}
+    for parts in repeats.text_anchors(texts):
+        for w, p, _, start, end, g in zip(*(x.tolist() for x in parts), strict=True):
+            got.add((w, p))
+            assert (start, end) == (max(0, p - repeats.REACH), min(len(texts[w]), p + N))
+            assert print_of.setdefault(texts[w][start:end], g) == g  # equal bytes have equal hashes, whatever buffer they lie in
+    assert got == want and len(set(print_of.values())) == len(print_of)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 1), st.integers(0, 40), st.integers(1, 9)), min_size=1))
+def test_merged_stretches_cover_the_same(rows):
+    doc, key, start, size = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    got = list(zip(*(x.tolist() for x in repeats.merged(doc, key, start, start + size)), strict=True))
+    assert sorted({(d, k, i) for d, k, s, n in rows for i in range(s, s + n)}) == [(d, k, i) for d, k, s, e in got for i in range(s, e)]
+    assert all(x[:2] != y[:2] or y[2] > x[3] for x, y in zip(got, got[1:], strict=False))
 
 
 def made(seed):
@@ -74,11 +91,50 @@ def test_groups_are_maximal_and_complete(spark):
     for k, (d, t) in enumerate(rows):
         by.setdefault(k, t.encode())
     docs = spark.createDataFrame([(k, t.decode()) for k, t in by.items()], "doc_id long, text string")
-    found = repeats.repeat_groups(docs).collect()
-    assert found
-    for g in found:
-        strings = {by[o.doc_id][o.start : o.start + g.length] for o in g.occurrences}
-        assert len(strings) == 1 and g.length >= N and g.lo == min(o.doc_id for o in g.occurrences)
+    found = defaultdict(set)
+    for g in repeats.repeat_groups(docs).collect():
+        found[g.h, g.group, g.length].add((g.doc_id, g.start))
+    covered = defaultdict(set)
+    for (_, _, length), places in found.items():
+        strings = {by[d][s : s + length] for d, s in places}
+        assert len(strings) == 1 and length >= N and len(places) > 1
+        for d, s in places:
+            for i in range(s, s + length - N + 1):
+                covered[by[d][i : i + N]].add((d, i))
+    want = defaultdict(set)
+    for d, t in by.items():
+        for i in range(len(t) - N + 1):
+            want[t[i : i + N]].add((d, i))
+    shared = {w: p for w, p in want.items() if len({d for d, _ in p}) > 1}
+    assert shared and {w: covered[w] for w in shared} == shared  # strings that only one document repeats may be listed too
+    assert all(covered[w] <= want[w] for w in covered)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_groups_of_an_anchor_are_the_maximal_ones(seed):
+    rng = random.Random(seed)
+    base = bytes(rng.choices(b"ab", k=N + repeats.REACH))
+    near = set()
+    for _ in range(12):
+        t = bytearray(base[rng.randrange(3) : N + repeats.REACH - rng.randrange(3)])
+        for _ in range(rng.randrange(3)):
+            t[rng.choice([rng.randrange(8), rng.randrange(len(t) - 8, len(t))])] = rng.choice(b"abc")
+        near.add(bytes(t))
+    near = sorted(near)
+    doc = list(range(len(near)))
+    got = {(length, low, frozenset(places)) for length, low, places in repeats.groups(near, doc, doc)}
+    at = defaultdict(set)
+    for i, t in enumerate(near):
+        for s in range(repeats.REACH + 1):
+            for e in range(s + N, len(t) + 1):
+                at[t[s:e]].add((i, s))
+    want = set()
+    for w, places in at.items():
+        after = {near[i][s + len(w) : s + len(w) + 1] for i, s in places}
+        before = {near[i][s - 1 : s] if s else None for i, s in places}
+        if len(places) > 1 and (len(after) > 1 or after == {b""}) and (len(before) > 1 or None in before):
+            want.add((len(w), min(i for i, _ in places), frozenset(places)))
+    assert got == want and want
 
 
 def test_documents(spark, small):
