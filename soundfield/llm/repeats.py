@@ -308,10 +308,14 @@ def intervals(lcp: list[int], left: list[int], lo: list[int], least: int) -> Ite
                 stack.append([first, here, byte, low, inside])
 
 
-def groups(near: list[bytes], lo: list[int], hi: list[int], whole: bool = True) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def groups(near: list[bytes], lo: list[int], hi: list[int], whole: bool = True, anchor: list[int] | None = None) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """Maximal repeat groups (length, least doc, [(neighbourhood, start)]) among neighbourhoods of one anchor.
 
     With all occurrences, or, if not `whole`, without those that a longer group with the same least doc has.
+    With `anchor`, the number of each neighbourhood's anchor, those of many anchors are scanned at once; groups stay within one.
+
+    Suffixes enter the array only if their first MIN_LEN bytes occur twice with different bytes to the left, or at an edge:
+    no interval around any other suffix can be maximal.
     """
     for i, (text, a, b) in enumerate(zip(near, lo, hi, strict=True)):
         if b > a:  # a leaf that several documents share
@@ -323,16 +327,32 @@ def groups(near: list[bytes], lo: list[int], hi: list[int], whole: bool = True)
     for i, text in enumerate(near):
         grid[i, : len(text)] = np.frombuffer(text, np.uint8) + 1  # UTF-8 has no byte 255; 0 is the end
     size = np.array([len(t) for t in near])
+    own = np.zeros(len(near), np.uint32) if anchor is None else np.array(anchor, np.uint32)
     which, start = np.nonzero(np.arange(REACH + 1)[None, :] + MIN_LEN <= size[:, None])
-    view = np.lib.stride_tricks.sliding_window_view(grid, width, axis=1)
-    rows = view[which, start]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
-    rows, which, start = rows[order], which[order], start[order]
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(1), differ.argmax(1), width)
-    lcp = np.append(0, np.minimum(lcp, np.minimum((size[which] - start)[1:], (size[which] - start)[:-1])))
     left = np.where(start > 0, grid[which, np.maximum(start - 1, 0)].astype(np.int64), -1)
     docs = np.array(lo, np.int64)[which]
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(np.pad(BYTE_CODES[grid[:, :width]] * POWERS[:width], ((0, 0), (1, 0))), axis=1, dtype=np.uint64)
+        g = (sums[which, start + MIN_LEN] - sums[which, start]) * UNDONE[start]
+        g = (g ^ g >> np.uint64(32)) * STEP + own[which].astype(np.uint64) * BYTE_CODES[0]
+    order = np.argsort(g, kind="stable")
+    begins = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
+    count = np.diff(np.append(begins, len(g)))
+    least, most = np.minimum.reduceat(left[order], begins), np.maximum.reduceat(left[order], begins)
+    wanted = (count > 1) & ((least < 0) | (least < most))
+    if not whole:  # nothing to remove where one document has them all
+        wanted &= np.minimum.reduceat(docs[order], begins) < np.maximum.reduceat(np.array(hi, np.int64)[which][order], begins)
+    kept = np.sort(order[np.repeat(wanted, count)])
+    if not len(kept):
+        return
+    which, start, left, docs = which[kept], start[kept], left[kept], docs[kept]
+    view = np.lib.stride_tricks.sliding_window_view(grid, width, axis=1)
+    rows = np.concatenate([own[which].astype(">u4").view(np.uint8).reshape(-1, 4), view[which, start]], axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width + 4}").ravel(), kind="stable")
+    rows, which, start, left, docs = rows[order], which[order], start[order], left[order], docs[order]
+    differ = rows[1:] != rows[:-1]
+    lcp = np.where(differ.any(1), differ.argmax(1) - 4, width)
+    lcp = np.append(0, np.clip(lcp, 0, np.minimum((size[which] - start)[1:], (size[which] - start)[:-1])))
     busy = np.flatnonzero((lcp >= MIN_LEN) | np.append(lcp[1:] >= MIN_LEN, False))
     for run in np.split(busy, np.flatnonzero(lcp[busy] < MIN_LEN)[1:]) if len(busy) else []:
         own = lcp[run].copy()
@@ -368,18 +388,26 @@ def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType])
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbourhoods sorted by h in, the stretches of each that a smaller document has out."""
 
+    def settled(rows: list[tuple]) -> Iterator[tuple]:
+        bits: dict[int, int] = {}
+        docs = [r[1] for r in rows]
+        for length, low, places in groups([r[0] for r in rows], docs, docs, whole=False, anchor=[r[4] for r in rows]):
+            for i, start in places:
+                if low < docs[i]:
+                    bits[i] = bits.get(i, 0) | ((1 << length) - 1) << start
+        for i, own in bits.items():
+            _, doc, text, base, _ = rows[i]
+            for run in re.finditer("1+", f"{own:b}"[::-1]):
+                yield doc, text, base + run.start(), base + run.end()
+
     def spans() -> Iterator[tuple]:
-        for _, rows in _by_anchor(batches, "near", "doc", "text_key", "start"):
-            bits: dict[int, int] = {}
-            docs = [r[1] for r in rows]
-            for length, low, places in groups([r[0] for r in rows], docs, docs, whole=False):
-                for i, start in places:
-                    if low < docs[i]:
-                        bits[i] = bits.get(i, 0) | ((1 << length) - 1) << start
-            for i, own in bits.items():
-                _, doc, text, base = rows[i]
-                for run in re.finditer("1+", f"{own:b}"[::-1]):
-                    yield doc, text, base + run.start(), base + run.end()
+        held: list[tuple] = []
+        for k, (_, rows) in enumerate(_by_anchor(batches, "near", "doc", "text_key", "start")):
+            if len(held) + len(rows) > MOST:
+                yield from settled(held)
+                held = []
+            held += [(*r, k % (1 << 32)) for r in rows]
+        yield from settled(held)
 
     yield from _batched(spans(), ["doc", "text_key", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
