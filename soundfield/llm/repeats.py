@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.llm.shared import slices, stored
+from soundfield.llm.shared import released, slices, stored
 
 MIN_LEN, K, MOST = 50, 16, 4096
 REACH = MIN_LEN - K  # bytes on either side of an anchor
-SPAN, FLUSH, LAST = 1 << 20, 1 << 19, 2**63 - 1
+SPAN, FLUSH, LAST = 1 << 20, 1 << 20, 2**63 - 1
 
 BYTE_CODES = np.random.default_rng(14).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-SETTLED, FRESH, KNOWN = 0, 1, 2
+SETTLED, FRESH, KNOWN, ALSO = 0, 1, 2, 128
 MEMBERS = "doc long, text_key long, start int, end int, h long, key long"
 _NAMES = ["doc", "text_key", "start", "end", "h", "key"]
 
@@ -171,12 +171,17 @@ def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray)
 
 
 def _sender(buckets: int, settle: bool):
-    """Texts in, packed rows out: settled stretches, one anchor of each hash by its hash, and all anchors of hashes met again."""
+    """Texts in, packed rows out: settled stretches, one anchor of each hash by its hash, and all anchors of hashes met again.
+
+    A hash is cut to 32 bits beside its bucket: anchors that then seem equal cost comparisons, their neighbourhoods still differ.
+    A size above ALSO marks the one anchor of a hash that is among those met again too.
+    """
     names = ["bucket", "kind", "h", "key", "doc", "text_key", "start", "size"]
     types = [pa.int32(), pa.int8()] + [pa.binary()] * 6
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         doc, text, start, end, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+        h = ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) + h % np.uint64(buckets)
         order = np.lexsort((start, text, doc, key, h))
         doc, text, start, end, h, key = (x[order] for x in (doc, text, start, end, h, key))
         rows = []
@@ -184,7 +189,9 @@ def _sender(buckets: int, settle: bool):
         def send(kind: int, b: np.ndarray, h: np.ndarray, key: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
             order = np.lexsort((start, text, doc, b))
             for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(b) else []:
-                anchor = [h[part].tobytes(), key[part].tobytes()] if kind else [b"", b""]
+                anchor = [b"", b""]
+                if kind != SETTLED:
+                    anchor = [((h[part] // np.uint64(buckets)).astype("<u4") if kind == FRESH else h[part]).tobytes(), key[part].tobytes()]
                 rows.append((int(b[part[0]]), kind, *anchor, doc[part].astype("<i8").tobytes(), text[part].astype("<i8").tobytes(), _planes(start[part]), _planes(end[part] - start[part])))
 
         if settle:
@@ -195,7 +202,8 @@ def _sender(buckets: int, settle: bool):
             doc, text, start, end, h, key = (x[~late] for x in (doc, text, start, end, h, key))
         first = np.append(True, h[1:] != h[:-1])
         again = np.append(~first[1:], False) | ~first
-        send(FRESH, (h[first] % np.uint64(buckets)).astype(np.int64), *(x[first] for x in (h, key, doc, text, start, end)))
+        marked = end + np.where(again, ALSO, 0)
+        send(FRESH, (h[first] % np.uint64(buckets)).astype(np.int64), *(x[first] for x in (h, key, doc, text, start, marked)))
         send(KNOWN, doc[again] % buckets, *(x[again] for x in (h, key, doc, text, start, end)))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -216,7 +224,7 @@ def _sender(buckets: int, settle: bool):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _receiver(buckets: int):
     """Of one partition's packed rows the settled stretches (h is null), and the anchors whose hash came twice or more."""
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -225,21 +233,24 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(doc), pa.array(text), pa.array(start), pa.array(start + size), *(none if x is None else pa.array(x.view(np.int64)) for x in (h, key))]
         yield from slices(iter([pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], _NAMES)]), 100_000)
 
-    held = []
-    for batch in batches:
-        for _, kind, h, key, doc, text, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = [np.frombuffer(doc, "<i8"), np.frombuffer(text, "<i8"), _from_planes(start), _from_planes(size)]
-            own += [np.frombuffer(h, np.uint64), np.frombuffer(key, np.uint64)] if kind else []
-            if kind == FRESH:
-                held.append(own)
-            else:
-                yield from out(*own)
-    if held:
-        doc, text, start, size, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        own = order[np.append(False, same) | np.append(same, False)]
-        yield from out(*(x[own] for x in (doc, text, start, size, h, key)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for bucket, kind, h, key, doc, text, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [np.frombuffer(doc, "<i8"), np.frombuffer(text, "<i8"), _from_planes(start), _from_planes(size)]
+                if kind == FRESH:
+                    held.append([*own, np.frombuffer(h, "<u4").astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), np.frombuffer(key, np.uint64)])
+                else:
+                    yield from out(*own, *((np.frombuffer(h, np.uint64), np.frombuffer(key, np.uint64)) if kind else ()))
+        if held:
+            doc, text, start, size, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            own = order[np.append(False, same) | np.append(same, False)]
+            own = own[size[own] < ALSO]
+            yield from out(*(x[own] for x in (doc, text, start, size, h, key)))
+
+    return run
 
 
 def members(docs: DataFrame, settle: bool) -> DataFrame:
@@ -250,7 +261,7 @@ def members(docs: DataFrame, settle: bool) -> DataFrame:
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = "bucket int, kind byte, h binary, key binary, doc binary, text_key binary, start binary, size binary"
     sent = docs.select("doc", "text", "text_key").mapInArrow(_sender(buckets, settle), packed)
-    return sent.repartition("bucket").mapInArrow(_repeated, MEMBERS)
+    return sent.repartition("bucket").mapInArrow(_receiver(buckets), MEMBERS)
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,19 +425,20 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc."""
-    places = stored(members(docs, settle=True), "repeats-places")
-    classed = places.where("h is not null").withColumn("lo", F.min("doc").over(Window.partitionBy("h", "key")))
-    classed = stored(classed, "repeats-classes")
-    firsts = classed.where("doc = lo").drop("lo")
+    places = members(docs, settle=True).withColumn("key", F.coalesce("key", F.xxhash64("doc", "text_key")))
+    open_ = F.expr("h is not null and doc = min(doc) over (partition by h, key)")
+    classed = places.withColumn("first", open_).withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("h", "key")})
+    classed = released(stored(classed, "repeats-classes"))
+    firsts = classed.where("first").drop("first")
     sizes = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("hi")).where("a < hi").drop("a")
-    near = stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near")
+    near = released(stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near"))
     few = near.where(F.col("n") <= most).select("h", "near", "doc", "text_key", "start").repartition("h").sortWithinPartitions("h")
     runs = few.mapInArrow(_grouped, "doc long, text_key long, start int, end int")
     many = near.where(F.col("n") > most)
     strings = many.select("doc", "text_key", "start", F.posexplode(F.expr(f"transform(sequence(1, length(near) - {MIN_LEN - 1}), i -> substring(near, i, {MIN_LEN}))")).alias("at", "s"))
     least = strings.groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("s", "least")
     split = strings.join(least, "s").where("least < doc").selectExpr("doc", "text_key", "start + at as start", f"start + at + {MIN_LEN} as end")
-    whole = places.where("h is null").unionByName(classed.where("doc > lo"), allowMissingColumns=True).select("doc", "text_key", "start", "end")
+    whole = classed.where("not first").select("doc", "text_key", "start", "end")
     return whole.unionByName(runs).unionByName(split)
 
 
@@ -480,6 +492,6 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_key", F.xxhash64("text"))
     spans = removable(own.select("doc", "text", "text_key"), most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = stored(spans, "repeats-spans")
+    spans = released(stored(spans, "repeats-spans"))
     marked = own.join(spans.hint("merge"), ["doc", "text_key"], "left")
     return marked.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
