@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.llm.shared import components, released, slices, stored
+from soundfield.llm.shared import components, slices, stored
 
 LONG, LEAST, SHINGLE, SHINGLED, SIMILAR = 24, 8, 5, 8, 0.8
 BANDS, ROWS = 5, 2
@@ -212,18 +212,18 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     units = stored(own.mapInArrow(run, "doc_id long, paragraph int, start int, end int, u long, bands array<int>, n int, prefix array<long>, bits long"), "paragraphs-units")
     place = F.struct("doc_id", "paragraph", "start", "end")
     distinct = units.groupBy("u").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), *[F.max(c).alias(c) for c in ("bands", "n", "prefix", "bits")])
-    distinct = released(stored(distinct, "paragraphs-distinct"))
+    distinct = stored(distinct, "paragraphs-distinct", tidy=True)
     keys = distinct.select("u", F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("band", "key")
     met = keys.withColumn("hub", F.min("u").over(bucket)).where("u <> hub").select("u", "hub").distinct()
-    met = released(stored(met, "paragraphs-met"))
+    met = stored(met, "paragraphs-met", tidy=True)
     posts = distinct.select("u", "n", F.posexplode("prefix").alias("at", "gram"))
     busy = posts.groupBy("gram").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("gram")
-    posts = released(stored(posts.join(busy, "gram"), "paragraphs-posts"))
+    posts = stored(posts.join(busy, "gram"), "paragraphs-posts", tidy=True)
     wanted = met.select("u").unionByName(met.select(F.col("hub").alias("u"))).unionByName(posts.select("u")).distinct()
     wanted = wanted.join(distinct.select("u", "first", "bits"), "u").select("u", "first.*", "bits")
     texts = wanted.join(own, "doc_id").select("u", "bits", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
-    texts = released(stored(texts.groupBy("u", "bits").agg(F.min("words").alias("words")), "paragraphs-texts"))
+    texts = stored(texts.groupBy("u", "bits").agg(F.min("words").alias("words")), "paragraphs-texts", tidy=True)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = pairs.distinct().join(texts.select(F.col("u").alias("a"), F.col("words").alias("a_text")), "a")

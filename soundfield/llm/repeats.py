@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.llm.shared import released, slices, stored
+from soundfield.llm.shared import slices, stored
 
 MIN_LEN, K, MOST = 50, 16, 4096
 REACH = MIN_LEN - K  # bytes on either side of an anchor
-SPAN, FLUSH, LAST = 1 << 20, 1 << 20, 2**63 - 1
+SPAN, FLUSH, LAST = 1 << 20, 1 << 19, 2**63 - 1
 
 BYTE_CODES = np.random.default_rng(14).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -428,10 +428,10 @@ def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
     places = members(docs, settle=True).withColumn("key", F.coalesce("key", F.xxhash64("doc", "text_key")))
     open_ = F.expr("h is not null and doc = min(doc) over (partition by h, key)")
     classed = places.withColumn("first", open_).withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("h", "key")})
-    classed = released(stored(classed, "repeats-classes"))
+    classed = stored(classed, "repeats-classes", tidy=True)
     firsts = classed.where("first").drop("first")
     sizes = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("hi")).where("a < hi").drop("a")
-    near = released(stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near"))
+    near = stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near", tidy=True)
     few = near.where(F.col("n") <= most).select("h", "near", "doc", "text_key", "start").repartition("h").sortWithinPartitions("h")
     runs = few.mapInArrow(_grouped, "doc long, text_key long, start int, end int")
     many = near.where(F.col("n") > most)
@@ -492,6 +492,6 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_key", F.xxhash64("text"))
     spans = removable(own.select("doc", "text", "text_key"), most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = released(stored(spans, "repeats-spans"))
+    spans = stored(spans, "repeats-spans", tidy=True)
     marked = own.join(spans.hint("merge"), ["doc", "text_key"], "left")
     return marked.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -29,17 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._soundfield_folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` into the shared folder and go on from the files: lineage ends here and no executor's loss undoes it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write `df` into the shared folder and go on from the files: lineage ends here and no executor's loss undoes it.
 
-
-def released(df: DataFrame) -> DataFrame:
-    """`df`, after a collection on the driver: Spark deletes the files of shuffles that nothing refers to any more."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+    With `tidy` Spark removes the shuffle files of the write as soon as it has ended; whoever still needs them makes them anew.
+    """
+    spark, path, setting = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true" if tidy else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
