@@ -8,7 +8,10 @@ going quadratic:
 * sums over a disc take whole cells that lie inside the disc from cell totals,
   and look at single positions only along the rim;
 * nearest searches walk down a pyramid of cells and drop every cell that
-  cannot hold one of the k nearest.
+  cannot hold one of the k nearest;
+* tables that grow with the input are merge-joined: Spark guesses the size of
+  rows spread over cells from the file they come from, and would send a table
+  of a gigabyte to the driver and every task.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from soundfield.session import cut_lineage
 DENSE_NEIGHBOURHOOD = 4096
 # a pyramid leaf should hold about this many targets at most
 LEAF_TARGETS = 32
+# levels of the pyramid, and after how many of them the pairs are stored, so that plans stay short
+LEVELS = 15
+STORE_EVERY = 4
 MAX_DEPTH = 9
 
 
@@ -119,7 +125,7 @@ def disc_sums(
 
     if depths in ([], [0]):
         return _plain_disc(where, spots, radius, names, match, strict)
-    tagged = cut_lineage(where.join(load.select(*key, "__depth"), key))
+    tagged = cut_lineage(where.join(load.select(*key, "__depth").hint("merge"), key))
     parts = []
     for depth in sorted(depths):
         subset = tagged.where(F.col("__depth") == depth).drop("__depth")
@@ -142,7 +148,7 @@ def _plain_disc(where, spots, radius, names, match, strict) -> DataFrame:
         *match, F.explode(around(F.col("cx"), F.col("cy"))).alias("c"),
         F.col("x").alias("__px"), F.col("y").alias("__py"), *names,
     ).select(*match, "c.cx", "c.cy", "__px", "__py", *names)
-    near = where.join(dilated, [*match, "cx", "cy"])
+    near = where.join(dilated.hint("merge"), [*match, "cx", "cy"])
     near = near.where(_within(distance(F.col("x"), F.col("y"), F.col("__px"), F.col("__py")), radius, strict))
     return near.groupBy(*match, "x", "y").agg(*[F.sum(n).alias(n) for n in names])
 
@@ -172,11 +178,11 @@ def _refined_disc(where, spots, radius, names, match, strict, depth) -> DataFram
         pairs = cells.withColumn("px", F.pmod("ax", F.lit(2))).withColumn("py", F.pmod("ay", F.lit(2))).join(
             F.broadcast(stencil), ["px", "py"]
         ).select(*match, "ax", "ay", (F.col("ax") + F.col("dx")).alias("bx"), (F.col("ay") + F.col("dy")).alias("by"))
-        inner = pairs.join(level_totals, [*match, "bx", "by"]).groupBy(*match, "ax", "ay").agg(
+        inner = pairs.join(level_totals.hint("merge"), [*match, "bx", "by"]).groupBy(*match, "ax", "ay").agg(
             *[F.sum(n).alias(n) for n in names]
         )
         reached = where.withColumn("ax", F.shiftright("fx", shrink)).withColumn("ay", F.shiftright("fy", shrink)).join(
-            inner, [*match, "ax", "ay"]
+            inner.hint("merge"), [*match, "ax", "ay"]
         )
         gathered.append(reached.select(*match, "x", "y", *names))
 
@@ -189,8 +195,8 @@ def _refined_disc(where, spots, radius, names, match, strict, depth) -> DataFram
     ).select(
         *match, "fx", "fy", (F.col("fx") + F.col("dx")).alias("gx"), (F.col("fy") + F.col("dy")).alias("gy")
     )
-    pairs = pairs.join(totals.select(*match, "gx", "gy"), [*match, "gx", "gy"], "left_semi")
-    edge = where.join(pairs, [*match, "fx", "fy"]).join(spots, [*match, "gx", "gy"])
+    pairs = pairs.join(totals.select(*match, "gx", "gy").hint("merge"), [*match, "gx", "gy"], "left_semi")
+    edge = where.join(pairs.hint("merge"), [*match, "fx", "fy"]).join(spots.hint("merge"), [*match, "gx", "gy"])
     edge = edge.where(_within(distance(F.col("x"), F.col("y"), F.col("__px"), F.col("__py")), radius, strict))
     gathered.append(edge.groupBy(*match, "x", "y").agg(*[F.sum(n).alias(n) for n in names]))
 
@@ -217,7 +223,7 @@ def positions_near(
         F.explode(around(cell(F.col("x"), radius), cell(F.col("y"), radius))).alias("c"),
     ).select("*", F.col("c.cx").alias("__cx"), F.col("c.cy").alias("__cy")).drop("c")
     d = distance(F.col("x"), F.col("y"), F.col("x_r"), F.col("y_r"))
-    joined = a.join(b, [*match, "__cx", "__cy"]).withColumn("d", d)
+    joined = a.join(b.hint("merge"), [*match, "__cx", "__cy"]).withColumn("d", d)
     return joined.where(_within(F.col("d"), radius, strict)).drop("__cx", "__cy")
 
 
@@ -254,9 +260,9 @@ def cells_reached(x1: Column, y1: Column, x2: Column, y2: Column, radius: float)
 
 
 def _pyramid_sizes(targets: DataFrame, queries: DataFrame, leaf_targets: int) -> list[float]:
-    """Cell sizes from one that spans everything down to sparse leaves, each 1/4 of the last.
+    """Cell sizes from one that spans everything down to sparse leaves, each half of the last.
 
-    Reads one row of bounds and at most eight rows of occupancies.
+    Reads one row of bounds and at most LEVELS rows of occupancies.
     """
     extent = targets.select("x", "y").unionByName(queries.select("x", "y"))
     box = extent.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -264,15 +270,15 @@ def _pyramid_sizes(targets: DataFrame, queries: DataFrame, leaf_targets: int) ->
         return [1.0]
     span = max(box[1] - box[0], box[3] - box[2], 1.0)
     root = 2.0 ** math.ceil(math.log2(span))
-    sizes = [root / 4 ** k for k in range(8)]
+    sizes = [root / 2 ** k for k in range(LEVELS)]
     finest = sizes[-1]
     fine = targets.groupBy(cell(F.col("x"), finest).alias("ix"), cell(F.col("y"), finest).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
     stacked = fine.select(
-        F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "ix", "iy", "n"
-    ).selectExpr("k", "shiftright(ix, cast(2 * (7 - k) as int)) as ix", "shiftright(iy, cast(2 * (7 - k) as int)) as iy", "n")
+        F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("k"), "ix", "iy", "n"
+    ).selectExpr("k", f"shiftright(ix, {LEVELS - 1} - k) as ix", f"shiftright(iy, {LEVELS - 1} - k) as iy", "n")
     fullest = stacked.groupBy("k", "ix", "iy").agg(F.sum("n").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
     crowd = {r["k"]: r["n"] for r in fullest.collect()}
-    for k in range(8):
+    for k in range(LEVELS):
         if crowd.get(k, 0) <= leaf_targets:
             return sizes[: k + 1]
     return sizes
@@ -294,13 +300,18 @@ def _descend(
     `held`: keys, bx, by, n [, by_fold map] of the leaves with targets.
     With `fold`, targets of the query's own fold do not count.  With `buffer`,
     only targets farther than the buffer count.
+
+    A level halves the cells of the last, so a pair has at most 16 children; those
+    beyond the distance that already sufficed for their parent go before the shuffle.
     """
     keys = list(keys)
     group = [*keys, "fold"] if fold else keys
     deepest = len(sizes) - 1
+    # read at every level
+    asked, held = cut_lineage(asked), cut_lineage(held)
     pairs = None
     for level, size in enumerate(sizes):
-        shrink = 2 * (deepest - level)
+        shrink = deepest - level
         a = asked.select(
             *group, F.shiftright("ax", shrink).alias("ax"), F.shiftright("ay", shrink).alias("ay")
         ).distinct()
@@ -315,14 +326,14 @@ def _descend(
             b = b.groupBy(*keys, "bx", "by").agg(F.sum("n").alias("n"))
         if pairs is None:
             near = a.withColumn("c", F.explode(around(F.col("ax"), F.col("ay")))).select(
-                *group, "ax", "ay", F.col("c.cx").alias("bx"), F.col("c.cy").alias("by")
+                *group, "ax", "ay", F.col("c.cx").alias("bx"), F.col("c.cy").alias("by"), F.lit(None).cast("double").alias("__limit")
             )
-            pairs = near.join(b, [*keys, "bx", "by"])
+            pairs = near.join(b.hint("merge"), [*keys, "bx", "by"])
         else:
-            children = a.withColumn("ux", F.shiftright("ax", 2)).withColumn("uy", F.shiftright("ay", 2))
-            up = pairs.select(*group, F.col("ax").alias("ux"), F.col("ay").alias("uy"), F.col("bx").alias("vx"), F.col("by").alias("vy"))
-            b = b.withColumn("vx", F.shiftright("bx", 2)).withColumn("vy", F.shiftright("by", 2))
-            pairs = up.join(children, [*group, "ux", "uy"]).join(b, [*keys, "vx", "vy"]).drop("ux", "uy", "vx", "vy")
+            children = a.withColumn("ux", F.shiftright("ax", 1)).withColumn("uy", F.shiftright("ay", 1))
+            up = pairs.select(*group, F.col("ax").alias("ux"), F.col("ay").alias("uy"), F.col("bx").alias("vx"), F.col("by").alias("vy"), "__limit")
+            b = b.withColumn("vx", F.shiftright("bx", 1)).withColumn("vy", F.shiftright("by", 1))
+            pairs = up.join(children.hint("merge"), [*group, "ux", "uy"]).join(b.hint("merge"), [*keys, "vx", "vy"]).drop("ux", "uy", "vx", "vy")
         eligible = F.col("n")
         if fold:
             eligible = eligible - F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.lit(0))
@@ -330,20 +341,21 @@ def _descend(
         zero = F.lit(0).cast("bigint")
         near_d = F.hypot(F.greatest(gap_x - 1, zero), F.greatest(gap_y - 1, zero)) * size
         far_d = F.hypot(gap_x + 1, gap_y + 1) * size
-        pairs = pairs.withColumn("n", eligible).where("n > 0").withColumn("__near", near_d).withColumn("__far", far_d)
+        within = F.col("__limit").isNull() | (F.col("__near") <= F.col("__limit") * (1 + 1e-9) + 1e-6)
+        pairs = pairs.withColumn("n", eligible).where("n > 0").withColumn("__near", near_d).withColumn("__far", far_d).where(within)
         sure = F.col("n")
         if buffer is not None:
             pairs = pairs.where(F.col("__far") > buffer)
             sure = F.when(F.col("__near") > buffer, F.col("n")).otherwise(0)
+        pairs = pairs.select(*group, "ax", "ay", "bx", "by", "__near", "__far", sure.alias("__sure"))
         window = Window.partitionBy(*group, "ax", "ay")
-        pairs = pairs.withColumn("__sure", F.sum(sure).over(window.orderBy("__far")))
+        if k > 1:
+            pairs = pairs.withColumn("__sure", F.sum("__sure").over(window.orderBy("__far")))
         limit = F.min(F.when(F.col("__sure") >= k, F.col("__far"))).over(window)
-        pairs = (
-            pairs.withColumn("__limit", limit)
-            .where(F.col("__limit").isNull() | (F.col("__near") <= F.col("__limit") * (1 + 1e-9) + 1e-6))
-            .select(*group, "ax", "ay", "bx", "by")
-        )
-    return pairs
+        pairs = pairs.withColumn("__limit", limit).where(within).select(*group, "ax", "ay", "bx", "by", "__limit")
+        if level % STORE_EVERY == STORE_EVERY - 1 or level == deepest:
+            pairs = cut_lineage(pairs)
+    return pairs.drop("__limit")
 
 
 def nearest_points(
@@ -387,7 +399,7 @@ def nearest_points(
         "bx", "by", F.col("x").alias("__px"), F.col("y").alias("__py"), *carried,
         *([F.col("fold").alias("__pf")] if by_fold else []),
     )
-    found = q.join(pairs, [*group, "ax", "ay"]).join(targets, ["bx", "by"])
+    found = q.join(pairs.hint("merge"), [*group, "ax", "ay"]).join(targets.hint("merge"), ["bx", "by"])
     if by_fold:
         found = found.where(F.col("__pf") != F.col("fold"))
     found = found.withColumn("d", distance(F.col("x"), F.col("y"), F.col("__px"), F.col("__py")))
@@ -425,6 +437,7 @@ def nearest_segments(
     asked = q.select("ax", "ay").distinct().withColumn("kind", F.explode(F.array(*[F.lit(v) for v in kinds])))
     held = pieces.groupBy("kind", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
     pairs = _descend(asked, held, sizes, 1, keys=["kind"], fold=False, buffer=None)
-    found = q.join(pairs, ["ax", "ay"]).join(pieces, ["kind", "bx", "by"])
+    found = q.join(pairs.hint("merge"), ["ax", "ay"]).join(pieces.hint("merge"), ["kind", "bx", "by"])
     d = segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return found.groupBy("x", "y", "kind").agg(F.min(d).alias("d"))
+    # a small table that callers read many times
+    return cut_lineage(found.groupBy("x", "y", "kind").agg(F.min(d).alias("d")))

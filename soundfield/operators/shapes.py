@@ -213,4 +213,4 @@ def touching_length(queries: DataFrame, segments: DataFrame, radius: float) -> D
     ).select("x1", "y1", "x2", "y2", "length_m", "c.cx", "c.cy")
     spots = queries.select("x", "y").distinct().withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius))
     d = geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return spots.join(filed, ["cx", "cy"]).where(d <= radius).groupBy("x", "y").agg(F.sum("length_m").alias("length_m"))
+    return spots.join(filed.hint("merge"), ["cx", "cy"]).where(d <= radius).groupBy("x", "y").agg(F.sum("length_m").alias("length_m"))

@@ -154,3 +154,34 @@ def test_noise_ceiling(spark, n):
         if keep.any():
             assert got.loc[band, "pairs"] == keep.sum()
             assert got.loc[band, "mean_abs_diff"] == pytest.approx(diff[keep].mean())
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    """Spark takes rows spread over cells for as small as the file they came from; merge joins do not trust that."""
+    from soundfield.operators import lattice, polylines, shapes
+
+    plans, real = [], lattice.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(lattice, "cut_lineage", noted)
+    spots = spark.createDataFrame([(float(i * 7 % 90), float(i * 11 % 70), i) for i in range(60)], "x double, y double, seq long")
+    pieces = spark.createDataFrame([("major", float(i), 0.0, float(i + 9), 50.0) for i in range(40)], "kind string, x1 double, y1 double, x2 double, y2 double")
+    lines = pieces.selectExpr("array(named_struct('x', x1, 'y', y1), named_struct('x', x2, 'y', y2)) as line")
+    made = [
+        lattice.nearest_segments(spots, pieces, ["major", "minor"], leaf_targets=2), lattice.nearest_points(spots, spots, 3, leaf_targets=3),
+        lattice.disc_sums(spots, spots, 20.0, {"n": F.lit(1)}), lattice.positions_near(spots, spots, 20.0),
+        shapes.touching_length(spots, pieces, 20.0), polylines.touching_length(spots, lines, 20.0),
+    ]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_a_level_of_the_pyramid_halves_the_cells(spark):
+    from soundfield.operators import lattice
+
+    spots = spark.createDataFrame([(float(i), float(i * i % 97)) for i in range(200)], "x double, y double")
+    sizes = lattice._pyramid_sizes(spots, spots, 4)
+    assert len(sizes) > 3 and all(a == 2 * b for a, b in zip(sizes, sizes[1:]))
