@@ -162,44 +162,61 @@ LEVEL_CHUNK_DB = 1.0
 def noise_ceiling(df: DataFrame, bands: Sequence[float] = (20.0, 40.0, 60.0)) -> DataFrame:
     """Same-hour pairs nearer than each band: n, mean |difference|, sigma, best reachable R2.
 
-    Pairs of measurements are never listed.  Pairs of *positions* are; for each,
-    the sum of |a - b| over the two sorted level lists comes from running sums,
-    n_a + n_b rows instead of n_a * n_b.
+    Pairs of measurements are never listed.  Pairs of *positions* are; each takes the levels of its greater position to
+    its lesser one, where they are laid out with the levels there.  Running sums over that one order, for each band's
+    neighbours, give counts of pairs and sums of |a - b|, and are added up by band before anything is shuffled again.
     """
     from soundfield.operators.lattice import positions_near
 
     widest = max(bands)
     lists = df.groupBy("hour", "x", "y", F.col("noise_db").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    spots = lists.groupBy("hour", "x", "y").agg(F.sum("w").alias("n"))
+    spots = lists.select("hour", "x", "y").distinct()
     pairs = positions_near(spots, spots, widest, strict=True, match=["hour"])
     forward = (F.col("x") < F.col("x_r")) | ((F.col("x") == F.col("x_r")) & (F.col("y") < F.col("y_r")))
-    across = pairs.where(forward).select(
-        "hour", "x", "y", "x_r", "y_r", "d", (F.col("n") * F.col("n_r")).alias("pairs")
-    )
-    key = ["hour", "x", "y", "x_r", "y_r"]
-    a = across.select(*key).join(lists, ["hour", "x", "y"]).select(*key, F.lit(0).alias("side"), "v", "w")
+    # `far`: how many bands are too narrow for the pair; -1 for the position's own levels
+    far = sum((F.when(F.col("d") < float(v), 0).otherwise(1) for v in bands), F.lit(0)).cast("byte")
+    across = pairs.where(forward).select("hour", "x", "y", "x_r", "y_r", far.alias("far"))
     right = lists.select("hour", F.col("x").alias("x_r"), F.col("y").alias("y_r"), "v", "w")
-    b = across.select(*key).join(right, ["hour", "x_r", "y_r"]).select(*key, F.lit(1).alias("side"), "v", "w")
+    beside = across.join(right.hint("merge"), ["hour", "x_r", "y_r"]).select("hour", "x", "y", "far", "v", "w")
+    own = lists.where("hour is not null and x is not null and y is not null").select("hour", "x", "y", F.lit(-1).cast("byte").alias("far"), "v", "w")
     chunk = F.floor(F.col("v") / LEVEL_CHUNK_DB).cast("bigint")
+    key = ["hour", "x", "y"]
+    # shuffled once, and before the columns of the running sums are made
+    laid = own.unionByName(beside).withColumn("chunk", F.coalesce(chunk, F.lit(-(2 ** 62)))).repartition(*key, "chunk")
+    widths = sorted(float(v) for v in bands)
+
+    def reaches(i: int) -> Column:
+        return (F.col("far") >= 0) & (F.col("far") <= i)
+
+    masses = {"own": F.when(F.col("far") < 0, F.col("w")).otherwise(0.0)}
+    masses |= {f"b{i}": F.when(reaches(i), F.col("w")).otherwise(0.0) for i in range(len(widths))}
+    sums = {f"{p}_{n}": m * F.col("v") if p == "s" else m for n, m in masses.items() for p in "ws"}
+    before = Window.partitionBy(*key, "chunk").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = laid.groupBy(*key, "chunk").agg(*[F.sum(e).alias(n) for n, e in sums.items()]).select(
+        *key, "chunk", *[F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"o_{n}") for n in sums]
+    )
+    inside = laid.select("*", *[F.coalesce(F.sum(e).over(before), F.lit(0.0)).alias(f"i_{n}") for n, e in sums.items()])
+    merged = inside.join(offsets.hint("merge"), [*key, "chunk"])
+
+    def below(n: str) -> Column:
+        return F.col(f"i_{n}") + F.col(f"o_{n}")
 
-    def other(side: int) -> dict[str, Column]:
-        mine = F.when(F.col("side") == side, F.col("w")).otherwise(0.0)
-        return {f"w{side}": mine, f"s{side}": mine * F.col("v")}
+    def parts(i: int) -> Column:
+        w = F.when(F.col("far") < 0, below(f"w_b{i}")).when(reaches(i), below("w_own")).otherwise(0.0)
+        s = F.when(F.col("far") < 0, below(f"s_b{i}")).when(reaches(i), below("s_own")).otherwise(0.0)
+        return F.struct(F.lit(widths[i]).alias("band_m"), (F.col("w") * w).alias("pairs"), (F.col("w") * (F.col("v") * w - s)).alias("gap"))
 
-    merged = running_totals(a.unionByName(b), key, chunk, [F.col("v"), F.col("side")], {**other(0), **other(1)})
-    below_w = F.when(F.col("side") == 0, F.col("w1")).otherwise(F.col("w0"))
-    below_s = F.when(F.col("side") == 0, F.col("s1")).otherwise(F.col("s0"))
-    # equal levels of the two sides differ by nothing, whichever comes first
-    gap = merged.groupBy(*key).agg(F.sum(F.col("w") * (F.col("v") * below_w - below_s)).alias("gap"))
-    between = across.join(gap, key).select("d", "pairs", "gap")
+    between = merged.select(F.explode(F.array(*[parts(i) for i in range(len(widths))])).alias("p")).select("p.*")
     here = running_totals(
         lists, ["hour", "x", "y"], chunk, [F.col("v")], {"w0": F.col("w"), "s0": F.col("w") * F.col("v")}
     ).groupBy("hour", "x", "y").agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("v") * F.col("w0") - F.col("s0"))).alias("gap")
-    ).where("n > 1").select(F.lit(0.0).alias("d"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), "gap")
-    per_band = between.unionByName(here).withColumn(
-        "band_m", F.explode(F.array(*[F.lit(float(v)) for v in bands]))
-    ).where(F.col("d") < F.col("band_m")).groupBy("band_m").agg(F.sum("pairs").cast("bigint").alias("pairs"), F.sum("gap").alias("gap"))
+    ).where("n > 1").select((F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), "gap")
+    here = here.withColumn("band_m", F.explode(F.array(*[F.lit(v) for v in widths]))).where("band_m > 0")
+    per_band = between.unionByName(here.select("band_m", "pairs", "gap")).groupBy("band_m").agg(
+        F.sum("pairs").cast("bigint").alias("pairs"), F.sum("gap").alias("gap")
+    ).where("pairs > 0")
     variance = df.agg(F.var_samp("noise_db").alias("var"))
     sigma = F.col("mean_abs_diff") * (math.sqrt(math.pi) / 2)
     return (

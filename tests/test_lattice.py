@@ -185,3 +185,18 @@ def test_a_level_of_the_pyramid_halves_the_cells(spark):
     spots = spark.createDataFrame([(float(i), float(i * i % 97)) for i in range(200)], "x double, y double")
     sizes = lattice._pyramid_sizes(spots, spots, 4)
     assert len(sizes) > 3 and all(a == 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_noise_ceiling_lays_levels_out_once(spark):
+    """Levels of neighbours go one way, in one shuffle that both the running sums and the chunk totals read."""
+    from soundfield.operators.evaluation import noise_ceiling
+
+    rng = np.random.default_rng(3)
+    rows = [(int(h), float(x), float(y), float(v)) for h, x, y, v in zip(rng.integers(0, 2, 90), rng.integers(0, 60, 90), rng.integers(0, 60, 90), rng.integers(0, 9, 90) * 0.7)]
+    got = noise_ceiling(spark.createDataFrame(rows, "hour int, x double, y double, noise_db double"))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in text and not any("x_r#" in line and "Window [" in line for line in text.splitlines())
+    want = {b: [abs(p[3] - q[3]) for i, p in enumerate(rows) for q in rows[:i] if p[0] == q[0] and np.hypot(p[1] - q[1], p[2] - q[2]) < b] for b in (20.0, 40.0, 60.0)}
+    found = {r.band_m: (r.pairs, r.mean_abs_diff) for r in got.collect()}
+    assert {b: n for b, (n, _) in found.items()} == {b: len(d) for b, d in want.items()}
+    assert all(abs(m - np.mean(want[b])) < 1e-9 for b, (_, m) in found.items())
