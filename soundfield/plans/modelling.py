@@ -96,12 +96,14 @@ _LINE_FIT = """select r.obs_id, slope * lx + icpt as dist_road from {t} r join (
 
 @query("block_fold_line", oracle(_LINE_FIT.format(t="roaded", f="fold"), "dist_road", **_FOLDS, **_SEG, roaded=_ROADED.format(t="folded")))
 def block_fold_line(t: Tables):
-    return baselines.fold_distance_line(_with_roads(t, _folded(t))).select("obs_id", "dist_road")
+    rows = cut_lineage(_with_roads(t, _folded(t)).select("obs_id", "fold", "noise_db", "dist_road_m"))
+    return baselines.fold_distance_line(rows).select("obs_id", "dist_road")
 
 
 @query("site_out_line", oracle(_LINE_FIT.format(t="roaded", f="site"), "dist_road", **_SEG, roaded=_ROADED.format(t="meas")))
 def site_out_line(t: Tables):
-    return baselines.fold_distance_line(_with_roads(t, t.meas), "site").select("obs_id", "dist_road")
+    rows = cut_lineage(_with_roads(t, t.meas).select("obs_id", "site", "noise_db", "dist_road_m"))
+    return baselines.fold_distance_line(rows, "site").select("obs_id", "dist_road")
 
 
 @query("buffered_line", oracle(
@@ -111,7 +113,8 @@ def site_out_line(t: Tables):
          (select a.obs_id, count(*) as n, sum(b.lx) as sx, sum(b.noise_db) as sy, sum(b.lx * b.lx) as sxx, sum(b.lx * b.noise_db) as sxy from roaded a join roaded b on """ + _DIST + """ <= 300 group by 1) i where i.obs_id = r.obs_id)""",
     "dist_road", **_SEG, roaded=_ROADED.format(t="meas")))
 def buffered_line(t: Tables):
-    return baselines.buffered_distance_line(_with_roads(t, t.meas)).select("obs_id", "dist_road")
+    rows = cut_lineage(_with_roads(t, t.meas).select("obs_id", "x", "y", "noise_db", "dist_road_m"))
+    return baselines.buffered_distance_line(rows).select("obs_id", "dist_road")
 
 
 @query("log_line_in_sample", oracle(
@@ -257,7 +260,7 @@ def group_split(t: Tables):
 @query("kernel_fit")
 def kernel_fit(t: Tables):
     """Coefficients of the kernel on all rows and for each left-out site."""
-    rows = _with_roads(t, t.meas)
+    rows = cut_lineage(_with_roads(t, t.meas).select("site", "noise_db", "dist_highway_m", "dist_residential_m"))
     fits = {"all": kernel.fit_kernels(rows)[None], **kernel.fit_kernels(rows, "site", SITES)}
     return t.spark.createDataFrame(
         [(str(k), v.a_hw, v.a_res, v.b, v.cost, v.iterations) for k, v in fits.items()],
