@@ -25,6 +25,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from soundfield.llm.shared import stored
+
 SIZE, MOST_WINDOWS = 13, 50_000
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,7 +66,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, most_wind
     rarest = ranked.groupBy("item", "window").agg(F.count("*").alias("met"), F.min(F.struct("n", "place", "term")).alias("r"))
     # a window with a word that no document has cannot occur
     rare = rarest.where("met = size(window)").groupBy("window", "r").agg(F.collect_set("item").alias("window_items"))
-    rare = rare.select("window", "window_items", F.col("r.place").alias("place"), F.col("r.term").alias("term"))
+    # stored, so that the corpus is counted once and not again for every reader
+    rare = stored(rare.select("window", "window_items", F.col("r.place").alias("place"), F.col("r.term").alias("term")), "decontam-rare")
 
     around = lambda i: F.struct(
         F.element_at("w", i).alias("term"), i.alias("at"), F.least(i - 1, F.lit(size - 1)).alias("left"),
@@ -74,11 +77,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, most_wind
     if small and not anchors:
         spots = keyed.select("row_key", F.lit(None).cast("string").alias("term"), F.lit(0).alias("at"), F.lit(0).alias("left"), "w").withColumnRenamed("w", "near").limit(0)
     else:
-        places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(anchors)) if small else F.sequence(F.lit(1), F.size("w"))
-        spots = keyed.where("size(w) > 0").select("row_key", F.explode(F.transform(places, around)).alias("s")).select("row_key", "s.*")
+        numbered = F.transform("w", lambda x, i: F.when(x.isin(anchors), i + 1)) if small else F.transform("w", lambda x, i: i + 1)
+        spots = keyed.select("row_key", F.explode(F.transform(F.array_compact(numbered), around)).alias("s")).select("row_key", "s.*")
     met = spots.join(send(rare), "term")
     met = met.where("left >= place and size(near) >= left - place + size(window) and slice(near, left - place + 1, size(window)) = window")
-    hits = met.select("row_key", (F.col("at") - F.col("place")).alias("start"), F.size("window").alias("n"), "window_items")
+    hits = stored(met.select("row_key", (F.col("at") - F.col("place")).alias("start"), F.size("window").alias("n"), "window_items"), "decontam-hits")
     # repeated rows share their key; a document has at most as many starts as words
     per_row = hits.select("row_key", "start", "n").distinct().groupBy("row_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.expr("start + n - 1")))))).cast("long").alias("n_hit"))
     of_items = hits.select("row_key", F.explode("window_items").alias("item")).distinct().groupBy("row_key").agg(F.array_sort(F.collect_list("item")).alias("items"))

@@ -53,3 +53,12 @@ def test_query_equals_oracle(spark, small):
     name = "op7_decontamination"
     ok, message = compare(spark, oracle_connection(small), name, QUERIES[name], ORACLES[name], small)
     assert ok, message
+
+
+def test_the_result_splits_the_documents_once_more(spark):
+    """Frequencies and places of rare words are kept, so that neither side of the result counts them anew."""
+    d = spark.createDataFrame([(i, f"a b{i} c") for i in range(20)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b3"), (2, "c")], "item_id long, text string")
+    out = decontam.contamination(d, b)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.doc_id, r.n_hit) for r in out.collect()) == [(i, 3 if i == 3 else 1) for i in range(20)]
