@@ -10,8 +10,8 @@ another text has paragraphs of its own.  Paragraphs of fewer than LEAST words ar
    settles large classes in comparisons that grow with a bucket's size, not its square.
 4. What that leaves is found without loss: two paragraphs of SIMILAR or more share one of their first n - ceil(SIMILAR * n) + 1
    shingles in any common order.  The order puts shingles last that are frequent in a sample, so that paragraphs meet at rare ones;
-   which they are changes the work, never the result.  Pairs that meet there, whose classes differ so far and whose lengths
-   and places leave room for enough common shingles, are compared.  Of each shingle's members those of its most frequent
+   which they are changes the work, never the result.  Paragraphs meet by shingle and by both lengths, and only where their
+   lengths and places leave room for enough common shingles from there on; pairs whose classes differ so far are compared.  Of each shingle's members those of its most frequent
    class are not listed against each other.  A 64-bit map of each paragraph's shingles keeps pairs out that differ in too
    many: a bit that only one of two maps has stands for a shingle that only one has, so no similar pair is lost.
 5. Components of the verified links, with equal paragraphs, are classes.  The first occurrence, by doc_id and place, stays.
@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundfield.llm.shared import components, slices, stored
 
 LONG, LEAST, SHINGLE, SHINGLED, SIMILAR = 24, 8, 5, 8, 0.8
-BANDS, ROWS = 5, 2
+BANDS, ROWS, STEP = 5, 2, 1.05
 SAMPLE, FREQUENT = 20_000, 1 << 16  # documents counted for frequent shingles, and shingles held
 SENTENCE_END = re.compile(r"[.!?…]\s+")
 LINE = re.compile(r"[^\n]+")
@@ -201,6 +201,19 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def partners(n: str, at: str, similar: float, own: str, other: str) -> list[Column]:
+    """Classes of the length of a paragraph with `n` shingles, and, a row each, of the lengths that one similar to it can have if
+    their first common shingle has `at` others before it: n - at shingles hold all common ones, at least s / (1 + s) of both lengths.
+
+    A class spans 5 %, so there are at most eleven rows however long the paragraph is.
+    """
+    size = lambda c: F.floor(F.log(c) / F.log(F.lit(STEP))).cast("int")
+    n, at = F.col(n), F.col(at)
+    least = F.ceil(similar * n - 1e-6)
+    most = F.least(F.floor(n / similar + 1e-6), F.floor((n - at) * (1 + similar) / similar - n + 1e-6))
+    return [size(n).alias(own), F.explode(F.sequence(size(least), size(F.greatest(least, most)))).alias(other)]
+
+
 def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, paragraph, start, end, class_doc_id, class_paragraph, removed): every paragraph whose class spans two documents.
 
@@ -236,12 +249,14 @@ def duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = stored(mapped.withColumn("root", F.coalesce("root", "u")), "paragraphs-members")
     main = members.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     main = main.where("roots > 1").select("gram", "main")
-    x = members.join(main, "gram").where("root <> main").select("gram", "main", *[F.col(c).alias(f"x_{c}") for c in ("u", "n", "at", "root", "bits")])
-    y = members.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("u", "n", "at", "root", "bits")])
-    room = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1
+    x = members.join(main, "gram").where("root <> main")
+    x = x.select("gram", "main", *partners("n", "at", similar, "x_size", "y_size"), *[F.col(c).alias(f"x_{c}") for c in ("u", "n", "at", "root", "bits")])
+    y = members.join(main.select("gram"), "gram")
+    y = y.select("gram", *partners("n", "at", similar, "y_size", "x_size"), *[F.col(c).alias(f"y_{c}") for c in ("u", "n", "at", "root", "bits")])
     differing, total = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))), F.col("x_n") + F.col("y_n")
-    pairs = x.join(y, "gram").where("x_root <> y_root and (x_u < y_u or y_root = main)")
-    pairs = pairs.where(room * (1 + similar) + 1e-6 >= similar * total).where(differing * (1 + similar) <= (1 - similar) * total + 1e-6)
+    pairs = x.join(y, ["gram", "x_size", "y_size"]).where("x_root <> y_root and (x_u < y_u or y_root = main)")
+    behind = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    pairs = pairs.where(behind * (1 + similar) + 1e-6 >= similar * total).where(differing * (1 + similar) <= (1 - similar) * total + 1e-6)
     second = verified(pairs.select(F.greatest("x_u", "y_u").alias("a"), F.least("x_u", "y_u").alias("b")), "paragraphs-second")
     near = second.where(F.col("similarity") >= similar).select("a", "b")
     for side in ("a", "b"):  # the classes that these pairs join
