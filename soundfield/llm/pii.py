@@ -6,15 +6,15 @@
    other are told apart; and addresses written with @, (at), [dot] and the like.
 3. Boosted trees judge each candidate by its format (digits, groups, separators, check digit, neighbours) and its context
    (words such as "call" or "card", digits and hexadecimal letters around it).
-4. For each kind a calibrated threshold decides: the least probability, on documents kept out of the fit, above which the
+4. For each kind a calibrated threshold decides: the least probability, on contexts kept out of the fit, above which the
    share of true ones is at least PRECISION.  A kind without such a threshold adds nothing.
 
 Nobody labels personal data here, so training labels are made: base spans of the corpus are true; variants of them in the
 same context (no plus sign, other separators, "(at)" for @) are true; broken ones (a wrong check digit, groups cut short or
 repeated, numbers out of range) are false, as are the corpus's own candidates that no base span covers, with less weight.
 Base spans are also set next to another number: the span is true there, and windows over the border are false.
-Training takes at most MAX_ROWS base spans and MAX_ROWS other candidates of each kind, in the order of a hash, and weighs them by
-the number of all such ones in the corpus, each kind for itself; so no kind is crowded out by another.
+Training and thresholds take every base span and every other candidate of the corpus: Spark counts equal rows of bins and sums
+gradients for each level of a tree.  All kinds weigh the same; so no kind is crowded out by another.
 
 All patterns take time in proportion to the text, whatever it holds.  Offsets count code points, ends are exclusive.
 """
@@ -36,7 +36,7 @@ from soundfield.llm import boosting
 from soundfield.llm.shared import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ROWS, PRECISION, AROUND = 1000, 0.98, 40
+PRECISION, AROUND, STEPS, NEIGHBOURS = 0.98, 40, 1000, 1000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -247,58 +247,72 @@ def beside(kind: str, left: str, body: str, right: str, other: str) -> list[tupl
     return [(a[-AROUND:], b, c[:AROUND], label) for a, b, c, label in out]
 
 
-def fit(rows: list[tuple[str, str, str, str, bool]], stands_for: list[float] | None = None, seed: int = 11) -> Model:
-    """Train on (kind, left, body, right, is base span); every third row and its variants set the thresholds.
-
-    Each row counts as `stands_for` rows of the corpus.
-    """
-    stands_for = stands_for or [1.0] * len(rows)
-    draw = random.Random(seed)
-    x, y, w, kinds, part, mass = [], [], [], [], [], []
-    numbers = [body for kind, _, body, _, true in rows if true and kind != "email"]
-    for i, (kind, left, body, right, true) in enumerate(rows):
-        made = [(left, body, right, 0, 0.5)]
-        if true:
-            made = [(left, body, right, 1, 1.0)] + [(left, v, right, label, 1.0) for v, label in variants(kind, body, draw)]
-            made += [(*o, 1.0) for o in beside(kind, left, body, right, draw.choice(numbers))] if numbers else []
-        for before, v, after, label, weight in made:
-            x.append(features(kind, before, v, after)), y.append(label), w.append(weight), kinds.append(kind), part.append(i % 3 == 0), mass.append(stands_for[i])
-    if len(set(y)) < 2:
-        return Model(None, {})
-    x, y, w, kinds, part = np.array(x, float), np.array(y, float), np.array(w), np.array(kinds), np.array(part)
-    if len(set(y[~part])) < 2:
-        return Model(None, {})
-    mass = np.array(mass, float)
-    for kind in set(kinds.tolist()):
-        mass[kinds == kind] /= mass[kinds == kind].mean()
-    trees = boosting.fit(x[~part], y[~part], (w * mass)[~part])
-    p = 1 / (1 + np.exp(-trees.margins(x)))
-    thresholds = {}
-    for kind in KINDS:
-        own = part & (kinds == kind)
-        order = np.argsort(-p[own], kind="stable")
-        q, hits = p[own][order], np.cumsum(y[own][order])
-        precise = np.cumsum((mass * y)[own][order]) >= PRECISION * np.cumsum(mass[own][order])
-        last = np.append(q[1:] < q[:-1], True)[: len(q)]  # equal probabilities are taken together
-        at = np.flatnonzero(precise & last)
-        if len(at) and hits[at[-1]] >= 10:
-            thresholds[kind] = max(float(q[at[-1]]), 0.5)
-    return Model(trees, thresholds)
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of every context and of what is made from it; every third context and its variants are kept out of the fit."""
+    for batch in slices(batches, 1024):
+        kinds, kept, labels, weights, x = [], [], [], [], []
+        for r in batch.to_pylist():
+            kind, left, body, right, draw = r["kind"], r["left"], r["body"], r["right"], random.Random(r["order"])
+            made = [(left, body, right, 0, 0.5)]
+            if r["true"]:
+                made = [(left, body, right, 1, 1.0)] + [(left, v, right, label, 1.0) for v, label in variants(kind, body, draw)]
+                made += [(*o, 1.0) for o in beside(kind, left, body, right, r["other"])] if r["other"] else []
+            for before, v, after, label, weight in made:
+                kinds.append(kind), kept.append(r["order"] % 3 == 0), labels.append(label), weights.append(weight)
+                x.append([float(f) for f in features(kind, before, v, after)])
+        columns = [pa.array(kinds, pa.string()), pa.array(kept, pa.bool_()), pa.array(labels, pa.int32()), pa.array(weights, pa.float64()), pa.array(x, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "kept", "y", "weight", "x"])
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on at most MAX_ROWS base spans and as many other candidates of each kind; without any, only base spans are found."""
+    """Fit on every base span and every other candidate of the corpus; without any, only base spans are found."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_contexts, "doc_id long, kind string, left string, body string, right string, true boolean")
-    found, names = stored(found, "pii-contexts"), ("doc_id", "kind", "body", "left", "right")
-    counts = {(r.kind, r.true): r["count"] for r in found.groupBy("kind", "true").count().collect()}
-    order, below = F.xxhash64(*names).bitwiseAND(2**63 - 1), F.lit(2**63 - 1)
-    for (kind, true), n in counts.items():  # as in `drawn`
-        if n > 2 * MAX_ROWS:
-            below = F.when((F.col("kind") == kind) & (F.col("true") == true), int(2**63 * 1.5 * MAX_ROWS / n)).otherwise(below)
-    rank = F.row_number().over(Window.partitionBy("kind", "true").orderBy(order, *names))
-    rows = found.where(order <= below).withColumn("rank", rank).where(F.col("rank") <= MAX_ROWS).orderBy(order, *names).collect()
-    stands_for = [max(1.0, counts[r.kind, r.true] / MAX_ROWS) for r in rows]
-    return fit([(r.kind, r.left, r.body, r.right, r.true) for r in rows], stands_for)
+    names = ("doc_id", "kind", "body", "left", "right")
+    found = stored(found, "pii-contexts").withColumn("order", F.xxhash64(*names).bitwiseAND(2**63 - 1))
+    number = F.col("true") & (F.col("kind") != "email")
+    numbers, others = found.where(number), found.where(~number).withColumn("other", F.lit(None).cast("string"))
+    near = Window.partitionBy(F.pmod("order", F.lit(numbers.count() // NEIGHBOURS + 1))).orderBy("order", *names)
+    numbers = numbers.withColumn("other", F.coalesce(F.lag("body").over(near), F.lead("body").over(near)))
+    every = numbers.unionByName(others).drop("doc_id").mapInArrow(_examples, "kind string, kept boolean, y int, weight double, x array<double>")
+    every = stored(every, "pii-examples")
+    counts = {(r.kind, r.y): r["count"] for r in every.where("not kept").groupBy("kind", "y").count().collect()}
+    if len({y for _, y in counts}) < 2:
+        return Model(None, {})
+    cuts = boosting.quantiles(every.where("not kept"), "x", len(features("email", "", "x", "")))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, len(cuts))
+            codes = pa.array([c.tobytes() for c in boosting.code(x, cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "kept", "y", "weight")), codes], ["kind", "kept", "y", "weight", "code"])
+
+    rows = every.mapInArrow(coded, "kind string, kept boolean, y int, weight double, code binary")
+    rows = stored(rows.groupBy("kind", "kept", "y", "code").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")), "pii-coded")
+    by_kind = {k: sum(n for (kind, _), n in counts.items() if kind == k) for k, _ in counts}
+    scale = F.lit(1.0)  # all kinds weigh the same
+    for kind, n in by_kind.items():
+        scale = F.when(F.col("kind") == kind, sum(by_kind.values()) / len(by_kind) / n).otherwise(scale)
+    trees = boosting.fit_table(rows.where("not kept").select("code", "y", (F.col("weight") * scale).alias("weight")), cuts)
+    return Model(boosting.decoded(trees, cuts), thresholds(rows.where("kept"), trees, len(cuts)))
+
+
+def thresholds(rows: DataFrame, trees: boosting.Boosted, n_features: int) -> dict[str, float]:
+    """Of each kind the least probability, in steps of 1 / STEPS, from which on PRECISION of all `rows` are true, at least 10."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = 1 / (1 + np.exp(-trees.margins(boosting.matrix(batch, n_features))))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(np.floor(p * STEPS).astype(np.int64)), batch.column("y"), batch.column("n")], ["kind", "step", "y", "n"])
+
+    steps = rows.select("kind", "y", "n", "code").mapInArrow(run, "kind string, step long, y int, n long").groupBy("kind", "step")
+    found, out = steps.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("hits")).collect(), {}
+    for kind in KINDS:
+        hits = every = 0
+        for r in sorted((r for r in found if r.kind == kind), key=lambda r: -r.step):
+            hits, every = hits + r.hits, every + r.n
+            if hits >= PRECISION * every and hits >= 10:
+                out[kind] = max(r.step / STEPS, 0.5)
+    return out
 
 
 def join_spans(spans: list[Span]) -> str:

@@ -119,3 +119,28 @@ def test_secrets_of_the_corpus_stay_whole(spark):
             if s.kind != "email":
                 assert not r.text[max(0, s.start - 1)].isalpha() or s.start == 0
                 assert s.end == len(r.text) or not r.text[s.end].isalpha()
+
+
+def test_every_span_of_the_corpus_counts_in_the_fit(spark, monkeypatch):
+    """A cap of 1000 base spans of a kind is gone: each of 1500 gives itself and its rewritten form."""
+    seen, stored = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name, **more: seen.setdefault(name, stored(df, name, **more)))
+    pii.train(spark.createDataFrame([(i, f"write to jo{i}@mail{i}.com today") for i in range(1500)], "doc_id long, text string"))
+    assert seen["pii-examples"].where("y = 1").count() == 3000
+    assert seen["pii-coded"].agg({"n": "sum"}).first()[0] == seen["pii-examples"].count()
+
+
+def test_trees_of_a_table_equal_trees_of_arrays(spark):
+    rng = np.random.default_rng(1)
+    x, weight = rng.integers(0, 9, (400, 3)).astype(float), rng.choice([0.5, 1.0], 400)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 2)).astype(float)
+    cuts = [np.arange(8.0)] * 3
+    coded = boosting.code(x, cuts)
+    rows = [(bytes(c), int(b), float(w)) for c, b, w in zip(coded, y, weight, strict=True)]
+    table = spark.createDataFrame(rows, "code binary, y int, weight double")
+    got = boosting.fit_table(table, cuts, trees=2)
+    want = boosting.grow((weight * y).sum() / weight.sum(), cuts, lambda *at: boosting.histograms(coded, y, weight, *at), trees=2)
+    assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("feature", "cut", "leaf"))
+    values = spark.createDataFrame([([float(a), b],) for a, b in zip(range(640), x[:, 0].tolist() * 2, strict=False)], "x array<double>")
+    whole, some = boosting.quantiles(values, "x", 2)
+    assert whole.tolist() == [20.0 * k - 1 for k in range(1, 32)] and some.tolist() == list(np.arange(8.0))
