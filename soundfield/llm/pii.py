@@ -36,7 +36,7 @@ from soundfield.llm import boosting
 from soundfield.llm.shared import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
-PRECISION, AROUND, STEPS, NEIGHBOURS = 0.98, 40, 1000, 1000
+PRECISION, AROUND, STEPS, NEIGHBOURS, TASK = 0.98, 40, 1000, 1000, 100_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -287,12 +287,14 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "kept", "y", "weight")), codes], ["kind", "kept", "y", "weight", "code"])
 
     rows = every.mapInArrow(coded, "kind string, kept boolean, y int, weight double, code binary")
-    rows = stored(rows.groupBy("kind", "kept", "y", "code").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")), "pii-coded")
+    rows = rows.groupBy("kind", "kept", "y", "code").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    tasks = sum(counts.values()) // TASK + 1  # a job for each level of a tree: no more tasks than its rows need
+    rows = stored(rows.coalesce(tasks), "pii-coded")
     by_kind = {k: sum(n for (kind, _), n in counts.items() if kind == k) for k, _ in counts}
     scale = F.lit(1.0)  # all kinds weigh the same
     for kind, n in by_kind.items():
         scale = F.when(F.col("kind") == kind, sum(by_kind.values()) / len(by_kind) / n).otherwise(scale)
-    trees = boosting.fit_table(rows.where("not kept").select("code", "y", (F.col("weight") * scale).alias("weight")), cuts)
+    trees = boosting.fit_table(rows.where("not kept").select("code", "y", (F.col("weight") * scale).alias("weight")).coalesce(tasks), cuts)
     return Model(boosting.decoded(trees, cuts), thresholds(rows.where("kept"), trees, len(cuts)))
 
 
