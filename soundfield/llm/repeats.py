@@ -4,7 +4,7 @@ A suffix array of the whole corpus would have to be one sorted list of all bytes
 
 1. Anchors.  Of every MIN_LEN bytes the K-byte string with the least hash (the leftmost of equals) is an anchor.  Two equal
    strings of MIN_LEN bytes have the same anchor at the same place, so all that can repeat meets under its anchor's hash.
-   About one byte in 18 starts an anchor.
+   About one byte in 16 starts an anchor.
 2. Neighbourhood: the bytes in which any MIN_LEN bytes around the anchor can lie.  Each anchor goes out as its hash and a
    64-bit hash of its neighbourhood, in packed arrays without the bytes.  A task settles at once what it has itself seen in a
    smaller document; of equal neighbourhoods it hands on those of its least document, so a passage in every third document
@@ -20,6 +20,9 @@ A suffix array of the whole corpus would have to be one sorted list of all bytes
 Removal takes the bytes of all occurrences in a group that has a smaller doc_id.  Whole copies need no path of their own: all
 their neighbourhoods are settled by the hashes.
 
+Disk: anchors are written once, in a folder for each part of the hashes.  Steps 2 to 4 go part by part and remove the folder of
+a part when it is done, so what they shuffle is a part's share; of each part there stay a row of stretches for every text.
+
 Texts are UTF-8 bytes, null is empty, repeats never cross documents.  A null doc_id counts as greater than all others.
 Rows with equal doc_id do not remove each other.  Extra columns are ignored.
 """
@@ -36,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundfield.llm.shared import slices, stored
+from soundfield.llm.shared import dropped, slices, stored, written
 
-MIN_LEN, K, MOST = 50, 16, 4096
+MIN_LEN, K, MOST = 50, 20, 4096
 REACH = MIN_LEN - K  # bytes on either side of an anchor
 SPAN, FLUSH, LAST = 1 << 20, 1 << 19, 2**63 - 1
+PASS, PASSES = 1 << 28, 16  # bytes of text for each pass, and how many passes there are at most
 
 BYTE_CODES = np.random.default_rng(14).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -146,6 +150,8 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 SETTLED, FRESH, KNOWN, ALSO = 0, 1, 2, 128
 MEMBERS = "doc long, text_key long, start int, end int, h long, key long"
+PACKED = "bucket int, kind byte, h binary, key binary, doc binary, text_key binary, start binary, size binary"
+SPANS = "doc long, text_key long, spans array<struct<start:int,end:int>>"
 _NAMES = ["doc", "text_key", "start", "end", "h", "key"]
 
 
@@ -170,9 +176,11 @@ def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[begins], key[begins], start[begins], (reach - shift)[closes]
 
 
-def _sender(buckets: int, settle: bool):
+def _sender(buckets: int, settle: bool, parts: int = 1):
     """Texts in, packed rows out: settled stretches, one anchor of each hash by its hash, and all anchors of hashes met again.
 
+    The remainder of a bucket by `parts` is that of its hashes, also where anchors of one hash are dealt over buckets by document.
+
     A hash is cut to 32 bits beside its bucket: anchors that then seem equal cost comparisons, their neighbourhoods still differ.
     A size above ALSO marks the one anchor of a hash that is among those met again too.
     """
@@ -204,7 +212,8 @@ def _sender(buckets: int, settle: bool):
         again = np.append(~first[1:], False) | ~first
         marked = end + np.where(again, ALSO, 0)
         send(FRESH, (h[first] % np.uint64(buckets)).astype(np.int64), *(x[first] for x in (h, key, doc, text, start, marked)))
-        send(KNOWN, doc[again] % buckets, *(x[again] for x in (h, key, doc, text, start, end)))
+        dealt = (h[again] % np.uint64(parts)).astype(np.int64) + doc[again] % (buckets // parts) * parts
+        send(KNOWN, dealt, *(x[again] for x in (h, key, doc, text, start, end)))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -253,17 +262,31 @@ def _receiver(buckets: int):
     return run
 
 
-def members(docs: DataFrame, settle: bool) -> DataFrame:
-    """MEMBERS of `docs` (doc, text, text_key): anchors whose hash has several places, with start, end and hash of the neighbourhood.
-
-    With `settle` rows without h are stretches that a smaller document of the same task has too; their anchors do not appear.
-    """
+def members(docs: DataFrame) -> DataFrame:
+    """MEMBERS of `docs` (doc, text, text_key): anchors whose hash has several places, with start, end and hash of the neighbourhood."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = "bucket int, kind byte, h binary, key binary, doc binary, text_key binary, start binary, size binary"
-    sent = docs.select("doc", "text", "text_key").mapInArrow(_sender(buckets, settle), packed)
+    sent = docs.select("doc", "text", "text_key").mapInArrow(_sender(buckets, settle=False), PACKED)
     return sent.repartition("bucket").mapInArrow(_receiver(buckets), MEMBERS)
 
 
+def members_by_part(docs: DataFrame) -> Iterator[DataFrame]:
+    """The members of one part of the hashes after the other; what is behind a part is removed when the next one is asked for.
+
+    Rows without h are stretches that a smaller document of the same task has too; their anchors do not appear.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(PASSES, -(-size // PASS)))
+    buckets = parts * -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+    packed = docs.select("doc", "text", "text_key").mapInArrow(_sender(buckets, settle=True, parts=parts), PACKED)
+    sent = written(packed.withColumn("part", F.col("bucket") % parts), "repeats-sent", by="part")
+    for part in range(parts):
+        own = spark.read.schema(f"{PACKED}, part int").parquet(sent).where(F.col("part") == part).drop("part")
+        yield own.repartition("bucket").mapInArrow(_receiver(buckets), MEMBERS)
+        dropped(spark, f"{sent}/part={part}")
+    dropped(spark, sent)
+
+
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "text_key", "start", "h", "key", "n", "hi", "near"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -423,23 +446,49 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batched(spans(), ["doc", "text_key", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
-def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc, text_key, start, end): bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc."""
-    places = members(docs, settle=True).withColumn("key", F.coalesce("key", F.xxhash64("doc", "text_key")))
-    open_ = F.expr("h is not null and doc = min(doc) over (partition by h, key)")
-    classed = places.withColumn("first", open_).withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("h", "key")})
-    classed = stored(classed, "repeats-classes", tidy=True)
-    firsts = classed.where("first").drop("first")
-    sizes = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("hi")).where("a < hi").drop("a")
-    near = stored(fetched(docs, firsts.join(sizes, "h")), "repeats-near", tidy=True)
+def _by_text(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def _compared(near: DataFrame, most: int) -> DataFrame:
+    """(doc, text_key, start, end): what of the neighbourhoods a smaller document has."""
     few = near.where(F.col("n") <= most).select("h", "near", "doc", "text_key", "start").repartition("h").sortWithinPartitions("h")
     runs = few.mapInArrow(_grouped, "doc long, text_key long, start int, end int")
     many = near.where(F.col("n") > most)
     strings = many.select("doc", "text_key", "start", F.posexplode(F.expr(f"transform(sequence(1, length(near) - {MIN_LEN - 1}), i -> substring(near, i, {MIN_LEN}))")).alias("at", "s"))
     least = strings.groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("s", "least")
     split = strings.join(least, "s").where("least < doc").selectExpr("doc", "text_key", "start + at as start", f"start + at + {MIN_LEN} as end")
-    whole = classed.where("not first").select("doc", "text_key", "start", "end")
-    return whole.unionByName(runs).unionByName(split)
+    return runs.unionByName(split)
+
+
+def removable(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """SPANS, a row for a text: bytes of `docs` (doc, text, text_key; doc without nulls) in a repeat group with a smaller doc."""
+    spark, done, wanted = docs.sparkSession, [], []
+    zero, columns = F.lit(0).cast("long"), "doc long, text_key long, start int, end int, h long, key long, n long, hi long"
+    for places in members_by_part(docs):
+        places = places.withColumn("key", F.coalesce("key", F.xxhash64("doc", "text_key")))
+        open_ = F.expr("h is not null and doc = min(doc) over (partition by h, key)")
+        classed = places.withColumn("first", open_).withColumn("h", F.when(F.col("first"), F.col("h"))).drop("key")
+        path = written(classed, "repeats-classes", tidy=True)
+        classed = spark.read.schema(classed.schema).parquet(path)
+        done.append(written(_by_text(classed.where("not first")), "repeats-whole", tidy=True))
+        firsts = classed.where("first").drop("first")
+        sizes = firsts.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h", "n")
+        open_ones = firsts.join(sizes, "h").select("doc", "text_key", "start", "end", "h", zero.alias("key"), "n", zero.alias("hi"))
+        wanted.append(written(open_ones, "repeats-open", tidy=True))
+        dropped(spark, path)
+    near = fetched(docs, spark.read.schema(columns).parquet(*wanted)).select("doc", "text_key", "start", "h", "n", "near")
+    path = written(near.withColumn("part", F.pmod("h", F.lit(len(wanted)))), "repeats-near", tidy=True, by="part")
+    dropped(spark, *wanted)
+    for part in range(len(wanted)):
+        own = spark.read.schema(near.withColumn("part", F.lit(0).cast("long")).schema).parquet(path).where(F.col("part") == part).drop("part")
+        done.append(written(_by_text(_compared(own, most)), "repeats-runs", tidy=True))
+        dropped(spark, f"{path}/part={part}")
+    dropped(spark, path)
+    found = spark.read.schema(SPANS).parquet(*done).groupBy("doc", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stored(found, "repeats-spans", tidy=True)
+    dropped(spark, *done)
+    return out
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -449,7 +498,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
     own = own.withColumn("text_key", F.xxhash64("text"))
-    held = stored(members(own, settle=False).distinct(), "repeats-members")
+    held = stored(members(own).distinct(), "repeats-members")
     first = held.groupBy("h", "key").agg(F.min(F.struct("doc", "text_key", "start", "end")).alias("x"), F.max("doc").alias("hi"))
     near = fetched(own, first.select("h", "key", "x.*", F.lit(0).cast("long").alias("n"), "hi"))
 
@@ -491,7 +540,6 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_key", F.xxhash64("text"))
-    spans = removable(own.select("doc", "text", "text_key"), most).groupBy("doc", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = stored(spans, "repeats-spans", tidy=True)
+    spans = removable(own.select("doc", "text", "text_key"), most)
     marked = own.join(spans.hint("merge"), ["doc", "text_key"], "left")
     return marked.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

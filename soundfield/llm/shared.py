@@ -29,8 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._soundfield_folder
 
 
-def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
-    """Write `df` into the shared folder and go on from the files: lineage ends here and no executor's loss undoes it.
+def written(df: DataFrame, name: str, tidy: bool = False, by: str | None = None) -> str:
+    """Write `df` into the shared folder, in a folder for each value of `by`; the path.
 
     With `tidy` Spark removes the shuffle files of the write as soon as it has ended; whoever still needs them makes them anew.
     """
@@ -38,10 +38,23 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true" if tidy else before)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write `df` into the shared folder and go on from the files: lineage ends here and no executor's loss undoes it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, tidy))
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove what `written` wrote, once nothing reads it any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from soundfield.llm import repeats
 from soundfield.llm.queries import QUERIES
+from soundfield.llm.shared import shared_folder
 
 N = repeats.MIN_LEN
 
@@ -85,6 +87,19 @@ def test_random_texts_against_brute_force(spark, seed, most):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("most", [repeats.MOST, 0])
+def test_parts_of_the_hashes_give_the_same_and_leave_no_files(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "PASS", 2000)
+    monkeypatch.setattr(repeats, "PASSES", 3)
+    rows = made(5)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted([tuple(r)[:5] for r in repeats.deduplicated(docs, most).collect()], key=str)
+    assert got == brute(rows)
+    assert [x.name[:14] for x in set(folder.iterdir()) - before] == ["repeats-spans-"]
+
+
 def test_groups_are_maximal_and_complete(spark):
     rows = [(d, t) for d, t in made(4) if d is not None and t]
     by = {}
