@@ -1,16 +1,14 @@
 import hashlib
 import random
 from collections import defaultdict
-from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from soundfield.llm import repeats
+from soundfield.llm import repeats, shared
 from soundfield.llm.queries import QUERIES
-from soundfield.llm.shared import shared_folder
 
 N = repeats.MIN_LEN
 
@@ -88,16 +86,15 @@ def test_random_texts_against_brute_force(spark, seed, most):
 
 
 @pytest.mark.parametrize("most", [repeats.MOST, 0])
-def test_parts_of_the_hashes_give_the_same_and_leave_no_files(spark, monkeypatch, most):
+def test_parts_of_the_hashes_give_the_same_and_leave_no_files(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
     monkeypatch.setattr(repeats, "PASS", 2000)
     monkeypatch.setattr(repeats, "PASSES", 3)
     rows = made(5)
-    folder = Path(shared_folder(spark).removeprefix("file://"))
-    before = set(folder.iterdir())
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted([tuple(r)[:5] for r in repeats.deduplicated(docs, most).collect()], key=str)
     assert got == brute(rows)
-    assert [x.name[:14] for x in set(folder.iterdir()) - before] == ["repeats-spans-"]
+    assert [x.name[:14] for x in tmp_path.iterdir()] == ["repeats-spans-"]
 
 
 def test_groups_are_maximal_and_complete(spark):
